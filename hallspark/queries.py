@@ -1,0 +1,6 @@
+"""Registered queries and their DuckDB oracles."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
