@@ -55,9 +55,9 @@ def metrics(text: str | None) -> tuple[int, int, int, int, int, int]:
 
 def _measure(batches):
     for batch in batches:
-        found = [metrics(t) for t in batch.column(2).to_pylist()]
+        found = [metrics(t) for t in batch.column(3).to_pylist()]
         columns = [pa.array([m[k] for m in found], pa.int64()) for k in range(6)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "host", *(c.split()[0] for c in METRICS.split(", "))])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["doc_id", "text_hash", "host", *(c.split()[0] for c in METRICS.split(", "))])
 
 
 def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most_failing: float = 0.6) -> DataFrame:
@@ -73,8 +73,8 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     they occur. An empty table gives an empty result. Other columns are ignored.
     """
     id_type = dict(docs.dtypes)[id_col]
-    measured = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
-    measured = measured.mapInArrow(_measure, f"doc_id {id_type}, host string, {METRICS}")
+    measured = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
+    measured = measured.mapInArrow(_measure, f"doc_id {id_type}, text_hash long, host string, {METRICS}")
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     soft = (10 * F.col("n_symbols") > F.col("n_words")) | (10 * F.col("n_dup_lines") > 3 * F.col("n_lines"))
     scored = materialize(measured.withColumn("base_failed", base).withColumn("any_failed", base | soft), "quality-rows")
@@ -87,4 +87,4 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     shrunk = (F.col("host_failed") + F.lit(mean * strength)) / (F.col("host_docs") + F.lit(strength))
     verdicts = broadcast_checked(hosts.select(F.col("host").alias("verdict_host"), shrunk.alias("host_rate")), 64)
     joined = scored.join(verdicts, F.col("host").eqNullSafe(F.col("verdict_host")), "left")
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.coalesce("host_rate", F.lit(0.0)) <= most_failing)).alias("kept"), "host_rate")
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.coalesce("host_rate", F.lit(0.0)) <= most_failing)).alias("kept"), "host_rate", "text_hash")

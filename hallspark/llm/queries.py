@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, packing, quality, sharding, warc
+from . import bpe, chat, embeddings, jaccard, linededup, packing, quality, sharding, toxicity, warc
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -20,8 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
     return packing.pack(pieces).select(*packing.PIECE, "sequence_id", "offset")
 
 
@@ -45,15 +49,23 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(table(spark, sf_dir, "documents"))
+    return quality.quality_rules(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe.encode_documents(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_best_fit_packing, op3_chat_formatting, op4_warc, op5_sharding, op6_embedding_near_dedup, op9_quality_rules, op10_byte_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_fit_packing, op3_chat_formatting, op4_warc, op5_sharding, op6_embedding_near_dedup, op7_line_dedup, op8_toxicity, op9_quality_rules, op10_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}

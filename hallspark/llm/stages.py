@@ -1,3 +1,55 @@
-"""Stages of the corpus pipeline."""
+"""Stages of the corpus pipeline: each takes (spark, docs, sf_dir), and all but the last return the columns of ``docs``."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import jaccard, linededup, packing, quality, toxicity
+from .common import broadcast_checked, materialize
+from .queries import table, tokenizer
+
+
+def _same(own: str = "text"):
+    return F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64(own) == F.col("__t"))
+
+
+def _keys(decided: DataFrame) -> DataFrame:
+    return broadcast_checked(materialize(decided.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t")).distinct(), "decided"), 24)
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, text hash) is not rejected."""
+    return docs.join(_keys(rejected), _same(), "left_anti")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, quality.quality_rules(docs).where("not kept"))
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, toxicity.toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go; a document of which they leave no word is a copy throughout and goes with them."""
+    out = linededup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.where((F.col("n_removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(docs.columns)
+
+
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class stays, the one with the least doc_id; of rows that repeat it, one."""
+    classes = materialize(jaccard.jaccard_classes(docs).groupBy("doc_id", "text_hash").agg(F.max("kept").alias("kept"), F.count("*").alias("n"), F.max("n_links").alias("links")), "kept")
+    out = _without(docs, classes.where("not kept"))
+    repeated = classes.where("kept and n > 1 and links > 0")
+    if repeated.limit(1).count():
+        keys = _keys(repeated)
+        out = out.join(keys, _same(), "left_anti").unionByName(out.join(keys, _same(), "left_semi").dropDuplicates(["doc_id", "text"]))
+    return out
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.token_pieces(docs, tokenizer("word_bpe_49k.json"))).select(*packing.PIECE, "sequence_id", "offset")
+
+
+STAGES = [("quality_rules", quality_stage), ("toxicity", toxicity_stage), ("line_dedup", line_dedup_stage), ("ngram_jaccard_join", jaccard_stage), ("best_fit_packing", packing_stage)]
