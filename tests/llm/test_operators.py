@@ -287,7 +287,7 @@ def test_quality(spark):
 
 
 def test_quality_rejects_a_failing_host(spark):
-    good, bad = " ".join(prose(random.Random(1), 40)), "# " * 30 + " ".join(prose(random.Random(2), 30))
+    good, bad = " ".join(prose(random.Random(1), 40)), " ".join("#" + w for w in prose(random.Random(2), 40))
     frame = spark.createDataFrame([(k, bad if host == 0 else good, f"h{host}") for k in range(400) for host in [k % 8]] + [(999, bad, None), (1000, bad, "single")], "doc_id long, text string, source string")
     kept = {r.doc_id: r.kept for r in quality.quality_rules(frame).collect()}
     assert not any(kept[k] for k in range(0, 400, 8)) and all(kept[k] for k in range(400) if k % 8)
