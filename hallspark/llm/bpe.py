@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BITS = 256
-#: Two blanks in a row, or blanks other than the space and the newline: texts with these are split by the pattern itself.
-ODD_BLANKS = re.compile("[ \n]{2}|[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Texts in which two of these meet, or that hold other blanks, are split by the pattern itself.
+MEETING = ("  ", "\n\n", " \n", "\n ")
+OTHER_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+OTHER_BLANKS = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def odd_blanks(text: str) -> bool:
+    if any(map(text.__contains__, MEETING)) or any(map(text.__contains__, OTHER_ASCII)):
+        return True
+    return not text.isascii() and OTHER_BLANKS.search(text) is not None
 
 
 class RankQueue:
@@ -91,7 +100,7 @@ class ByteBPE:
         self.pairs = _Pairs(self.ranks, self.bytes_of)
         self.queue, self.table = RankQueue(len(self.bytes_of)), None
         self.pattern, self.most = regex.compile(pattern), cache
-        self.young, self.old, self.units, self.old_units = {}, {}, {}, {}
+        self.young, self.old, self.units = {}, {}, {}
 
     def merge(self, token: bytes) -> list[int]:
         """Merge a pre-token's bytes: always the least rank, leftmost first. O(n) list work, whatever its length."""
@@ -149,8 +158,10 @@ class ByteBPE:
             order = np.argsort(ranks, kind="stable")
             ranks, positions = ranks[order], positions[order]
             cuts = np.flatnonzero(np.diff(ranks)) + 1
-            for rank, part in zip(ranks[np.concatenate([[0], cuts])].tolist() if len(ranks) else (), np.split(positions, cuts), strict=False):
-                queue.push(rank, part)
+            if len(ranks):
+                starts = [0, *cuts.tolist()]
+                for rank, a, b in zip(ranks[starts].tolist(), starts, [*starts[1:], len(ranks)], strict=True):
+                    queue.push(rank, positions[a:b])
 
         push(table.ranks_of(ids[:-1], ids[1:]), np.arange(n - 1))
         while queue.top:
@@ -203,28 +214,24 @@ class ByteBPE:
     @staticmethod
     def _units(text: str) -> list[str] | None:
         """Where no blanks meet, the pattern never matches across the place before a space or a newline, so the parts between those are encoded apart and remembered."""
-        return None if ODD_BLANKS.search(text) else text.replace("\n", " \n").split(" ")
+        return None if odd_blanks(text) else text.replace("\n", " \n").split(" ")
 
     def prepare(self, texts: list[str], least: int = 30_000) -> None:
-        """Remember the units of many texts; new pre-tokens merge together if they are many."""
-        new: set[str] = set()
+        """Remember the units of some texts, a batch at most; new pre-tokens merge together if they are many."""
+        every: set[str] = set()
         for text in texts:
             if units := self._units(text):
-                new.update(units[1:])
-        new.difference_update(self.units, self.old_units)
-        split = {u: self.pattern.findall(u if u[:1] == "\n" else " " + u) for u in new if len(u) <= 64}
+                every.update(units[1:])
+        if len(self.units) + len(every) > self.most:  # what this batch needs stays
+            self.units = {u: self.units[u] for u in every & self.units.keys()}
+        split = {u: self.pattern.findall(u if u[:1] == "\n" else " " + u) for u in every - self.units.keys() if len(u) <= 64}
         pieces = list({p for found in split.values() for p in found} - self.young.keys() - self.old.keys())
         if len(pieces) >= least:
             done = dict(zip(pieces, self.merge_many([p.encode() for p in pieces]), strict=True))
         else:
             done = {}
         for unit, found in split.items():
-            self._remember(unit, [x for p in found for x in (done.get(p) or self.token(p))])
-
-    def _remember(self, unit: str, ids: list[int]) -> None:
-        if len(self.units) >= self.most // 2:
-            self.old_units, self.units = self.units, {}
-        self.units[unit] = ids
+            self.units[unit] = tuple(chain.from_iterable([done.get(p) or self.token(p) for p in found]))
 
     def encode(self, text: str) -> list[int]:
         parts = self._units(text)
@@ -232,17 +239,13 @@ class ByteBPE:
             return self._split(text)
         first, *rest = parts
         out = self._split(first) if first or not rest else []
-        get = self.units.get
-        for unit in rest:
-            ids = get(unit)
-            if ids is None:
-                ids = self.old_units.get(unit)
-                if ids is None:
-                    ids = self._split(unit if unit[:1] == "\n" else " " + unit)
-                if len(unit) <= 64:
-                    self._remember(unit, ids)
-                    get = self.units.get
-            out += ids
+        known = self.units
+        try:
+            out.extend(chain.from_iterable(map(known.__getitem__, rest)))
+        except KeyError:  # a long unit, or one that prepare() has not seen
+            out = self._split(first) if first or not rest else []
+            for unit in rest:
+                out += known[unit] if unit in known else self._split(unit if unit[:1] == "\n" else " " + unit)
         return out
 
     def decode(self, ids: list[int]) -> bytes:
