@@ -28,7 +28,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most, self.young, self.old = cache, {}, {}
+        self.most, self.young = cache, {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -47,15 +47,12 @@ class WordEncoder:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        new: set[str] = set()
+        every: set[str] = set()
         for text in texts:
-            new.update(self._parts(text) or ())
-        new.difference_update(self.young)
+            every.update(self._parts(text) or ())
+        new = every - self.young.keys()
         if len(self.young) + len(new) > self.most:
-            self.old, self.young = self.young, {}
-        for part in [p for p in new if p in self.old]:
-            self.young[part] = self.old[part]
-            new.discard(part)
+            self.young = {part: self.young[part] for part in every & self.young.keys()}
         order = list(new)
         for k in range(0, len(order), 4096):
             some = order[k : k + 4096]
