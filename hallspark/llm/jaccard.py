@@ -189,15 +189,15 @@ def _links(threshold: float):
     return verify
 
 
-def jaccard_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text", bucket: int = 256, block: int = 512, split: int = 4, most_levels: int = 6, slack: float = 0.14) -> DataFrame:
+def jaccard_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text", bucket: int = 256, block: int = 512, split: int = 2, most_levels: int = 3, crowded: float = 0.25, slack: float = 0.14) -> DataFrame:
     """Link all documents whose sets of word n-grams have a Jaccard similarity of at least ``threshold``.
 
     Chosen-path join: a set is embedded as its MinHash sketch. A run splits all sets by the value of one of its
     functions; buckets above ``bucket`` sets are split again by ``split`` further functions chosen by the path, and so
-    on. Small buckets, and larger ones whose sampled sketches agree (a crowd of near copies, which no split would part),
-    are compared by brute force, the latter in blocks. A pair at the threshold survives a run with the probability
-    ``threshold`` (splits by several functions lose next to none), which gives the number of runs for the target
-    recall. Similar sketches only tie candidate components; within each, the whole n-gram sets are compared, all with
+    on. Small buckets, and larger ones whose sampled sketches agree by ``crowded`` in the mean (near copies, which no
+    split would part; others at least halve), are compared by brute force, the latter in blocks. A pair at the threshold
+    meets in a run with the probability ``threshold`` times that of surviving all splits, which gives the number of runs
+    for the target recall. Similar sketches only tie candidate components; within each, the whole n-gram sets are compared, all with
     all, so a link counts once and exactly, and links that every run missed are found there too.
 
     Equal texts are joined once, by a representative, and no task emits pairs: link counts and spanning forests only.
@@ -216,7 +216,8 @@ def jaccard_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, reca
     reps = materialize(table.where("size > 0").groupBy("f1", "f2").agg(F.min(F.struct("row", "doc_id")).alias("r"), F.count("*").alias("copies")).select("f1", "f2", F.col("r.row").alias("rep"), F.col("r.doc_id").alias("rep_doc"), "copies"), "reps")
     sets = materialize(table.join(reps.select("rep"), F.col("row") == F.col("rep"), "left_semi").select(F.col("row").alias("rep"), "size", "paths", "bits"), "sets")
 
-    runs = min(ROOTS, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
+    meets = threshold * (1 - (1 - threshold) ** split) ** most_levels
+    runs = min(ROOTS, math.ceil(math.log(1 - recall) / math.log(1 - meets)))
     least = threshold - slack
     roots = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.xxhash64(r, _path(r)))
     members = sets.select("rep", F.explode(roots).alias("node"))
@@ -226,18 +227,19 @@ def jaccard_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, reca
         members = materialize(members.join(counted, "node"), f"nodes-{level}")
         small = members.where(F.col("n") <= bucket).select("node", F.lit(0).cast("long").alias("cell"), F.lit(2).alias("side"), "rep")
         large = members.where(F.col("n") > bucket)
-        crowded = large
+        alike = large
         more = large.limit(1).count()
         if more and level < most_levels:
             sample = large.where(F.pmod(F.xxhash64("rep", "node"), F.col("n")) < 48).join(sets.select("rep", "bits"), "rep").select("node", "bits")
             density = materialize(_sorted_by(sample, "node").mapInArrow(_density, "node long, density double"), f"density-{level}")
-            crowded = large.join(broadcast_checked(density.where(F.col("density") >= 0.5), 24), "node", "left_semi")
-        cells = small.unionByName(_in_cells(crowded, block)) if more else small
+            dense = broadcast_checked(density.where(F.col("density") >= crowded).select("node"), 16)
+            alike = large.join(dense, "node", "left_semi")
+        cells = small.unionByName(_in_cells(alike, block)) if more else small
         given = cells.join(sets.select("rep", "size", "bits"), "rep").select("node", "cell", "side", "rep", "size", "bits")
         edges.append(materialize(_sorted_by(given, "node", "cell").mapInArrow(_brute(least, threshold), "a long, b long"), f"candidates-{level}"))
         if not more or level == most_levels:
             break
-        sparse = large.join(broadcast_checked(density.where(F.col("density") >= 0.5), 24), "node", "left_anti")
+        sparse = large.join(dense, "node", "left_anti")
         if not sparse.limit(1).count():
             break
         children = F.array(*[F.xxhash64("node", F.lit(j), _path(ROOTS + F.pmod(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) + 7 * j, F.lit(PATHS - ROOTS)).cast("int"))) for j in range(split)])
