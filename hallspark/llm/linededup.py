@@ -8,18 +8,24 @@ from pyspark.sql import functions as F
 from .common import broadcast_checked, materialize
 
 
-def _words(line: Column) -> Column:
-    plain = F.translate(F.lower(line), "\t\x0b\x0c\r", "    ")
-    return F.filter(F.split(plain, " "), lambda w: w != "")
+def _plain(line: Column) -> Column:
+    """The lower-cased words of a line with one space between them."""
+    low = F.translate(F.lower(line), "\t\x0b\x0c\r", "    ")
+    return F.trim(F.when(low.contains("  "), F.regexp_replace(low, " +", " ")).otherwise(low))
 
 
-def _half_keys(words: Column, n: Column) -> list[Column]:
-    """Of two lines that differ by one word, the first or the last half of the shorter one's words is equal. n and n - 1 stand for the shorter one's length."""
-    out = []
-    for tag, m in enumerate((n, n - 1)):
-        half = F.floor(m / 2).cast("int")
-        out += [F.xxhash64(F.lit(0), m, F.slice(words, 1, half)), F.xxhash64(F.lit(1), m, F.slice(words, n - half + 1, half))]
-    return out
+def _n_words(plain: Column) -> Column:
+    return F.when(plain == "", 0).otherwise(F.octet_length(plain) - F.octet_length(F.replace(plain, F.lit(" "), F.lit(""))) + 1)
+
+
+def _anchors(plain: Column, n: Column, least_words: int) -> list[Column]:
+    """One word edit leaves the first or the last words of a line as they are: eight of 16 or more, else half of ``least_words``. Lines of 16 have both kinds, as they may pair with either side."""
+    few = least_words // 2
+
+    def ends(k: int, used: Column) -> list[Column]:
+        return [F.when(used, F.xxhash64(F.lit(2 * k), F.substring_index(plain, " ", k))), F.when(used, F.xxhash64(F.lit(2 * k + 1), F.substring_index(plain, " ", -k)))]
+
+    return ends(8, n >= 16) + ends(few, (n >= least_words) & (n <= 16))
 
 
 def _one_edit(a: Column, b: Column) -> Column:
@@ -42,27 +48,28 @@ def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Deletion neighbourhood: each distinct line and its variants with one word deleted are keyed by hash. Lines that
     share a variant of the same word number differ by that word; a line equal to another one's variant lacks a word.
     Each key only keeps its earliest line, so a group of many is linear, and the partner found is verified on its words.
-    Before, lines with a first or last half of words that no other line has are set aside, as none is within the bound.
+    Before, lines whose first and last words no other line has are set aside, as none is within the bound.
     """
+    if not 2 <= least_words <= 16:
+        raise ValueError("least_words lies between 2 and 16")
     whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keyed = whole.withColumn("th", F.xxhash64("text"))
-    words = F.col("words")
-    n = F.size(words)
+    plain, n = F.col("plain"), F.col("n")
     lines = keyed.where("text is not null").select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.select("doc_id", "th", "pos", _words(F.col("line")).alias("words")).where(n > 0)
-    halves = [F.when(n >= least_words, k).alias(f"k{i}") for i, k in enumerate(_half_keys(words, n))]
-    lines = materialize(lines.select("doc_id", "th", "pos", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), *halves), "lines")
+    lines = lines.select("doc_id", "th", "pos", _plain(F.col("line")).alias("plain")).where(plain != "").withColumn("n", _n_words(plain))
+    anchors = [k.alias(f"k{i}") for i, k in enumerate(_anchors(plain, n, least_words))]
+    lines = materialize(lines.select("doc_id", "th", "pos", F.xxhash64("plain").alias("h1"), F.xxhash64(F.lit(1), "plain").alias("h2"), *anchors), "lines")
 
     at = F.struct("doc_id", "th", "pos")
     keys = [f"k{i}" for i in range(4)]
     firsts = materialize(lines.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("n"), *[F.min(k).alias(k) for k in keys]), "first-lines")
-    halved = firsts.where("k0 is not null").select("first", "h1", "h2", F.explode(F.array_distinct(F.array(*keys))).alias("key"))
-    shared = broadcast_checked(materialize(halved.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-halves"), 16)
-    flagged = halved.join(shared, "key", "left_semi").select("first", "h1", "h2").distinct()
+    anchored = firsts.where("coalesce(k0, k2) is not null").select("first", "h1", "h2", F.explode(F.array_compact(F.array(*keys))).alias("key"))
+    shared = broadcast_checked(materialize(anchored.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-anchors"), 16)
+    flagged = anchored.join(shared, "key", "left_semi").select("first", "h1", "h2").distinct()
     by_doc = materialize(flagged.groupBy("first.doc_id", "first.th").agg(F.collect_list(F.struct("first.pos", "h1", "h2")).alias("some")).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "some"), "flagged-lines")
     by_doc = broadcast_checked(by_doc, 256)
     spelled = keyed.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("doc_id", "th", F.split("text", "\n").alias("own"), F.explode("some").alias("s"))
-    spelled = materialize(spelled.select(F.struct("doc_id", "th", "s.pos").alias("o"), F.col("s.h1").alias("h1"), F.col("s.h2").alias("h2"), _words(F.get("own", F.col("s.pos"))).alias("words")).dropDuplicates(["h1", "h2"]), "spelled-lines")
+    spelled = materialize(spelled.select(F.struct("doc_id", "th", "s.pos").alias("o"), F.col("s.h1").alias("h1"), F.col("s.h2").alias("h2"), F.split(_plain(F.get("own", F.col("s.pos"))), " ").alias("words")).dropDuplicates(["h1", "h2"]), "spelled-lines")
 
     # variants: positional word hashes add up by xor, so one window gives every deletion of a line
     each = spelled.select("o", "h1", "h2", F.posexplode("words").alias("j", "word"))
