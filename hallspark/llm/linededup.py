@@ -28,6 +28,18 @@ def _anchors(plain: Column, n: Column, least_words: int) -> list[Column]:
     return ends(8, n >= 16) + ends(few, (n >= least_words) & (n <= 16))
 
 
+def _block_keys(words: Column, blocks: int = 4) -> Column:
+    """Deletion neighbourhood of blocks: what is left of a line without each of its quarters. Of two lines that differ by one word, the words before and after the quarter with the edit are equal, counted from either end by the shorter one's length, which is the line's own or one less."""
+    n = F.size(words)
+    keys = []
+    for m in (n, n - 1):
+        edges = [F.floor(m * j / blocks).cast("int") for j in range(blocks + 1)]
+        for j in range(blocks):
+            rest = m - edges[j + 1]
+            keys.append(F.xxhash64(m, F.lit(j), F.slice(words, F.lit(1), edges[j]), F.slice(words, n - rest + 1, rest)))
+    return F.array(*keys)
+
+
 def _one_edit(a: Column, b: Column) -> Column:
     """Whether two lists of words differ by one substitution, insertion or deletion."""
     replaced = F.size(F.filter(F.zip_with(a, b, lambda x, y: ~x.eqNullSafe(y)), lambda x: x)) == 1
@@ -48,7 +60,8 @@ def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Deletion neighbourhood: each distinct line and its variants with one word deleted are keyed by hash. Lines that
     share a variant of the same word number differ by that word; a line equal to another one's variant lacks a word.
     Each key only keeps its earliest line, so a group of many is linear, and the partner found is verified on its words.
-    Before, lines whose first and last words no other line has are set aside, as none is within the bound.
+    Before, lines are set aside that no other can be within the bound of: those whose first and last words no other line
+    has, then those that no other equals without one of their quarters.
     """
     if not 2 <= least_words <= 16:
         raise ValueError("least_words lies between 2 and 16")
@@ -71,8 +84,12 @@ def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spelled = keyed.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("doc_id", "th", F.split("text", "\n").alias("own"), F.explode("some").alias("s"))
     spelled = materialize(spelled.select(F.struct("doc_id", "th", "s.pos").alias("o"), F.col("s.h1").alias("h1"), F.col("s.h2").alias("h2"), F.split(_plain(F.get("own", F.col("s.pos"))), " ").alias("words")).dropDuplicates(["h1", "h2"]), "spelled-lines")
 
+    blocked = spelled.select("h1", "h2", F.explode(_block_keys(F.col("words"))).alias("key"))
+    twice = broadcast_checked(materialize(blocked.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-blocks"), 16)
+    close = broadcast_checked(materialize(blocked.join(twice, "key", "left_semi").select("h1", "h2").distinct(), "close-lines"), 32)
+
     # variants: positional word hashes add up by xor, so one window gives every deletion of a line
-    each = spelled.select("o", "h1", "h2", F.posexplode("words").alias("j", "word"))
+    each = spelled.join(close, ["h1", "h2"], "left_semi").select("o", "h1", "h2", F.posexplode("words").alias("j", "word"))
     line = Window.partitionBy("h1", "h2")
     upto = line.orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
     here, moved = F.xxhash64("word", "j"), F.xxhash64("word", F.col("j") - 1)
