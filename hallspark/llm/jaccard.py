@@ -203,8 +203,8 @@ def jaccard_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, reca
     Equal texts are joined once, by a representative, and no task emits pairs: link counts and spanning forests only.
 
     Words are lower-cased and lie between ASCII blanks. A text of fewer than ``n`` words is one n-gram; one without
-    words (null, empty) links with nothing. Rows with equal ids are documents of their own. An empty table gives an
-    empty result. Other columns are ignored.
+    words (null, empty) links with nothing. Rows with equal ids are documents of their own; a null id names a class only
+    if it has no other. An empty table gives an empty result. Other columns are ignored.
 
     Returns doc_id, class_id (least doc_id that links reach), n_links (documents linked directly), kept (one a class), text_hash.
     """
@@ -269,6 +269,6 @@ def jaccard_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, reca
     narrow = table.select("row", "doc_id", "text_hash", "f1", "f2", "size")
     joined = narrow.join(labels, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("size") > 0), "left").select("row", "doc_id", "text_hash", F.coalesce("class", F.col("row")).alias("class"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     joined = materialize(joined, "classes")
-    firsts = joined.where("n_links > 0").groupBy("class").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    firsts = joined.where("n_links > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
     out = joined.join(firsts, "class", "left")
     return out.select("doc_id", F.coalesce("first.doc_id", "doc_id").alias("class_id"), "n_links", F.coalesce(F.col("first.row") == F.col("row"), F.lit(True)).alias("kept"), "text_hash")

@@ -80,6 +80,8 @@ def test_jaccard_repeated_rows_and_empty(spark):
     text = " ".join(prose(random.Random(1), 30))
     rows = jaccard.jaccard_classes(docs_of(spark, [text, text, text + " z", "a"], [5, 5, 3, None])).collect()
     assert sorted((r.doc_id or -1, r.class_id or -1, r.n_links, r.kept) for r in rows) == [(-1, -1, 0, True), (3, 3, 2, True), (5, 3, 2, False), (5, 3, 2, False)]
+    rows = jaccard.jaccard_classes(docs_of(spark, [text, text], [None, 7])).collect()
+    assert {(r.doc_id, r.class_id, r.n_links, r.kept) for r in rows} == {(None, 7, 1, False), (7, 7, 1, True)}
     assert jaccard.jaccard_classes(docs_of(spark, []).where("false")).count() == 0
 
 
