@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from .common import broadcast_checked, materialize
 
 
-def _plain(line: Column) -> Column:
-    """The lower-cased words of a line with one space between them."""
-    low = F.translate(F.lower(line), "\t\x0b\x0c\r", "    ")
+def _low(text: Column) -> Column:
+    return F.translate(F.lower(text), "\t\x0b\x0c\r", "    ")
+
+
+def _plain(low: Column) -> Column:
+    """The words of a lower-cased line with one space between them."""
     return F.trim(F.when(low.contains("  "), F.regexp_replace(low, " +", " ")).otherwise(low))
 
 
@@ -68,7 +71,7 @@ def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keyed = whole.withColumn("th", F.xxhash64("text"))
     plain, n = F.col("plain"), F.col("n")
-    lines = keyed.where("text is not null").select("doc_id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = keyed.where("text is not null").select("doc_id", "th", F.posexplode(F.split(_low(F.col("text")), "\n")).alias("pos", "line"))
     lines = lines.select("doc_id", "th", "pos", _plain(F.col("line")).alias("plain")).where(plain != "").withColumn("n", _n_words(plain))
     anchors = [k.alias(f"k{i}") for i, k in enumerate(_anchors(plain, n, least_words))]
     lines = materialize(lines.select("doc_id", "th", "pos", F.xxhash64("plain").alias("h1"), F.xxhash64(F.lit(1), "plain").alias("h2"), *anchors), "lines")
@@ -82,9 +85,9 @@ def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     by_doc = materialize(flagged.groupBy("first.doc_id", "first.th").agg(F.collect_list(F.struct("first.pos", "h1", "h2")).alias("some")).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "some"), "flagged-lines")
     by_doc = broadcast_checked(by_doc, 256)
     spelled = keyed.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("doc_id", "th", F.split("text", "\n").alias("own"), F.explode("some").alias("s"))
-    spelled = materialize(spelled.select(F.struct("doc_id", "th", "s.pos").alias("o"), F.col("s.h1").alias("h1"), F.col("s.h2").alias("h2"), F.split(_plain(F.get("own", F.col("s.pos"))), " ").alias("words")).dropDuplicates(["h1", "h2"]), "spelled-lines")
+    spelled = materialize(spelled.select(F.struct("doc_id", "th", "s.pos").alias("o"), F.col("s.h1").alias("h1"), F.col("s.h2").alias("h2"), F.split(_plain(_low(F.get("own", F.col("s.pos")))), " ").alias("words")).dropDuplicates(["h1", "h2"]), "spelled-lines")
 
-    blocked = spelled.select("h1", "h2", F.explode(_block_keys(F.col("words"))).alias("key"))
+    blocked = materialize(spelled.select("h1", "h2", F.explode(_block_keys(F.col("words"))).alias("key")), "blocks")
     twice = broadcast_checked(materialize(blocked.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-blocks"), 16)
     close = broadcast_checked(materialize(blocked.join(twice, "key", "left_semi").select("h1", "h2").distinct(), "close-lines"), 32)
 
