@@ -23,7 +23,7 @@ PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
 class WordEncoder:
     """Ids of a tokenizer that drops blanks, remembered by blank-separated part (its words never cross a blank)."""
 
-    def __init__(self, path: str, cache: int = 600_000):
+    def __init__(self, path: str, cache: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
