@@ -18,6 +18,10 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßéèêçàâîôûñáíóú"
 #: Costs of the channel, as natural logarithms.
 SUBSTITUTED, COLLAPSED, DOUBLED, DROPPED = -1.0, -0.3, -1.2, -0.2
+#: A separator may end a word (a gain, as trigrams favour long words: neighbours are joined again, see separate_words). One wider than the narrowest of its part does so unless the letters speak against it.
+BOUNDARY, JOINED = 1.0, -3.0
+#: Long parts are decoded in pieces of so many runs; so many choices before the end stay open.
+PIECE, LAG = 256, 48
 SEPARATORS = ".-_*~"
 _code = np.zeros(0x3000, np.uint8)
 for _k, _c in enumerate(LETTERS, 1):
@@ -28,7 +32,8 @@ CODE = {c: k for k, c in enumerate(LETTERS, 1)}
 LEETED = re.compile(r"[^\W\d_]+[\d@$!|+(*#]+[^\W\d_]|[\d@$!|+(*#]+[^\W\d_]{2}|[^\W\d_]{2,}[\d@$|+(*#]")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 SEPARATED = re.compile(r"[^\W_](?:[.\-_*~][^\W_]){2,}")
-SPACED = re.compile(r"(?<![^\s])[^\W_@$](?: [^\W_]|(?: [@$!|+])){3,}(?![^\s])")
+_UNIT = r"(?:[^\W_]|[@$!|+(*#])"
+SPACED = re.compile(rf"(?<![^\s(\"']){_UNIT}(?:\s+{_UNIT}(?=[.,;:?!\"')]*(?:\s|$))){{2,}}")
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -72,38 +77,65 @@ class Decoder:
         self.model, self.most, self.known = model, cache, {}
 
     @staticmethod
-    def _choices(char: str, run: int, spaced: bool) -> list[tuple[tuple[int, ...], float]]:
-        """What a run of one character may stand for: code sequences with their costs."""
+    def _choices(char: str, run: int, spaced: int) -> list[tuple[tuple[int, ...], float]]:
+        """What a run of one character may stand for: code sequences with their costs. ``spaced`` is the length of the part's narrowest separator, 0 if its letters are not separated; code 0 ends a word."""
+        if char.isspace() or (spaced and char in SEPARATORS):
+            return [((), DROPPED), ((0,), BOUNDARY)] if run <= spaced else [((), JOINED), ((0,), BOUNDARY)]
         own = CODE.get(char)
         out: list[tuple[tuple[int, ...], float]] = []
         for code, cost in ([(own, 0.0)] if own else []) + [(CODE[c], SUBSTITUTED) for c in LEET.get(char, "")]:
             out.append(((code,), cost + (COLLAPSED if run > 2 else DOUBLED if run == 2 else 0.0)))
             if run >= 2:
                 out.append(((code, code), cost + (DOUBLED if run > 2 else 0.0)))
-        if not out or (spaced and char in SEPARATORS + " "):
+        if not out:
             out.append(((), DROPPED))
         elif char in LEET:  # it may repeat its neighbour, or stand for nothing
             out.append(((), SUBSTITUTED))
         return out
 
+    @staticmethod
+    def _settled(states: dict, lag: int) -> tuple[dict, list[tuple[int, ...]]]:
+        """The choices of the best state but its last ``lag``, and the states that agree with them, carried on from there."""
+        path, last = max(states.values(), key=lambda v: v[0])[1], []
+        while path and len(last) < lag:
+            last.append(path)
+            path = path[0]
+        fixed, cut = [], path
+        while path:
+            path, choice = path
+            fixed.append(choice)
+        carried = {}
+        for key, (score, path) in states.items():
+            own = []
+            while path and path is not cut:
+                path, choice = path
+                own.append(choice)
+            if path is cut:
+                new: tuple = ()
+                for choice in reversed(own):
+                    new = new, choice
+                carried[key] = score, new
+        return carried, fixed[::-1]
+
     def decode(self, part: str) -> str:
-        """The likeliest letters; the part itself if it is too long to be one word."""
+        """The likeliest letters, with a blank where separated letters end a word; the part itself if it has none."""
         part = part.lower()
         if part in self.known:
             return self.known[part]
         if len(self.known) >= self.most:
             self.known.clear()
-        spaced = bool(SEPARATED.search(part) or " " in part)
         runs, k = [], 0
         while k < len(part):
-            end = k
-            while end < len(part) and part[end] == part[k]:
+            end = k + 1
+            while end < len(part) and (part[end] == part[k] or part[end].isspace() and part[k].isspace()):
                 end += 1
             runs.append((part[k], end - k))
             k = end
+        blanks = [n for c, n in runs if c.isspace()]
+        spaced = min(blanks or [n for c, n in runs if c in SEPARATORS]) if blanks or SEPARATED.search(part) else 0
         states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-        model = self.model
-        for char, run in runs if len(part) <= 400 else ():
+        model, chosen = self.model, []
+        for at, (char, run) in enumerate(runs, 1):
             new: dict[tuple[int, int], tuple[float, tuple]] = {}
             for choice, cost in self._choices(char, run, spaced):
                 for (a, b), (score, path) in states.items():
@@ -114,19 +146,26 @@ class Decoder:
                     if (x, y) not in new or new[x, y][0] < total:
                         new[x, y] = total, (path, choice) if choice else path
             states = new
-        if len(part) > 400:
-            best = part
-        else:
-            path = max(((s + float(model[a, b, 0]), p) for (a, b), (s, p) in states.items()), key=lambda v: v[0])[1]
-            codes: list[int] = []
-            while path:
-                path, choice = path
-                codes[:0] = choice
-            best = "".join(LETTERS[c - 1] for c in codes) or part
-        self.known[part] = best
+            if at % PIECE == 0:
+                states, fixed = self._settled(states, LAG)
+                chosen += fixed
+        path = max(((s + float(model[a, b, 0]), p) for (a, b), (s, p) in states.items()), key=lambda v: v[0])[1]
+        rest = []
+        while path:
+            path, choice = path
+            rest.append(choice)
+        best = "".join(LETTERS[c - 1] if c else " " for choice in chosen + rest[::-1] for c in choice).strip() or part
+        if len(part) <= 400:
+            self.known[part] = best
         return best
 
 
+def separate_words(decoded: str) -> list[str]:
+    """The words of a decoded part, and those that two to four neighbours make: the letters alone do not always tell where a word ends."""
+    own = decoded.split()
+    return ["".join(own[k : k + n]) for n in range(1, 5) for k in range(len(own) - n + 1)]
+
+
 def restored(text: str, decoder: Decoder) -> tuple[set[str], int]:
     """The distinct lower-cased words of a text after deobfuscation, and how many parts were obfuscated.
 
@@ -135,10 +174,9 @@ def restored(text: str, decoder: Decoder) -> tuple[set[str], int]:
     parts = set(text.split())
     words: set[str] = set()
     odd = 0
-    if text.count(" ") > 2:
-        for found in SPACED.findall(text):
-            words.add(decoder.decode(found))
-            odd += 1
+    for found in SPACED.findall(text):
+        words.update(separate_words(decoder.decode(found)))
+        odd += 1
     for part in parts:
         if part.isalpha():
             if REPEATED.search(part):
@@ -148,7 +186,7 @@ def restored(text: str, decoder: Decoder) -> tuple[set[str], int]:
             continue
         words.update(WORDS.findall(part))
         if SEPARATED.search(part):
-            words.add(decoder.decode(part.strip(".,;:?\"'()")))
+            words.update(separate_words(decoder.decode(part.strip(".,;:?\"'()"))))
             odd += 1
         elif LEETED.search(part) or REPEATED.search(part):
             words.add(decoder.decode(part.strip(".,;:?\"'()!")))

@@ -367,3 +367,13 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert len(corpus_pipeline.STAGES) == 5 and rows
     assert set(corpus_pipeline.run(spark, SF).columns) >= {"doc_id", "piece", "sequence_id", "offset"}
+
+
+def test_toxicity_separates_words(spark):
+    said = "he is a clown and you moron said that the idiot and the stupid ass is worthless to the clown"
+    decoder = toxicity.Decoder(toxicity.language_model(docs_of(spark, [said] * 50)))
+    for text, words in [("he is a c l o w n today", {"a", "clown", "today"}), ("y o u m o r o n!", {"you", "moron"}), ("an i  d  i  o  t .", {"idiot"}), ("y o u  m o r o n", {"you", "moron"}), ("an a s s", {"ass"}), ("t.h.e.c.l.o.w.n", {"the", "clown"})]:
+        assert words <= toxicity.restored(text, decoder)[0], text
+    for separator in " .":
+        long = separator.join((said.replace(" ", "")) * 40)
+        assert len(long) > 5000 and {"clown", "moron", "idiot", "stupid"} <= toxicity.restored(long, decoder)[0]
