@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections import Counter
 
 import numpy as np
@@ -17,22 +18,25 @@ from .common import materialize, text_or_empty
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou", "#": "h"}
 LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßéèêçàâîôûñáíóú"
 #: Costs of the channel, as natural logarithms.
-SUBSTITUTED, COLLAPSED, DOUBLED, DROPPED = -1.0, -0.3, -1.2, -0.2
+SUBSTITUTED, COLLAPSED, DOUBLED, DROPPED, NOTHING = -1.0, -0.3, -1.2, -0.2, -8.0
 #: A separator may end a word (a gain, as trigrams favour long words: neighbours are joined again, see separate_words). One wider than the narrowest of its part does so unless the letters speak against it.
 BOUNDARY, JOINED = 1.0, -3.0
 #: Long parts are decoded in pieces of so many runs; so many choices before the end stay open.
 PIECE, LAG = 256, 48
-SEPARATORS = ".-_*~"
+SEPARATORS = string.punctuation
 _code = np.zeros(0x3000, np.uint8)
 for _k, _c in enumerate(LETTERS, 1):
     _code[ord(_c)] = _code[ord(_c.upper() if len(_c.upper()) == 1 else _c)] = _k
 SIZE = len(LETTERS) + 1
 CODE = {c: k for k, c in enumerate(LETTERS, 1)}
 
-LEETED = re.compile(r"[^\W\d_]+[\d@$!|+(*#]+[^\W\d_]|[\d@$!|+(*#]+[^\W\d_]{2}|[^\W\d_]{2,}[\d@$|+(*#]")
-REPEATED = re.compile(r"([^\W\d_])\1\1")
-SEPARATED = re.compile(r"[^\W_](?:[.\-_*~][^\W_]){2,}")
-_UNIT = r"(?:[^\W_]|[@$!|+(*#])"
+_SYMBOLS = re.escape("".join(c for c in LEET if not c.isdigit()))
+_UNIT = rf"(?:[^\W_]|[{_SYMBOLS}])"
+LEETED = re.compile(rf"[0-9{_SYMBOLS}]")
+LEET_ONLY = re.compile(rf"[0-9{_SYMBOLS}]+")
+REPEATED = re.compile(r"([^\W\d_])\1")
+STRETCHED = re.compile(r"([^\W\d_])\1\1|(?:([^\W\d_])\2){3}")
+SEPARATED = re.compile(rf"{_UNIT}(?:[{re.escape(SEPARATORS)}]+{_UNIT}){{2}}")
 SPACED = re.compile(rf"(?<![^\s(\"']){_UNIT}(?:\s+{_UNIT}(?=[.,;:?!\"')]*(?:\s|$))){{2,}}")
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -77,20 +81,22 @@ class Decoder:
         self.model, self.most, self.known = model, cache, {}
 
     @staticmethod
-    def _choices(char: str, run: int, spaced: int) -> list[tuple[tuple[int, ...], float]]:
-        """What a run of one character may stand for: code sequences with their costs. ``spaced`` is the length of the part's narrowest separator, 0 if its letters are not separated; code 0 ends a word."""
-        if char.isspace() or (spaced and char in SEPARATORS):
-            return [((), DROPPED), ((0,), BOUNDARY)] if run <= spaced else [((), JOINED), ((0,), BOUNDARY)]
+    def _choices(char: str, run: int, marks: set[str], width: int, beside: str = "") -> list[tuple[tuple[int, ...], float]]:
+        """What a run of one character may stand for: code sequences with their costs. ``marks`` are the part's separators and ``width`` is the length of the narrowest; ``beside`` are the neighbouring characters; code 0 ends a word."""
         own = CODE.get(char)
         out: list[tuple[tuple[int, ...], float]] = []
+        if char in marks:
+            out = [((), DROPPED if run <= width else JOINED), ((0,), BOUNDARY)]
+            if char not in LEET:
+                return out
         for code, cost in ([(own, 0.0)] if own else []) + [(CODE[c], SUBSTITUTED) for c in LEET.get(char, "")]:
             out.append(((code,), cost + (COLLAPSED if run > 2 else DOUBLED if run == 2 else 0.0)))
             if run >= 2:
                 out.append(((code, code), cost + (DOUBLED if run > 2 else 0.0)))
         if not out:
             out.append(((), DROPPED))
-        elif char in LEET:  # it may repeat its neighbour, or stand for nothing
-            out.append(((), SUBSTITUTED))
+        elif char in LEET and char not in marks:  # it may repeat its neighbour, or stand for nothing
+            out.append(((), SUBSTITUTED if any(c in beside for c in LEET[char]) else NOTHING))
         return out
 
     @staticmethod
@@ -131,13 +137,17 @@ class Decoder:
                 end += 1
             runs.append((part[k], end - k))
             k = end
-        blanks = [n for c, n in runs if c.isspace()]
-        spaced = min(blanks or [n for c, n in runs if c in SEPARATORS]) if blanks or SEPARATED.search(part) else 0
+        blank = {c for c, _ in runs if c.isspace()}
+        marks = blank | {c for c, _ in runs if c in SEPARATORS and c not in LEET}
+        if not marks and SEPARATED.search(part):
+            marks = {c for c, _ in runs if c in SEPARATORS}
+        width = min((n for c, n in runs if c in (blank or marks)), default=0)
         states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         model, chosen = self.model, []
         for at, (char, run) in enumerate(runs, 1):
+            beside = "".join(c for c, _ in (*runs[max(at - 2, 0) : at - 1], *runs[at : at + 1]))
             new: dict[tuple[int, int], tuple[float, tuple]] = {}
-            for choice, cost in self._choices(char, run, spaced):
+            for choice, cost in self._choices(char, run, marks, width, beside):
                 for (a, b), (score, path) in states.items():
                     total, x, y = score + cost, a, b
                     for code in choice:
@@ -169,7 +179,8 @@ def separate_words(decoded: str) -> list[str]:
 def restored(text: str, decoder: Decoder) -> tuple[set[str], int]:
     """The distinct lower-cased words of a text after deobfuscation, and how many parts were obfuscated.
 
-    Only parts that show leetspeak, separated letters or repetition have a lattice of more than one path; other words stand for themselves."""
+    Only parts that show leetspeak, separated letters or repetition have a lattice of more than one path; other words stand for themselves.
+    Ordinary numbers, doubled letters and marks at the end of a word may have another reading too, but do not count as obfuscated."""
     text = text.lower()
     parts = set(text.split())
     words: set[str] = set()
@@ -180,17 +191,20 @@ def restored(text: str, decoder: Decoder) -> tuple[set[str], int]:
     for part in parts:
         if part.isalpha():
             if REPEATED.search(part):
-                words.add(decoder.decode(part))
-                odd += 1
+                words.update(separate_words(decoder.decode(part)))
+                odd += STRETCHED.search(part) is not None
             words.add(part)
             continue
         words.update(WORDS.findall(part))
-        if SEPARATED.search(part):
-            words.update(separate_words(decoder.decode(part.strip(".,;:?\"'()"))))
-            odd += 1
-        elif LEETED.search(part) or REPEATED.search(part):
-            words.add(decoder.decode(part.strip(".,;:?\"'()!")))
-            odd += 1
+        core = part.strip(".,;:?\"'()!")
+        for form in {core, part.strip(".,;:?\"')")}:  # "!" and "(" may be letters
+            if len(form) < 2:
+                continue
+            leet = LEETED.search(form) and WORDS.search(form)
+            separated = SEPARATED.search(form)
+            if leet or separated or REPEATED.search(form) or LEET_ONLY.fullmatch(form):
+                words.update(separate_words(decoder.decode(form)))
+                odd += form is core and bool(leet or separated or STRETCHED.search(form))
     return words, odd
 
 

@@ -377,3 +377,11 @@ def test_toxicity_separates_words(spark):
     for separator in " .":
         long = separator.join((said.replace(" ", "")) * 40)
         assert len(long) > 5000 and {"clown", "moron", "idiot", "stupid"} <= toxicity.restored(long, decoder)[0]
+
+
+def test_toxicity_gate_is_as_wide_as_the_channel(spark):
+    said = "the idiot and the stupid moron said that the loser is a clown"
+    decoder = toxicity.Decoder(toxicity.language_model(docs_of(spark, [said] * 50)))
+    for part, word in [("1d107", "idiot"), ("1053r", "loser"), ("iiddiioott", "idiot"), ("iddiot", "idiot"), ("i/d/i/o/t", "idiot"), ("i,d,i,o,t", "idiot"), ("i!d!i!o!t", "idiot"), ("m..o..r..o..n", "moron"), ("(lown", "clown"), ("1d107,", "idiot"), ("i.d.!.0.t", "idiot")]:
+        assert word in toxicity.restored(f"see {part} here", decoder)[0], part
+    assert toxicity.restored("hello, in 2021 (all) went well!", decoder)[1] == 0
