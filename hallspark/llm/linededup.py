@@ -21,14 +21,24 @@ def _n_words(plain: Column) -> Column:
     return F.when(plain == "", 0).otherwise(F.octet_length(plain) - F.octet_length(F.replace(plain, F.lit(" "), F.lit(""))) + 1)
 
 
-def _anchors(plain: Column, n: Column, least_words: int) -> list[Column]:
-    """One word edit leaves the first or the last words of a line as they are: eight of 16 or more, else half of ``least_words``. Lines of 16 have both kinds, as they may pair with either side."""
+def _units(plain: Column, least_words: int) -> Column:
+    """The words of a line, or its characters, marked as such, if it has fewer than ``least_words`` words."""
+    chars = lambda x: F.transform(F.filter(F.split(x, ""), lambda y: y != ""), lambda y: F.concat(F.lit("\n"), y))
+    return F.get(F.transform(F.array(plain), lambda x: F.when(_n_words(x) < least_words, chars(x)).otherwise(F.split(x, " "))), F.lit(0))
+
+
+def _anchors(plain: Column, n: Column, least_words: int, least_chars: int | None = None) -> list[Column]:
+    """One word edit leaves the first or the last words of a line as they are: eight of 16 or more, else half of ``least_words``. Lines of 16 have both kinds, as they may pair with either side. Of shorter lines, one edit of a character leaves the first or the last half of ``least_chars``."""
     few = least_words // 2
 
     def ends(k: int, used: Column) -> list[Column]:
         return [F.when(used, F.xxhash64(F.lit(2 * k), F.substring_index(plain, " ", k))), F.when(used, F.xxhash64(F.lit(2 * k + 1), F.substring_index(plain, " ", -k)))]
 
-    return ends(8, n >= 16) + ends(few, (n >= least_words) & (n <= 16))
+    long, own = ends(8, n >= 16), ends(few, (n >= least_words) & (n <= 16))
+    if least_chars is not None:
+        half, used = least_chars // 2, (n < least_words) & (F.length(plain) >= least_chars)
+        own = [F.coalesce(k, F.when(used, F.xxhash64(F.lit(j - 2), x))) for j, (k, x) in enumerate(zip(own, (F.substring(plain, 1, half), F.substring(plain, -half, half)), strict=True))]
+    return long + own
 
 
 def _block_keys(words: Column, blocks: int = 4) -> Column:
@@ -53,12 +63,14 @@ def _one_edit(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), replaced).when(F.abs(F.size(a) - F.size(b)) == 1, deleted).otherwise(False)
 
 
-def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_words: int = 8) -> DataFrame:
+def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_words: int = 8, least_chars: int | None = None) -> DataFrame:
     """The lines that an earlier one repeats: (doc_id, text_hash, removed), removed being the list of line numbers.
 
     Lines lie between newlines; they compare by their lower-cased words. Order: doc_id, then the text's hash, then the
     number of the line. A line without words is never removed. A line goes if an equal one is earlier; one of at least
     ``least_words`` words also goes if an earlier one is within one word edit of it, be that itself kept or not.
+    With ``least_chars``, a line of fewer words goes too if an earlier one of fewer words is within one edit of a
+    character of it and both have ``least_chars`` characters or more, words being one blank apart.
 
     Deletion neighbourhood: each distinct line and its variants with one word deleted are keyed by hash. Lines that
     share a variant of the same word number differ by that word; a line equal to another one's variant lacks a word.
@@ -68,12 +80,14 @@ def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     if not 2 <= least_words <= 16:
         raise ValueError("least_words lies between 2 and 16")
+    if least_chars is not None and least_chars < 4:
+        raise ValueError("least_chars is 4 or more")
     whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keyed = whole.withColumn("th", F.xxhash64("text"))
     plain, n = F.col("plain"), F.col("n")
     lines = keyed.where("text is not null").select("doc_id", "th", F.posexplode(F.split(_low(F.col("text")), "\n")).alias("pos", "line"))
     lines = lines.select("doc_id", "th", "pos", _plain(F.col("line")).alias("plain")).where(plain != "").withColumn("n", _n_words(plain))
-    anchors = [k.alias(f"k{i}") for i, k in enumerate(_anchors(plain, n, least_words))]
+    anchors = [k.alias(f"k{i}") for i, k in enumerate(_anchors(plain, n, least_words, least_chars))]
     lines = materialize(lines.select("doc_id", "th", "pos", F.xxhash64("plain").alias("h1"), F.xxhash64(F.lit(1), "plain").alias("h2"), *anchors), "lines")
 
     at = F.struct("doc_id", "th", "pos")
@@ -84,8 +98,9 @@ def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     flagged = anchored.join(shared, "key", "left_semi").select("first", "h1", "h2").distinct()
     by_doc = materialize(flagged.groupBy("first.doc_id", "first.th").agg(F.collect_list(F.struct("first.pos", "h1", "h2")).alias("some")).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "some"), "flagged-lines")
     by_doc = broadcast_checked(by_doc, 256)
+    spell = (lambda x: F.split(x, " ")) if least_chars is None else (lambda x: _units(x, least_words))
     spelled = keyed.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("doc_id", "th", F.split("text", "\n").alias("own"), F.explode("some").alias("s"))
-    spelled = materialize(spelled.select(F.struct("doc_id", "th", "s.pos").alias("o"), F.col("s.h1").alias("h1"), F.col("s.h2").alias("h2"), F.split(_plain(_low(F.get("own", F.col("s.pos")))), " ").alias("words")).dropDuplicates(["h1", "h2"]), "spelled-lines")
+    spelled = materialize(spelled.select(F.struct("doc_id", "th", "s.pos").alias("o"), F.col("s.h1").alias("h1"), F.col("s.h2").alias("h2"), spell(_plain(_low(F.get("own", F.col("s.pos"))))).alias("words")).dropDuplicates(["h1", "h2"]), "spelled-lines")
 
     blocked = materialize(spelled.select("h1", "h2", F.explode(_block_keys(F.col("words"))).alias("key")), "blocks")
     twice = broadcast_checked(materialize(blocked.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-blocks"), 16)
@@ -115,13 +130,13 @@ def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return materialize(gone.groupBy("doc_id", F.col("th").alias("text_hash")).agg(F.collect_set("pos").alias("removed")), "removed-lines")
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_words: int = 8) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_words: int = 8, least_chars: int | None = None) -> DataFrame:
     """All rows and columns of ``docs`` with the lines that :func:`duplicate_lines` names taken out of the text, plus n_lines and n_removed_lines.
 
     Null texts stay null, with 0 lines. Rows with equal ids and texts are one document twice: neither is earlier, so
     both keep what they keep. An empty table gives an empty result.
     """
-    removed = duplicate_lines(docs, id_col=id_col, text_col=text_col, least_words=least_words)
+    removed = duplicate_lines(docs, id_col=id_col, text_col=text_col, least_words=least_words, least_chars=least_chars)
     removed = broadcast_checked(removed.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), F.col("removed").alias("__gone")), 256)
     text = F.col(text_col)
     joined = docs.join(removed, F.col(id_col).eqNullSafe(F.col("__d")) & (F.xxhash64(text.cast("string")) == F.col("__t")), "left")

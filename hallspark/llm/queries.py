@@ -50,7 +50,7 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), least_chars=16)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

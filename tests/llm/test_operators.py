@@ -385,3 +385,31 @@ def test_toxicity_gate_is_as_wide_as_the_channel(spark):
     for part, word in [("1d107", "idiot"), ("1053r", "loser"), ("iiddiioott", "idiot"), ("iddiot", "idiot"), ("i/d/i/o/t", "idiot"), ("i,d,i,o,t", "idiot"), ("i!d!i!o!t", "idiot"), ("m..o..r..o..n", "moron"), ("(lown", "clown"), ("1d107,", "idiot"), ("i.d.!.0.t", "idiot")]:
         assert word in toxicity.restored(f"see {part} here", decoder)[0], part
     assert toxicity.restored("hello, in 2021 (all) went well!", decoder)[1] == 0
+
+
+def test_line_dedup_short_lines(spark):
+    rng = random.Random(12)
+    lines = ["page 3 of 17 last updated 2021", "Page 4 of 17  last updated 2021", "page 3 of 17 last updated 201", "page 4 of 17 lost updated 2022", "too short a", "too short b", "abcdefghijklmnopq", "a b c d e f g h i j k l m n o p q r", "page 3 of 17 last updated in 2021"]
+    for _ in range(60):
+        line = list(rng.choice(lines))
+        line[rng.randrange(len(line))] = rng.choice("xyz ")
+        lines.append("".join(line))
+
+    def words(line):
+        return tuple(line.lower().split())
+
+    def near(a, b):
+        def once(a, b):
+            a, b = sorted((a, b), key=len)
+            return (sum(x != y for x, y in zip(a, b, strict=True)) == 1) if len(a) == len(b) else len(b) == len(a) + 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+        if min(len(a), len(b)) >= 8:
+            return once(a, b)
+        a, b, few = " ".join(a), " ".join(b), max(len(a), len(b)) < 8
+        return few and min(len(a), len(b)) >= 16 and once(a, b)
+
+    own = [words(x) for x in lines]
+    want = {k: "" if own[k] in own[:k] or any(near(own[j], own[k]) for j in range(k)) else lines[k] for k in range(len(lines))}
+    assert want[1] == want[2] == "" and want[5]
+    out = linededup.dedup_lines(docs_of(spark, lines), least_chars=16).collect()
+    assert {r.doc_id: r.text for r in out} == want
