@@ -13,6 +13,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept_in_worker
+
 BITS = 256
 #: Texts in which two of these meet, or that hold other blanks, are split by the pattern itself.
 MEETING = ("  ", "\n\n", " \n", "\n ")
@@ -252,17 +254,6 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_loaded: dict[tuple, ByteBPE] = {}
-
-
-def loaded(path: str, pattern: str) -> ByteBPE:
-    """One encoder per Python worker, kept between its tasks."""
-    key = path, pattern
-    if key not in _loaded:
-        _loaded[key] = ByteBPE(path, pattern)
-    return _loaded[key]
-
-
 def encode_documents(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode whole texts and decode their ids again: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids).
 
@@ -272,7 +263,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, *, id_col: str =
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
-        bpe = loaded(ranks, pattern)
+        bpe = kept_in_worker(("bytes", ranks, pattern), lambda: ByteBPE(ranks, pattern))
         decimal = [str(k) for k in range(len(bpe.bytes_of))]
         for batch in batches:
             counts, digests, back, all_ids = [], [], [], []

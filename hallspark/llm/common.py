@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +53,41 @@ def broadcast_checked(small: DataFrame, row_bytes: int, limit: int = BROADCAST_B
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+_kept: dict = {}
+
+
+def trim() -> None:
+    """Give the memory that this worker has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def kept_in_worker(name: tuple, make: Callable):
+    """What a Python worker keeps between its tasks, by name. It keeps one thing: a task of another operator drops it."""
+    if name not in _kept:
+        drop_kept()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def drop_kept() -> None:
+    if _kept:
+        _kept.clear()
+        gc.collect()
+    trim()
+
+
+def alone(task: Callable) -> Callable:
+    """A task for mapInArrow that keeps nothing in its worker and drops what tasks of other operators kept there."""
+
+    def run(batches):
+        drop_kept()
+        yield from task(batches)
+        trim()
+
+    return run

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import re
+import string
 import unicodedata
 import zlib
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import kept_in_worker, materialize
 
 END = 0
 #: Blanks of str.split() that the tokenizer keeps in its words.
@@ -20,23 +23,81 @@ KEPT_BLANKS = re.compile(r"[\x1c-\x1f]")
 PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
+class _Numbered(dict):
+    """A number for each part, in order of appearance."""
+
+    def __missing__(self, part: str) -> int:
+        number = self[part] = len(self)
+        return number
+
+
 class WordEncoder:
     """Ids of a tokenizer that drops blanks, remembered by blank-separated part (its words never cross a blank)."""
 
-    def __init__(self, path: str, cache: int = 600_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, cache: int = 300_000):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.most, self.young = cache, {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    @staticmethod
-    def _parts(text: str) -> list[str] | None:
-        """Lower-cased parts; none where lower case or normal form might depend on more than the part."""
-        if KEPT_BLANKS.search(text):
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # words of lower-case letters need no normal form and no pattern: many are encoded as one text, each ending in its only id with a word's end
+        self.of_words = Tokenizer.from_file(path)
+        self.of_words.normalizer = normalizers.Sequence([])
+        self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
+        self.most = cache
+        self._start([""], np.array([END], "<u4"), np.array([1]), np.array([0]))
+
+    def _start(self, parts: list[str], flat: np.ndarray, lengths: np.ndarray, uses: np.ndarray) -> None:
+        """Part k has the ``lengths[k]`` ids from ``starts[k]`` in ``flat``; part 0 is the end of a text."""
+        self.numbers = _Numbered(zip(parts, range(len(parts)), strict=True))
+        self.flat, self.lengths, self.starts, self.uses = flat, lengths, np.cumsum(lengths) - lengths, uses
+
+    def _gathered(self, numbers: np.ndarray) -> np.ndarray:
+        lengths = self.lengths[numbers]
+        ends = np.cumsum(lengths)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[numbers] - (ends - lengths), lengths)]
+
+    def _forget(self) -> None:
+        """Keep the more used half of the parts."""
+        kept = np.union1d([0], np.argsort(-self.uses, kind="stable")[: self.most // 2])
+        parts = list(self.numbers)
+        self._start([parts[k] for k in kept.tolist()], self._gathered(kept), self.lengths[kept], self.uses[kept])
+
+    def _learn(self) -> None:
+        """Find the ids of the parts that were numbered since the last time."""
+        known = len(self.lengths)
+        joined, words, others = [], [], []
+        for part in list(islice(self.numbers, known, None)):
+            core = part.rstrip(string.punctuation)
+            if len(core) < len(part) and core.isalpha():  # the pattern cuts between letters and marks
+                joined.append((self.numbers[part], self.numbers[core], self.numbers[part[len(core) :]]))
+        composed = {number for number, _, _ in joined}
+        for number, part in enumerate(islice(self.numbers, known, None), known):
+            if number not in composed:
+                (words if part.isalpha() else others).append((number, part))
+        found: list[np.ndarray] = [np.zeros(0, "<u4")] * (len(self.numbers) - known)
+        for k in range(0, len(words), 256):
+            some = words[k : k + 256]
+            ids = np.array(self.of_words.encode_batch_fast([" ".join(part for _, part in some)], add_special_tokens=False)[0].ids, "<u4")
+            for (number, _), own in zip(some, np.split(ids, np.flatnonzero(self.ends[ids])[:-1] + 1), strict=True):
+                found[number - known] = own
+        for k in range(0, len(others), 4096):
+            some = others[k : k + 4096]
+            for (number, _), own in zip(some, self.tokenizer.encode_batch_fast([part for _, part in some], add_special_tokens=False), strict=True):
+                found[number - known] = np.array(own.ids, "<u4")
+        of = lambda k: found[k - known] if k >= known else self.flat[self.starts[k] : self.starts[k] + self.lengths[k]]
+        for number, core, tail in joined:
+            found[number - known] = np.concatenate([of(core), of(tail)])
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.flat, self.lengths = np.concatenate([self.flat, *found]), np.concatenate([self.lengths, lengths])
+        self.uses = np.concatenate([self.uses, np.zeros(len(found), np.int64)])
+
+    def _parts(self, text: str) -> list[str] | None:
+        """Lower-cased parts; none where lower case or normal form might depend on more than the part, or the text holds a special token."""
+        if KEPT_BLANKS.search(text) or ("<|" in text and any(map(text.__contains__, self.specials))):
             return None
         if not text.isascii():
             if "\N{GREEK CAPITAL LETTER SIGMA}" in text or not unicodedata.is_normalized("NFC", text):
@@ -45,54 +106,53 @@ class WordEncoder:
             return lower.split() if unicodedata.is_normalized("NFC", lower) else None
         return text.lower().split()
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        every: set[str] = set()
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, with the end's id after them."""
+        if len(self.numbers) > self.most:
+            self._forget()
+        numbered, get = [], self.numbers.__getitem__
         for text in texts:
-            every.update(self._parts(text) or ())
-        new = every - self.young.keys()
-        if len(self.young) + len(new) > self.most:
-            self.young = {part: self.young[part] for part in every & self.young.keys()}
-        order = list(new)
-        for k in range(0, len(order), 4096):
-            some = order[k : k + 4096]
-            for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.young[part] = np.array(found.ids, "<u4").tobytes()
-        get = self.young.__getitem__
-        return [self._ids(t) if (parts := self._parts(t)) is None else b"".join(map(get, parts)) for t in texts]
-
-
-_loaded: dict[str, WordEncoder] = {}
-
-
-def loaded(path: str) -> WordEncoder:
-    """One encoder per Python worker, kept between its tasks."""
-    if path not in _loaded:
-        _loaded[path] = WordEncoder(path)
-    return _loaded[path]
-
-
-def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", chars: int = 8 << 20) -> DataFrame:
-    """Tokenize whole texts, end each with id 0, and cut those longer than ``capacity``: doc_id, piece, start, length, ids_crc32."""
+            parts = self._parts(text)
+            numbered.append(None if parts is None else np.fromiter(chain(map(get, parts), (0,)), np.int32, len(parts) + 1))
+        if len(self.numbers) > len(self.lengths):
+            self._learn()
+        own = [n for n in numbered if n is not None]
+        every = np.concatenate(own) if own else np.zeros(0, np.int32)
+        self.uses += np.bincount(every, minlength=len(self.uses))
+        flat, out, at = self._gathered(every), [], 0
+        for text, mine in zip(texts, numbered, strict=True):
+            if mine is None:
+                out.append(np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END], "<u4"))
+            else:
+                length = int(self.lengths[mine].sum())
+                out.append(flat[at : at + length])
+                at += length
+        return out
+
+
+def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", chars: int = 2 << 20) -> DataFrame:
+    """Tokenize whole texts, end each with id 0, and cut those longer than ``capacity``: doc_id, piece, start, length, ids_crc32.
+
+    ``tokenizer`` is the path of a tokenizer file that every executor can read; its special tokens count where a text
+    holds their strings. A null text is empty: its one piece is the end. A null id stays null; repeated rows give their
+    pieces again; a very long text is encoded whole and alone. An empty table gives an empty result. Other columns are
+    ignored.
+    """
     kind = dict(docs.dtypes)[id_col]
 
     def pieces(batches):
-        encoder = loaded(tokenizer)
-        end = np.array([END], "<u4").tobytes()
+        encoder = kept_in_worker(("words", tokenizer), lambda: WordEncoder(tokenizer))
         for batch in batches:
-            keys, texts, done = batch.column(0), [t or "" for t in batch.column(1).to_pylist()], 0
-            while done < len(texts):
-                upto, size = done, 0
-                while upto < len(texts) and (size < chars or upto == done):
-                    size += len(texts[upto])
-                    upto += 1
+            keys, given = batch.column(0), batch.column(1)
+            sizes, done = pc.fill_null(pc.binary_length(given), 0).to_numpy(zero_copy_only=False), 0
+            while done < len(sizes):
+                upto = done + max(1, int(np.searchsorted(np.cumsum(sizes[done:]), chars, "right")))
                 at, rows = [], []
-                for k, ids in enumerate(encoder.encode_many(texts[done:upto])):
-                    data = ids + end
-                    for piece, start in enumerate(range(0, len(data), 4 * capacity)):
-                        part = data[start : start + 4 * capacity]
-                        at.append(done + k)
-                        rows.append((piece, start // 4, len(part) // 4, zlib.crc32(part)))
+                for k, ids in enumerate(encoder.encode_many([t or "" for t in given.slice(done, upto - done).to_pylist()]), done):
+                    for piece, start in enumerate(range(0, len(ids), capacity)):
+                        part = ids[start : start + capacity]
+                        at.append(k)
+                        rows.append((piece, start, len(part), zlib.crc32(part)))
                 columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), *columns], names=PIECE)
                 done = upto

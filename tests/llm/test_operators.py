@@ -142,7 +142,6 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(queries.tokenizer("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     pieces = packing.token_pieces(docs_of(spark, texts), queries.tokenizer("word_bpe_49k.json"), chars=1000)
     rows = packing.pack(pieces, group_items=15).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
@@ -162,6 +161,17 @@ def test_packing(spark):
     total = sum(r.length for r in rows)
     assert len(by_sequence) <= 1.1 * total / 2048 + 1
     assert packing.pack(pieces.where("false")).count() == 0
+    again = packing.pack(packing.token_pieces(docs_of(spark, ["a b", "a b", "c"], [None, None, None]), queries.tokenizer("word_bpe_49k.json"))).collect()
+    assert [r.doc_id for r in again] == [None] * 3 and sorted(r.length for r in again) == [2, 3, 3]
+
+
+def test_word_encoder_is_the_tokenizer():
+    rng = random.Random(13)
+    own = packing.WordEncoder(queries.tokenizer("word_bpe_49k.json"), cache=300)
+    signs = ["a", "B", "\u00e9", "e\u0301", "\u03a3", " ", "\n", "1", "\u00b2", "'s", "'", "l", "_", "-", ".", "\u6f22", "\u00df", "\u0130", "\u00a0", "\x1c", "<|endoftext|>", "<|", "\ufb01", "\u200b"]
+    for _ in range(300):
+        texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 14))) for _ in range(3)]
+        assert [ids.tolist() for ids in own.encode_many(texts)] == [[*own.tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
 
 
 def test_best_fit_takes_the_tightest_bin():
