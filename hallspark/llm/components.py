@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import alone, materialize
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,7 +45,7 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star rounds: a logarithmic number of joins, each cut off by a written table. No
     component is ever gathered; a hot vertex is only a join key whose rows adaptive execution splits.
     """
-    now = materialize(edges.where("a != b").select("a", "b").mapInArrow(_shrink, "a long, b long").distinct(), "edges")
+    now = materialize(edges.where("a != b").select("a", "b").mapInArrow(alone(_shrink), "a long, b long").distinct(), "edges")
 
     def mark(df):
         return tuple(df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())

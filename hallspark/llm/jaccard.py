@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_checked, materialize, text_or_empty
+from .common import alone, broadcast_checked, materialize, text_or_empty
 from .components import components, forest
 
 #: Hash functions of a sketch; the first PATHS keep their whole value, by which sets are split.
@@ -211,7 +211,7 @@ def jaccard_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, reca
     spark = docs.sparkSession
     words = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), word_hashes(text_or_empty(text_col)).alias("words"))
     hashed = words.select("doc_id", "text_hash", F.xxhash64("words").alias("f1"), F.xxhash64(F.lit(1), "words").alias("f2"), "words")
-    sketched = hashed.mapInArrow(_sketcher(n), "doc_id long, text_hash long, f1 long, f2 long, size long, paths binary, bits binary")
+    sketched = hashed.mapInArrow(alone(_sketcher(n)), "doc_id long, text_hash long, f1 long, f2 long, size long, paths binary, bits binary")
     table = materialize(sketched.withColumn("row", F.monotonically_increasing_id()), "sketches")
     reps = materialize(table.where("size > 0").groupBy("f1", "f2").agg(F.min(F.struct("row", "doc_id")).alias("r"), F.count("*").alias("copies")).select("f1", "f2", F.col("r.row").alias("rep"), F.col("r.doc_id").alias("rep_doc"), "copies"), "reps")
     sets = materialize(table.join(reps.select("rep"), F.col("row") == F.col("rep"), "left_semi").select(F.col("row").alias("rep"), "size", "paths", "bits"), "sets")
@@ -231,12 +231,12 @@ def jaccard_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, reca
         more = large.limit(1).count()
         if more and level < most_levels:
             sample = large.where(F.pmod(F.xxhash64("rep", "node"), F.col("n")) < 48).join(sets.select("rep", "bits"), "rep").select("node", "bits")
-            density = materialize(_sorted_by(sample, "node").mapInArrow(_density, "node long, density double"), f"density-{level}")
+            density = materialize(_sorted_by(sample, "node").mapInArrow(alone(_density), "node long, density double"), f"density-{level}")
             dense = broadcast_checked(density.where(F.col("density") >= crowded).select("node"), 16)
             alike = large.join(dense, "node", "left_semi")
         cells = small.unionByName(_in_cells(alike, block)) if more else small
         given = cells.join(sets.select("rep", "size", "bits"), "rep").select("node", "cell", "side", "rep", "size", "bits")
-        edges.append(materialize(_sorted_by(given, "node", "cell").mapInArrow(_brute(least, threshold), "a long, b long"), f"candidates-{level}"))
+        edges.append(materialize(_sorted_by(given, "node", "cell").mapInArrow(alone(_brute(least, threshold)), "a long, b long"), f"candidates-{level}"))
         if not more or level == most_levels:
             break
         sparse = large.join(dense, "node", "left_anti")
@@ -258,10 +258,10 @@ def jaccard_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, reca
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(w, n).tobytes() for w in _lists(batch.column(1))], pa.binary())], names=["rep", "shingles"])
 
-    spelled = materialize(hashed.join(wanted, same).select("rep", "words").mapInArrow(spell, "rep long, shingles binary").dropDuplicates(["rep"]), "shingles")
+    spelled = materialize(hashed.join(wanted, same).select("rep", "words").mapInArrow(alone(spell), "rep long, shingles binary").dropDuplicates(["rep"]), "shingles")
     placed = needed.where(F.col("n") <= block).select("node", F.lit(0).cast("long").alias("cell"), F.lit(2).alias("side"), "rep").unionByName(_in_cells(needed.where(F.col("n") > block).select("node", "n", "rep"), block // 2))
     full = placed.join(needed.select("rep", "copies"), "rep").join(spelled, "rep").select("node", "cell", "side", "rep", "copies", "shingles")
-    found = materialize(_sorted_by(full, "node", "cell").mapInArrow(_links(threshold), "rep long, links long, root long"), "links")
+    found = materialize(_sorted_by(full, "node", "cell").mapInArrow(alone(_links(threshold)), "rep long, links long, root long"), "links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     linked = components(found.where("root >= 0").select(F.col("rep").alias("a"), F.col("root").alias("b")))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_checked, materialize
+from .common import alone, broadcast_checked, materialize
 
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -74,7 +74,7 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """
     id_type = dict(docs.dtypes)[id_col]
     measured = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
-    measured = measured.mapInArrow(_measure, f"doc_id {id_type}, text_hash long, host string, {METRICS}")
+    measured = measured.mapInArrow(alone(_measure), f"doc_id {id_type}, text_hash long, host string, {METRICS}")
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     soft = (10 * F.col("n_symbols") > F.col("n_words")) | (10 * F.col("n_dup_lines") > 3 * F.col("n_lines"))
     scored = materialize(measured.withColumn("base_failed", base).withColumn("any_failed", base | soft), "quality-rows")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import alone, materialize, text_or_empty
 
 #: What a character may stand for besides itself.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou", "#": "h"}
@@ -63,7 +63,7 @@ def _counted(batches):
 
 def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Log probabilities of a letter after two others, from all texts. Its size is fixed by the alphabet; tasks send sums."""
-    counts = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(_counted, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(alone(_counted), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     table = np.zeros(SIZE**3)
     for r in counts.collect():
         table[r.gram] = r.n
@@ -290,7 +290,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         yield flush()
 
     rate = F.col("toxic") / F.lit(max(1, totals[0])) / (F.col("clean") / F.lit(max(1, totals[1])) + F.lit(1e-9))
-    counted = sample.select("toxic", "text").mapInArrow(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = sample.select("toxic", "text").mapInArrow(alone(count), "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     kept = counted.where((F.col("toxic") >= least_toxic) & (rate > 4)).orderBy(F.desc(rate * F.col("toxic")), "feature").limit(most_features)
     scorer = Scorer(model, {r.feature: (r.toxic, r.clean) for r in kept.collect()}, totals, None)
     shared = spark.sparkContext.broadcast(scorer)
@@ -300,7 +300,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             rows = [shared.value.summary(t, y).tolist() for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    seen = sample.select("toxic", "text").mapInArrow(summarise, "toxic int, x array<double>").collect()
+    seen = sample.select("toxic", "text").mapInArrow(alone(summarise), "toxic int, x array<double>").collect()
     y = np.array([float(r.toxic == 1) for r in seen])
     weights = _fit(np.array([r.x for r in seen]), y) if len(seen) and 0 < y.sum() < len(y) else np.array([-3.0, 0, 0, 0, 0, 0])
     return Scorer(model, scorer.counts, totals, weights)
@@ -325,4 +325,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([shared.value.score(t) for t in batch.column(3).to_pylist()], pa.float64())], names=["doc_id", "text_hash", "held_out", "score"])
 
     given = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), text_or_empty(text_col).alias("text"))
-    return given.mapInArrow(score, f"doc_id {kind}, text_hash long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return given.mapInArrow(alone(score), f"doc_id {kind}, text_hash long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
