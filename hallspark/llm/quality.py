@@ -60,17 +60,44 @@ def _measure(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["doc_id", "text_hash", "host", *(c.split()[0] for c in METRICS.split(", "))])
 
 
-def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most_failing: float = 0.6) -> DataFrame:
-    """Rule metrics of every document, and verdicts of their hosts.
+def fitted_prior(hosts: DataFrame) -> tuple[float, float]:
+    """(a, b) of the beta prior of the hosts' failure rates by moments: the common rate, and the variance between hosts beyond what chance gives hosts of their sizes. Its strength is 2 documents at least and 1000 at most."""
+    rate = F.col("host_failed") / F.col("host_docs")
+    m = hosts.agg(F.sum("host_failed").alias("failed"), F.sum("host_docs").alias("docs"), F.var_samp(rate).alias("var"), F.avg(1 / F.col("host_docs")).alias("noise")).first()
+    mean = min(max((m.failed or 0) / max(m.docs or 0, 1), 1e-6), 1 - 1e-6)
+    between = max((m.var or 0.0) - mean * (1 - mean) * (m.noise or 0.0), mean * (1 - mean) / 1001)
+    strength = max(mean * (1 - mean) / between - 1, 2.0)
+    return mean * strength, (1 - mean) * strength
+
+
+def host_verdicts(hosts: DataFrame, *, least_limit: float = 0.5, certainty: float = 2.0) -> DataFrame:
+    """Hosts (host, host_docs, host_failed) with host_rate, the shrunk rate, and host_kept, the verdict.
+
+    The rate of a host has the posterior Beta(a + failed, b + docs - failed). The limit comes from the prior: one of its
+    standard deviations above the common rate, but not below ``least_limit``, as a host most of whose documents are
+    sound is worth keeping. A host is rejected if its posterior mean lies more than ``certainty`` posterior standard
+    deviations above the limit.
+    """
+    a, b = fitted_prior(hosts)
+    limit = max(least_limit, a / (a + b) + (a * b / (a + b + 1)) ** 0.5 / (a + b))
+    total = F.col("host_docs") + F.lit(a + b)
+    rate = (F.col("host_failed") + F.lit(a)) / total
+    deviation = F.sqrt(rate * (1 - rate) / (total + 1))
+    return hosts.withColumn("host_rate", rate).withColumn("host_kept", rate - certainty * deviation <= limit)
+
+
+def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_limit: float = 0.5, certainty: float = 2.0) -> DataFrame:
+    """Rule metrics of every document, and verdicts of their hosts (:func:`host_verdicts`).
 
     Failures of the rules (too short, repeated windows, symbols, repeated lines) are counted by host. Beta(a, b) is
     fitted to the hosts' rates by moments, which shrinks the rate of a host with few documents to the common one. A
-    host whose shrunk rate exceeds ``most_failing`` is rejected with all its documents; a document that fails the base
-    rules is rejected anyhow. A host is never gathered: its counts are summed before the shuffle, and the verdicts
-    join back by broadcast if their measured size permits, else by a join whose hot keys adaptive execution splits.
+    rejected host goes with all its documents; a document that fails the base rules is rejected anyhow. A host is never
+    gathered: its counts are summed before the shuffle, and the verdicts join back by broadcast if their measured size
+    permits, else by a join whose hot keys adaptive execution splits.
 
     A null text has no words and fails. Documents without a host share the host null. Repeated rows count as often as
-    they occur. An empty table gives an empty result. Other columns are ignored.
+    they occur. A very long text is measured whole, in the memory of one task. Null ids stay. An empty table gives an
+    empty result. Other columns are ignored.
     """
     id_type = dict(docs.dtypes)[id_col]
     measured = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
@@ -79,12 +106,6 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     soft = (10 * F.col("n_symbols") > F.col("n_words")) | (10 * F.col("n_dup_lines") > 3 * F.col("n_lines"))
     scored = materialize(measured.withColumn("base_failed", base).withColumn("any_failed", base | soft), "quality-rows")
     hosts = materialize(scored.groupBy("host").agg(F.count("*").alias("host_docs"), F.count_if("any_failed").alias("host_failed")), "quality-hosts")
-    rate = F.col("host_failed") / F.col("host_docs")
-    m = hosts.agg(F.sum("host_failed").alias("failed"), F.sum("host_docs").alias("docs"), F.var_samp(rate).alias("var"), F.avg(1 / F.col("host_docs")).alias("noise")).first()
-    mean = min(max((m.failed or 0) / max(m.docs or 0, 1), 1e-6), 1 - 1e-6)
-    between = max((m.var or 0.0) - mean * (1 - mean) * (m.noise or 0.0), mean * (1 - mean) * 1e-3)
-    strength = max(mean * (1 - mean) / between - 1, 2.0)
-    shrunk = (F.col("host_failed") + F.lit(mean * strength)) / (F.col("host_docs") + F.lit(strength))
-    verdicts = broadcast_checked(hosts.select(F.col("host").alias("verdict_host"), shrunk.alias("host_rate")), 64)
-    joined = scored.join(verdicts, F.col("host").eqNullSafe(F.col("verdict_host")), "left")
-    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.coalesce("host_rate", F.lit(0.0)) <= most_failing)).alias("kept"), "host_rate", "text_hash")
+    verdicts = host_verdicts(hosts, least_limit=least_limit, certainty=certainty).select(F.col("host").alias("verdict_host"), "host_rate", "host_kept")
+    joined = scored.join(broadcast_checked(verdicts, 64), F.col("host").eqNullSafe(F.col("verdict_host")), "left")
+    return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).alias("kept"), "host_rate", "host_kept", "text_hash")

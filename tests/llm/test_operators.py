@@ -298,12 +298,29 @@ def test_quality(spark):
     assert quality.quality_rules(docs_of(spark, ["a"]).where("false")).count() == 0
 
 
-def test_quality_rejects_a_failing_host(spark):
-    good, bad = " ".join(prose(random.Random(1), 40)), " ".join("#" + w for w in prose(random.Random(2), 40))
-    frame = spark.createDataFrame([(k, bad if host == 0 else good, f"h{host}") for k in range(400) for host in [k % 8]] + [(999, bad, None), (1000, bad, "single")], "doc_id long, text string, source string")
-    kept = {r.doc_id: r.kept for r in quality.quality_rules(frame).collect()}
-    assert not any(kept[k] for k in range(0, 400, 8)) and all(kept[k] for k in range(400) if k % 8)
-    assert kept[999] and kept[1000]  # one bad document says little of its host
+def test_quality_hosts_by_brute_force(spark):
+    """Moments, shrunk rates and verdicts, recomputed: hosts that fail wholly, by two thirds, by a third, and hosts with few documents."""
+    rng = random.Random(14)
+    good, bad = " ".join(prose(rng, 40)), " ".join("#" + w for w in prose(rng, 40))
+    plan = {"awful": (60, 60), "poor": (300, 200), "mixed": (90, 30), "single": (1, 1), None: (3, 2), **{f"h{k}": (40, rng.randint(0, 4)) for k in range(60)}}
+    rows = [(bad if k < fails else good, host) for host, (n, fails) in plan.items() for k in range(n)]
+    frame = spark.createDataFrame([(k % 500, *r, "clash", 1.0) for k, r in enumerate(rows)], "doc_id long, text string, source string, host string, host_rate double")
+    mean = sum(f for _, f in plan.values()) / len(rows)
+    rates = [f / n for n, f in plan.values()]
+    between = np.var(rates, ddof=1) - mean * (1 - mean) * np.mean([1 / n for n, _ in plan.values()])
+    strength = max(mean * (1 - mean) / between - 1, 2)
+    limit = max(0.5, mean + (mean * (1 - mean) / (strength + 1)) ** 0.5)
+    want = Counter()
+    for n, f in plan.values():
+        a, b = mean * strength + f, (1 - mean) * strength + n - f
+        rate, sd = a / (a + b), (a * b / (a + b + 1)) ** 0.5 / (a + b)
+        want[round(rate, 9), bool(rate - 2 * sd <= limit)] += n
+    out = quality.quality_rules(frame).collect()
+    assert Counter((round(r.host_rate, 9), r.kept) for r in out) == want and len(out) == len(rows)
+    hosts = {r.host: r.host_kept for r in quality.host_verdicts(spark.createDataFrame([(h, n, f) for h, (n, f) in plan.items()], "host string, host_docs long, host_failed long")).collect()}
+    assert [h for h, kept in hosts.items() if not kept] == ["awful", "poor"]
+    many = quality.quality_rules(docs_of(spark, [good, good, None, ""], [None, None, 1, 1])).collect()
+    assert sorted((r.doc_id or -1, r.kept) for r in many) == [(-1, True), (-1, True), (1, False), (1, False)]
 
 
 def test_toxicity_decodes(spark):
