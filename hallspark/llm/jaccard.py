@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +13,8 @@ from pyspark.sql import functions as F
 from .common import alone, broadcast_checked, materialize, text_or_empty
 from .components import components, forest
 
-#: Hash functions of a sketch; the first PATHS keep their whole value, by which sets are split.
-SKETCH, PATHS, ROOTS = 128, 48, 16
-MULTIPLIERS = np.random.default_rng(20).integers(0, 2**63, SKETCH, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Hash functions of a sketch that are compared; those by which sets are split keep their whole value: one a run and DEEPER further ones.
+SKETCH, DEEPER = 128, 32
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -37,10 +37,14 @@ def shingles(words: np.ndarray, n: int) -> np.ndarray:
     return np.unique(out)
 
 
-def minima(found: np.ndarray) -> np.ndarray:
-    out = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+def multipliers(functions: int) -> np.ndarray:
+    return np.random.default_rng(20).integers(0, 2**63, functions, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def minima(found: np.ndarray, by: np.ndarray) -> np.ndarray:
+    out = np.full(len(by), np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(found), 4096):
-        np.minimum(out, (found[None, k : k + 4096] * MULTIPLIERS[:, None]).min(axis=1), out=out)
+        np.minimum(out, (found[None, k : k + 4096] * by[:, None]).min(axis=1), out=out)
     return out
 
 
@@ -49,16 +53,17 @@ def _lists(column: pa.Array):
     return (values[offsets[k] : offsets[k + 1]] for k in range(len(column)))
 
 
-def _sketcher(n: int):
+def _sketcher(n: int, paths_kept: int):
     def sketch(batches):
+        by = multipliers(max(SKETCH, paths_kept))
         for batch in batches:
             sizes, paths, bits = [], [], []
             for words in _lists(batch.column(4)):
                 found = shingles(words, n)
-                low = minima(found)
+                low = minima(found, by)
                 sizes.append(len(found))
-                paths.append(low[:PATHS].tobytes())
-                bits.append((low >> np.uint64(8)).astype(np.uint16).tobytes())
+                paths.append(low[:paths_kept].tobytes())
+                bits.append((low[:SKETCH] >> np.uint64(8)).astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sizes, pa.int64()), pa.array(paths, pa.binary()), pa.array(bits, pa.binary())], names=["doc_id", "text_hash", "f1", "f2", "size", "paths", "bits"])
 
     return sketch
@@ -140,16 +145,19 @@ def _path(index: Column) -> Column:
     return F.substring("paths", 8 * index + 1, 8)
 
 
-def _in_cells(members: DataFrame, block: int) -> DataFrame:
-    """Deal the members of large nodes into blocks and each block to the cells of a triangle: node, cell, side, rep."""
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("rep", F.lit(5)), blocks).cast("int")
-    cells = members.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def _in_cells(members: DataFrame) -> DataFrame:
+    """Deal the members of each node into its ``blocks`` and each block to the cells of a triangle: node, cell, side, rep."""
+    own = F.pmod(F.xxhash64("rep", F.lit(5)), F.col("blocks")).cast("int")
+    cells = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
     return cells.select("node", (low * F.col("blocks") + high).cast("long").alias("cell"), side.alias("side"), "rep")
 
 
+def _blocks(share: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(share)).cast("int")
+
+
 def _links(threshold: float):
     """Columns group, cell, side, rep, copies, shingles: exact link counts and a spanning forest of the links of each cell."""
 
@@ -189,7 +197,52 @@ def _links(threshold: float):
     return verify
 
 
-def jaccard_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text", bucket: int = 256, block: int = 512, split: int = 2, most_levels: int = 3, crowded: float = 0.25, slack: float = 0.14) -> DataFrame:
+def runs_for(threshold: float, recall: float, split: int, levels: int) -> int:
+    """Runs after which a pair at the threshold has met with the probability ``recall``, if each run splits ``levels`` times."""
+    meets = threshold * (1 - (1 - threshold) ** split) ** levels
+    return max(1, math.ceil(math.log(1 - recall) / math.log1p(-meets))) if meets < 1 else 1
+
+
+def _counted(members: DataFrame, bucket: int) -> DataFrame:
+    """Members (rep, node) of nodes with more than one, with their number n. Large nodes are few and join by broadcast if their measured size permits, so that no hot node is gathered."""
+    counts = materialize(members.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "node-sizes")
+    large = broadcast_checked(counts.where(F.col("n") > bucket), 16)
+    few = members.join(large, "node", "left_anti").join(counts.where(F.col("n") <= bucket), "node")
+    return few.unionByName(members.join(large, "node"))
+
+
+def _candidates(sets: DataFrame, runs: range, *, roots: int, bucket: int, block: int, split: int, most_levels: int, crowded: float, least: float, threshold: float, planned: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """Runs of the chosen-path search: (spanning forests of the similar pairs, the reps whose buckets were split more than ``planned`` times, the deepest level)."""
+    firsts = F.transform(F.sequence(F.lit(runs.start), F.lit(runs.stop - 1)), lambda r: F.xxhash64(r, _path(r)))
+    members, edges, deep = sets.select("rep", F.explode(firsts).alias("node")), [], None
+    for level in range(most_levels + 1):
+        members = materialize(_counted(members, bucket), f"nodes-{level}")
+        cells = members.where(F.col("n") <= bucket).select("node", F.lit(0).cast("long").alias("cell"), F.lit(2).alias("side"), "rep")
+        large = members.where(F.col("n") > bucket)
+        sparse = None
+        if large.limit(1).count():
+            alike = large
+            if level < most_levels:
+                sample = large.where(F.pmod(F.xxhash64("rep", "node"), F.col("n")) < 48).join(sets.select("rep", "bits"), "rep").select("node", "bits")
+                density = materialize(_sorted_by(sample, "node").mapInArrow(alone(_density), "node long, density double"), f"density-{level}")
+                dense = broadcast_checked(density.where(F.col("density") >= crowded).select("node"), 16)
+                alike, sparse = large.join(dense, "node", "left_semi"), large.join(dense, "node", "left_anti")
+            cells = cells.unionByName(_in_cells(alike.withColumn("blocks", _blocks(F.col("n") / block))))
+        given = cells.join(sets.select("rep", "size", "bits"), "rep").select("node", "cell", "side", "rep", "size", "bits")
+        edges.append(materialize(_sorted_by(given, "node", "cell").mapInArrow(alone(_brute(least, threshold)), "a long, b long"), f"candidates-{level}"))
+        if sparse is None or not sparse.limit(1).count():
+            break
+        if level == planned:
+            deep = materialize(sparse.select("rep").distinct(), "deep-sets")
+        children = F.array(*[F.xxhash64("node", F.lit(j), _path(F.lit(roots) + F.pmod(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) + 7 * j, F.lit(DEEPER)).cast("int"))) for j in range(split)])
+        members = sparse.join(sets.select("rep", "paths"), "rep").select("rep", F.explode(children).alias("node"))
+    found = edges[0]
+    for more in edges[1:]:
+        found = found.unionByName(more)
+    return found, deep, level
+
+
+def jaccard_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text", bucket: int = 256, block: int = 512, split: int = 2, levels: int = 3, most_levels: int = 24, crowded: float = 0.25, block_shingles: int = 4 << 20) -> DataFrame:
     """Link all documents whose sets of word n-grams have a Jaccard similarity of at least ``threshold``.
 
     Chosen-path join: a set is embedded as its MinHash sketch. A run splits all sets by the value of one of its
@@ -197,60 +250,43 @@ def jaccard_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, reca
     on. Small buckets, and larger ones whose sampled sketches agree by ``crowded`` in the mean (near copies, which no
     split would part; others at least halve), are compared by brute force, the latter in blocks. A pair at the threshold
     meets in a run with the probability ``threshold`` times that of surviving all splits, which gives the number of runs
-    for the target recall. Similar sketches only tie candidate components; within each, the whole n-gram sets are compared, all with
-    all, so a link counts once and exactly, and links that every run missed are found there too.
+    for the target recall at ``levels`` splits. Sets whose buckets were split more often get as many further runs as the
+    deepest bucket asks for. Buckets left after ``most_levels`` splits are compared whole, in blocks. Similar sketches
+    only tie candidate components; within each, the whole n-gram sets are compared, all with all, so a link counts once
+    and exactly, and links that every run missed are found there too. The work inside a component is that of its pairs
+    of different texts; a task holds two blocks, bounded in rows and in shingles.
 
     Equal texts are joined once, by a representative, and no task emits pairs: link counts and spanning forests only.
 
     Words are lower-cased and lie between ASCII blanks. A text of fewer than ``n`` words is one n-gram; one without
     words (null, empty) links with nothing. Rows with equal ids are documents of their own; a null id names a class only
-    if it has no other. An empty table gives an empty result. Other columns are ignored.
+    if it has no other. A very long text is one set, in the memory of one task. An empty table gives an empty result.
+    Other columns are ignored.
 
     Returns doc_id, class_id (least doc_id that links reach), n_links (documents linked directly), kept (one a class), text_hash.
     """
     spark = docs.sparkSession
     words = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), word_hashes(text_or_empty(text_col)).alias("words"))
     hashed = words.select("doc_id", "text_hash", F.xxhash64("words").alias("f1"), F.xxhash64(F.lit(1), "words").alias("f2"), "words")
-    sketched = hashed.mapInArrow(alone(_sketcher(n)), "doc_id long, text_hash long, f1 long, f2 long, size long, paths binary, bits binary")
+    runs, roots = runs_for(threshold, recall, split, levels), runs_for(threshold, recall, split, most_levels)
+    sketched = hashed.mapInArrow(alone(_sketcher(n, roots + DEEPER)), "doc_id long, text_hash long, f1 long, f2 long, size long, paths binary, bits binary")
     table = materialize(sketched.withColumn("row", F.monotonically_increasing_id()), "sketches")
     reps = materialize(table.where("size > 0").groupBy("f1", "f2").agg(F.min(F.struct("row", "doc_id")).alias("r"), F.count("*").alias("copies")).select("f1", "f2", F.col("r.row").alias("rep"), F.col("r.doc_id").alias("rep_doc"), "copies"), "reps")
     sets = materialize(table.join(reps.select("rep"), F.col("row") == F.col("rep"), "left_semi").select(F.col("row").alias("rep"), "size", "paths", "bits"), "sets")
 
-    meets = threshold * (1 - (1 - threshold) ** split) ** most_levels
-    runs = min(ROOTS, math.ceil(math.log(1 - recall) / math.log(1 - meets)))
-    least = threshold - slack
-    roots = F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.xxhash64(r, _path(r)))
-    members = sets.select("rep", F.explode(roots).alias("node"))
-    edges = []
-    for level in range(most_levels + 1):
-        counted = members.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        members = materialize(members.join(counted, "node"), f"nodes-{level}")
-        small = members.where(F.col("n") <= bucket).select("node", F.lit(0).cast("long").alias("cell"), F.lit(2).alias("side"), "rep")
-        large = members.where(F.col("n") > bucket)
-        alike = large
-        more = large.limit(1).count()
-        if more and level < most_levels:
-            sample = large.where(F.pmod(F.xxhash64("rep", "node"), F.col("n")) < 48).join(sets.select("rep", "bits"), "rep").select("node", "bits")
-            density = materialize(_sorted_by(sample, "node").mapInArrow(alone(_density), "node long, density double"), f"density-{level}")
-            dense = broadcast_checked(density.where(F.col("density") >= crowded).select("node"), 16)
-            alike = large.join(dense, "node", "left_semi")
-        cells = small.unionByName(_in_cells(alike, block)) if more else small
-        given = cells.join(sets.select("rep", "size", "bits"), "rep").select("node", "cell", "side", "rep", "size", "bits")
-        edges.append(materialize(_sorted_by(given, "node", "cell").mapInArrow(alone(_brute(least, threshold)), "a long, b long"), f"candidates-{level}"))
-        if not more or level == most_levels:
-            break
-        sparse = large.join(dense, "node", "left_anti")
-        if not sparse.limit(1).count():
-            break
-        children = F.array(*[F.xxhash64("node", F.lit(j), _path(ROOTS + F.pmod(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) + 7 * j, F.lit(PATHS - ROOTS)).cast("int"))) for j in range(split)])
-        members = sparse.join(sets.select("rep", "paths"), "rep").select("rep", F.explode(children).alias("node"))
-
-    candidates = edges[0]
-    for more_edges in edges[1:]:
-        candidates = candidates.unionByName(more_edges)
+    # a sketch of a pair at the threshold agrees in at least this share, with the same probability as the runs find it
+    least = threshold - (NormalDist().inv_cdf(recall) + 0.25) * math.sqrt(threshold * (1 - threshold) / SKETCH)
+    options = {"roots": roots, "bucket": bucket, "block": block, "split": split, "most_levels": most_levels, "crowded": crowded, "least": least, "threshold": threshold, "planned": levels}
+    candidates, deep, deepest = _candidates(sets, range(runs), **options)
+    if deep is not None:
+        further = range(runs, runs_for(threshold, recall, split, deepest))
+        again = materialize(sets.join(deep, "rep", "left_semi"), "deep-sketches")
+        candidates = candidates.unionByName(_candidates(again, further, **options)[0])
     tied = components(candidates)
-    crowd = tied.groupBy("component").agg(F.count("*").alias("n"))
-    needed = materialize(tied.join(crowd, "component").join(reps, F.col("vertex") == F.col("rep")).select(F.col("component").alias("node"), "n", "rep", "rep_doc", "f1", "f2", "copies"), "needed")
+    tied = materialize(tied.join(sets.select("rep", "size"), F.col("vertex") == F.col("rep")), "tied")
+    # blocks of a component: two of them meet in a cell, which is bounded in rows and in shingles
+    crowd = tied.groupBy("component").agg(_blocks(F.greatest(F.when(F.count("*") <= block, 1).otherwise(F.count("*") / (block // 2)), F.sum("size") / block_shingles)).alias("blocks"))
+    needed = materialize(tied.join(crowd, "component").join(reps, "rep").select(F.col("component").alias("node"), "blocks", "rep", "rep_doc", "f1", "f2", "copies"), "needed")
     wanted = broadcast_checked(needed.select("rep_doc", F.col("f1").alias("g1"), F.col("f2").alias("g2"), "rep"), 64)
     same = F.col("doc_id").eqNullSafe(F.col("rep_doc")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2"))
 
@@ -259,7 +295,7 @@ def jaccard_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, reca
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(w, n).tobytes() for w in _lists(batch.column(1))], pa.binary())], names=["rep", "shingles"])
 
     spelled = materialize(hashed.join(wanted, same).select("rep", "words").mapInArrow(alone(spell), "rep long, shingles binary").dropDuplicates(["rep"]), "shingles")
-    placed = needed.where(F.col("n") <= block).select("node", F.lit(0).cast("long").alias("cell"), F.lit(2).alias("side"), "rep").unionByName(_in_cells(needed.where(F.col("n") > block).select("node", "n", "rep"), block // 2))
+    placed = _in_cells(needed.select("node", "blocks", "rep"))
     full = placed.join(needed.select("rep", "copies"), "rep").join(spelled, "rep").select("node", "cell", "side", "rep", "copies", "shingles")
     found = materialize(_sorted_by(full, "node", "cell").mapInArrow(alone(_links(threshold)), "rep long, links long, root long"), "links")
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))

@@ -440,3 +440,25 @@ def test_line_dedup_short_lines(spark):
     assert want[1] == want[2] == "" and want[5]
     out = linededup.dedup_lines(docs_of(spark, lines), least_chars=16).collect()
     assert {r.doc_id: r.text for r in out} == want
+
+
+def test_jaccard_low_threshold_and_deep_splits(spark):
+    """At a threshold of 0.5 more runs are needed than a sketch used to have; a phrase in most texts makes buckets that split more often than planned."""
+    rng = random.Random(15)
+    assert jaccard.runs_for(0.8, 0.9999, 2, 3) == 8 and jaccard.runs_for(0.5, 0.9999, 2, 3) > 16
+    phrase, texts = " ".join(prose(rng, 30)), []
+    for _ in range(60):
+        base = prose(rng, 30)
+        for _ in range(2):
+            copy = list(base)
+            copy[rng.randrange(30)] = f"v{rng.randrange(99)}"
+            texts.append(f"{' '.join(copy)} {phrase}")
+
+    def sets(t):
+        w = t.split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    own = [sets(t) for t in texts]
+    want = [sum(i != j and 2 * len(a & b) >= len(a | b) for j, b in enumerate(own)) for i, a in enumerate(own)]
+    rows = jaccard.jaccard_classes(docs_of(spark, texts), threshold=0.5, bucket=4, block=16, levels=0, most_levels=2, crowded=0.9, block_shingles=500).collect()
+    assert [r.n_links for r in sorted(rows, key=lambda r: r.doc_id)] == want and sum(want) > 60
