@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .common import clamp
+from .dimension_texts import TEXTS
 
 VERSION = "1.0.0"
 HALL_TYPES = ("RESIDENCE_HALL", "MIXED", "FRESHMAN_ONLY")
@@ -33,8 +34,20 @@ class Dimension:
 
     @property
     def texts(self) -> tuple[str, str, str]:
-        """What a good, a poor and a missing score say; made from the label."""
-        return f"Good match: {self.label}", f"Weak match: {self.label}", f"{self.label} is unknown"
+        """What a good, a poor and a missing score say; made from the label for dimensions that were registered without texts."""
+        return TEXTS[self.id][3:] if self.id in TEXTS else (f"Good match: {self.label}", f"Weak match: {self.label}", f"{self.label} is unknown")
+
+    @property
+    def mode(self) -> str:
+        return TEXTS[self.id][0] if self.id in TEXTS else "quality"
+
+    @property
+    def may_be_required(self) -> bool:
+        return self.id in TEXTS and TEXTS[self.id][1]
+
+    @property
+    def description(self) -> str:
+        return TEXTS[self.id][2] if self.id in TEXTS else self.label
 
 
 @dataclass(frozen=True)

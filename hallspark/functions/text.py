@@ -12,13 +12,58 @@ DORM_TYPES = {"residence hall": "residence_hall", "res hall": "residence_hall",
 BATHROOMS = [("community bathroom", "communal"), ("shared bathroom", "communal"), ("communal bathroom", "communal"), ("communal", "communal"), ("suite bathroom", "suite"), ("suite-style", "suite"), ("private bathroom", "private"), ("in-room bathroom", "private")]
 AC_TERMS = ("a/c", "ac", "air conditioning", "air-conditioned", "central air")
 ROOM_TYPES = {"single room": "single", "single": "single", "1-person room": "single", "double room": "double", "traditional double": "double", "2-person room": "double", "triple": "triple", "quad": "quad"}
-REGIONS = {
-    "NORTHEAST": "CT ME MA NH NJ NY PA RI VT DE MD DC",
-    "SOUTHEAST": "AL AR FL GA KY LA MS NC SC TN VA WV",
-    "MIDWEST": "IL IN IA KS MI MN MO NE ND OH SD WI",
-    "SOUTHWEST": "AZ NM OK TX",
-    "WEST": "CA HI NV UT CO",
-    "NORTHWEST": "AK ID MT OR WA WY",
+REGION_OF_STATE = {
+    "CT": "NORTHEAST",
+    "ME": "NORTHEAST",
+    "MA": "NORTHEAST",
+    "NH": "NORTHEAST",
+    "NJ": "NORTHEAST",
+    "NY": "NORTHEAST",
+    "PA": "NORTHEAST",
+    "RI": "NORTHEAST",
+    "VT": "NORTHEAST",
+    "DE": "NORTHEAST",
+    "MD": "NORTHEAST",
+    "DC": "NORTHEAST",
+    "AL": "SOUTHEAST",
+    "AR": "SOUTHEAST",
+    "FL": "SOUTHEAST",
+    "GA": "SOUTHEAST",
+    "KY": "SOUTHEAST",
+    "LA": "SOUTHEAST",
+    "MS": "SOUTHEAST",
+    "NC": "SOUTHEAST",
+    "SC": "SOUTHEAST",
+    "TN": "SOUTHEAST",
+    "VA": "SOUTHEAST",
+    "WV": "SOUTHEAST",
+    "IL": "MIDWEST",
+    "IN": "MIDWEST",
+    "IA": "MIDWEST",
+    "KS": "MIDWEST",
+    "MI": "MIDWEST",
+    "MN": "MIDWEST",
+    "MO": "MIDWEST",
+    "NE": "MIDWEST",
+    "ND": "MIDWEST",
+    "OH": "MIDWEST",
+    "SD": "MIDWEST",
+    "WI": "MIDWEST",
+    "AZ": "SOUTHWEST",
+    "NM": "SOUTHWEST",
+    "OK": "SOUTHWEST",
+    "TX": "SOUTHWEST",
+    "CA": "WEST",
+    "HI": "WEST",
+    "NV": "WEST",
+    "UT": "WEST",
+    "CO": "WEST",
+    "AK": "NORTHWEST",
+    "ID": "NORTHWEST",
+    "MT": "NORTHWEST",
+    "OR": "NORTHWEST",
+    "WA": "NORTHWEST",
+    "WY": "NORTHWEST",
 }
 SOURCE_CONFIDENCE = {"OFFICIAL_WEBSITE": 0.95, "OFFICIAL_PDF": 0.92, "HOUSING_RATES": 0.9, "CAMPUS_MAP": 0.75, "RESIDENCE_LIFE": 0.88, "PUBLIC_REVIEW": 0.45, "STUDENT_FORUM": 0.35, "OTHER": 0.5}
 
@@ -32,10 +77,8 @@ def school_type(c: Column) -> Column:
 
 
 def region_for_state(c: Column) -> Column:
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for region, states in REGIONS.items():
-        out = out.when(c.isin(states.split()), F.lit(region))
-    return out.otherwise("OTHER")
+    regions = F.create_map(*[F.lit(x) for entry in REGION_OF_STATE.items() for x in entry])
+    return F.coalesce(F.try_element_at(regions, F.upper(c)), F.lit("OTHER"))
 
 
 def normalize_website(c: Column) -> Column:

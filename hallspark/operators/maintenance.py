@@ -175,16 +175,29 @@ def match_institutions(incoming: DataFrame, colleges: DataFrame) -> DataFrame:
     return incoming.join(by_id, "ipeds_id", "left").join(by_slug, "slug", "left").withColumn("college_id", F.coalesce("id_by_ipeds", F.when(usable, c("id_by_slug")))).drop("id_by_ipeds", "id_by_slug", "other_ipeds")
 
 
-def assign_slugs(incoming: DataFrame, colleges: DataFrame) -> DataFrame:
-    """A slug for each incoming institution (ipeds_id, name): its name's, or with the ipeds id, or numbered, so that none is given twice."""
-    taken = colleges.select("slug").distinct().withColumn("taken", F.lit(True))
-    based = incoming.withColumn("base", slugify(c("name")))
-    first = F.row_number().over(Window.partitionBy("base").orderBy(F.asc_nulls_last("ipeds_id"), "name"))
-    ranked = based.withColumn("k", first).join(taken, c("base") == c("slug"), "left").drop("slug")
-    clash = F.coalesce(c("taken"), F.lit(False)) | (c("k") > 1)
-    with_id = F.concat_ws("-", "base", c("ipeds_id").cast("string"))
-    slug = F.when(~clash, c("base")).when(c("ipeds_id").isNotNull(), with_id).otherwise(F.concat(c("base"), F.lit("-"), (c("k") + F.coalesce(c("taken").cast("int"), F.lit(0))).cast("string")))
-    return ranked.withColumn("slug", slug).drop("k", "taken", "base")
+def assign_slugs(incoming: DataFrame, colleges: DataFrame, tie: str | None = None) -> DataFrame:
+    """A slug for each incoming institution (ipeds_id, name): its name's, or with the ipeds id, or numbered from 2, so that none is given twice and no stored one again.
+
+    Within a name the order is that of ipeds ids, nulls last, then of ``tie``. A name without letters or digits gives ``institution``, with the ipeds id if there is one."""
+    stored = colleges.where("slug IS NOT NULL").select("slug").distinct()
+    plain = slugify(c("name"))
+    base = F.when(F.coalesce(plain, F.lit("")) != "", plain).otherwise(F.concat_ws("-", F.lit("institution"), c("ipeds_id").cast("string")))
+    order = Window.partitionBy("base").orderBy(F.asc_nulls_last("ipeds_id"), "name", *([tie] if tie else []))
+    ranked = incoming.withColumns({"base": base, "with_id": F.when(c("ipeds_id").isNotNull(), F.concat_ws("-", base, c("ipeds_id").cast("string")))}).withColumn("k", F.row_number().over(order))
+    first = ranked.join(stored.select(c("slug").alias("base"), F.lit(True).alias("base_stored")), "base", "left").withColumn("own", c("base_stored").isNull() & (c("k") == 1))
+    # what names of the batch will take as they are, and what is stored, no suffix may give again
+    whole = stored.unionByName(first.where("own").select(c("base").alias("slug"))).distinct()
+    second = first.join(whole.select(c("slug").alias("with_id"), F.lit(True).alias("id_taken")), "with_id", "left")
+    second = second.withColumn("by_id", ~c("own") & c("with_id").isNotNull() & c("id_taken").isNull())
+    taken = whole.unionByName(second.where("by_id").select(c("with_id").alias("slug"))).distinct()
+    numbers = taken.select(F.regexp_replace("slug", r"-\d+$", "").alias("base"), F.try_to_number(F.regexp_extract("slug", r"-([1-9]\d{0,8})$", 1), F.lit("999999999")).cast("int").alias("number")).where("number >= 2")
+    left = second.where("NOT own AND NOT by_id").withColumn("j", F.row_number().over(order))
+    # the j-th number that is free: number - (how many taken ones lie below) counts the free ones before it
+    gaps = numbers.withColumn("free_before", c("number") - 1 - F.row_number().over(Window.partitionBy("base").orderBy("number")))
+    below = left.select("base", "j").join(gaps, "base", "left").groupBy("base", "j").agg(F.count_if(c("free_before") < c("j")).cast("int").alias("skipped"))
+    numbered = left.join(below, ["base", "j"]).withColumn("slug", F.concat_ws("-", "base", (c("j") + 1 + c("skipped")).cast("string"))).drop("j", "skipped")
+    done = second.where("own OR by_id").withColumn("slug", F.when(c("own"), c("base")).otherwise(c("with_id")))
+    return done.unionByName(numbered).drop("k", "base", "with_id", "own", "by_id", "base_stored", "id_taken")
 
 
 def import_institutions(parsed: DataFrame, colleges: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -133,8 +133,9 @@ def match_reasons(pairs: DataFrame, weights: dict[str, Column], toggle: Column |
     return out.withColumns({"positives": F.slice(good, 1, 5), "tradeoffs": F.slice(poor, 1, 5), "unknowns": F.slice(F.array_union(first, must), 1, 6)}).drop("__d")
 
 
-def rank_matches(matches: DataFrame, run_key: str, limit: int | None = None) -> DataFrame:
-    order = Window.partitionBy(run_key).orderBy(F.desc("match_score"), F.desc("confidence_score"), F.asc("name"), F.asc("hall_id"))
+def rank_matches(matches: DataFrame, run_key: str | tuple[str, ...], limit: int | None = None) -> DataFrame:
+    keys = (run_key,) if isinstance(run_key, str) else run_key
+    order = Window.partitionBy(*keys).orderBy(F.desc("match_score"), F.desc("confidence_score"), F.asc("name"), F.asc("hall_id"))
     ranked = matches.withColumn("rank", F.row_number().over(order))
     return ranked if limit is None else ranked.where(c("rank") <= limit)
 
@@ -145,13 +146,21 @@ def match_pairs(profiles: DataFrame, halls: DataFrame) -> DataFrame:
     return profiles.withColumnRenamed("id", "profile_id").join(own, "college_id")
 
 
-def match(profiles: DataFrame, halls: DataFrame, weights: dict[str, Column], *, toggle: Column | None = None, limit: int | None = None, options: Options | None = None) -> DataFrame:
-    """All three outcomes of every profile and hall of its institution: eligible halls ranked, unverified ones scored, excluded ones with reasons and rank 0."""
+OUTCOMES = ("eligible", "unverified", "excluded")
+
+
+def match(profiles: DataFrame, halls: DataFrame, weights: dict[str, Column], *, toggle: Column | None = None, limit: int | None = None, options: Options | None = None, outcomes: tuple[str, ...] = OUTCOMES) -> DataFrame:
+    """Every profile and hall of its institution with one of the ``outcomes``: eligible halls ranked, up to ``limit`` a profile, unverified ones scored, excluded ones with reasons and rank 0.
+
+    Eligible rows are ranked apart, so that with a limit each task keeps that many a profile before the shuffle."""
     scored = with_dimensions(filter_matchable(halls), options, [k for k in weights])
     judged = match_score(classify_constraints(match_pairs(profiles, scored)), weights, toggle)
-    rank = F.row_number().over(Window.partitionBy("profile_id", "outcome").orderBy(F.desc("match_score"), F.desc("confidence_score"), F.asc("name"), F.asc("hall_id")))
-    ranked = judged.withColumn("rank", F.when(c("outcome") == "excluded", 0).otherwise(rank))
-    return ranked if limit is None else ranked.where((c("outcome") != "eligible") | (c("rank") <= limit))
+    eligible = rank_matches(judged.where(c("outcome") == "eligible"), "profile_id", limit)
+    rest = [k for k in outcomes if k != "eligible"]
+    if not rest:
+        return eligible
+    others = rank_matches(judged.where(c("outcome").isin(rest)), ("profile_id", "outcome")).withColumn("rank", F.when(c("outcome") == "excluded", 0).otherwise(c("rank")))
+    return eligible.unionByName(others) if "eligible" in outcomes else others
 
 
 def match_results(matches: DataFrame) -> DataFrame:
@@ -198,7 +207,7 @@ def quiz_topk(quizzes: DataFrame, halls: DataFrame, n: int = 10) -> DataFrame:
     profile = quiz_profile(quizzes)
     weights = {k[2:]: c(k) for k in profile.columns if k.startswith("w_")}
     average = halls.groupBy("college_id").agg(F.avg("yearly_cost").alias("avg_cost"))
-    return match(profile, halls.drop("avg_cost").join(average, "college_id", "left"), weights, toggle=c("communal_ok"), limit=n).where("outcome = 'eligible'")
+    return match(profile, halls.drop("avg_cost").join(average, "college_id", "left"), weights, toggle=c("communal_ok"), limit=n, outcomes=("eligible",))
 
 
 def compare_pair(pairs: DataFrame, halls: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import assess_name, fuzzy_name, same_entity
+from ..functions.names import assess_name, fuzzy_name, name_form, same_entity, same_form
 from ..functions.text import slugify
 
 c = F.col
@@ -40,12 +41,16 @@ def top_duplicates(pairs: DataFrame, n: int = 30) -> DataFrame:
 
 
 def resolve_entities(candidates: DataFrame, halls: DataFrame, priority: bool = False) -> DataFrame:
-    """Candidates (candidate_id, college_id, candidate_name) with the hall that each means: equal slugs or surely one entity. The first hall by id counts; with ``priority``, equal slugs first."""
-    pairs = candidates.join(halls.select("college_id", c("id").alias("hall_id"), c("name").alias("hall_name"), "slug"), "college_id")
-    by_slug = slugify(c("candidate_name")) == c("slug")
-    hits = pairs.withColumn("by", F.when(by_slug, 0).when(same_entity(c("candidate_name"), c("hall_name")), 1)).where("by IS NOT NULL")
-    best = hits.groupBy("candidate_id").agg(F.min(F.struct(c("by") if priority else F.lit(0).alias("by"), "hall_id")).alias("m"))
-    return candidates.join(best, "candidate_id", "left").select("candidate_id", "college_id", "candidate_name", c("m.hall_id").alias("hall_id"))
+    """Candidates (candidate_id, college_id, candidate_name) with the hall that each means: equal slugs or surely one entity. The first hall by id counts; with ``priority``, equal slugs first.
+
+    Slugs meet in an equi-join. Names repeat more often than halls, so the distinct names of an institution are brought into comparable form once and then compared."""
+    slugs = halls.groupBy("college_id", "slug").agg(F.min("id").alias("by_slug"))
+    known = halls.groupBy("college_id", c("name").alias("hall_name")).agg(F.min("id").alias("hall_id")).withColumn("hall_form", name_form(c("hall_name")))
+    asked = candidates.select("college_id", "candidate_name").distinct().withColumn("form", name_form(c("candidate_name")))
+    named = asked.join(known, "college_id").where(same_form(c("form"), c("hall_form"))).groupBy("college_id", "candidate_name").agg(F.min("hall_id").alias("by_name"))
+    out = candidates.withColumn("slug", slugify(c("candidate_name"))).join(slugs, ["college_id", "slug"], "left").join(named, ["college_id", "candidate_name"], "left")
+    hall = F.coalesce("by_slug", "by_name") if priority else F.least("by_slug", "by_name")
+    return out.select("candidate_id", "college_id", "candidate_name", hall.alias("hall_id"))
 
 
 def hierarchy_audit(halls: DataFrame) -> DataFrame:
@@ -88,14 +93,51 @@ def apply_hierarchy(halls: DataFrame, suggestions: DataFrame, medium: bool = Fal
     return wanted.join(back.unionByName(existing), ["id", "parent_id"], "left_anti")
 
 
+class _Latest:
+    """The latest entries (ts, value, source) of one field that answer, for every value and source, which is the latest with another value and another source: the last entry, the last with another value than it, the last with neither its value nor the second one's source, and the same with the sources' part."""
+
+    def __init__(self, entries: tuple = ()):
+        self.entries = entries
+
+    def other(self, value, source):
+        return max((e for e in self.entries if e[1] != value and e[2] != source), default=None)
+
+    def then(self, entry: tuple) -> _Latest:
+        _, value, source = entry
+        by_value = max((e for e in self.entries if e[1] != value), default=None)
+        by_source = max((e for e in self.entries if e[2] != source), default=None)
+        found = [entry, by_value, by_source]
+        found.append(self.other(value, by_value[2]) if by_value else None)
+        found.append(self.other(by_source[1], source) if by_source else None)
+        return _Latest(tuple({e for e in found if e}))
+
+
+def _previous(batches):
+    """Rows sorted by hall, field and time: the state of one field is carried on, whatever its number of rows."""
+    key, before, now, at = None, _Latest(), _Latest(), None
+    for batch in batches:
+        rows = []
+        for dorm, field, value, source, ts in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            if (dorm, field) != key:
+                key, before, now, at = (dorm, field), _Latest(), _Latest(), None
+            if ts != at:
+                before, at = now, ts
+            found = before.other(value, source)
+            rows.append(found or (None, None, None))
+            now = now.then((ts, value, source))
+        kinds = batch.schema
+        added = [pa.array([r[k] for r in rows], kinds.field(n).type) for k, n in ((1, "value"), (2, "source_id"), (0, "ts"))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*kinds.names, "previous_value", "previous_source", "previous_ts"])
+
+
 def conflicting_provenance(provenance: DataFrame) -> DataFrame:
-    """For each row the latest earlier value of the field that differs and comes from another source: as-of over the values' own latest times, which a window holds per hall and field."""
-    rows = provenance.groupBy("dorm_id", "field", "value", "source_id").agg(F.max("ts").alias("ts"), F.min("ts").alias("first_ts"))
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (c("a.dorm_id") == c("b.dorm_id")) & (c("a.field") == c("b.field")) & (c("a.value") != c("b.value")) & (c("a.source_id") != c("b.source_id")) & (c("b.ts") < c("a.ts")))
-    best = pairs.groupBy(c("a.dorm_id").alias("dorm_id"), c("a.field").alias("field"), c("a.value").alias("value"), c("a.source_id").alias("source_id"), c("a.ts").alias("ts"))
-    picked = best.agg(F.max(F.struct(c("b.ts").alias("ts"), c("b.value").alias("value"), c("b.source_id").alias("source_id"))).alias("p"))
-    return picked.select("dorm_id", "field", "value", "source_id", "ts", c("p.value").alias("previous_value"), c("p.source_id").alias("previous_source"), c("p.ts").alias("previous_ts"))
+    """For each row the latest earlier value of its hall's field that differs and comes from another source (of equal times the greatest value, then source); rows without one are left out.
+
+    Rows stream through their partition in order of time; the state is five entries a field, so a hot field costs no memory. Rows without a value, source or time conflict with nothing."""
+    rows = provenance.select("dorm_id", "field", "value", "source_id", "ts").where("value IS NOT NULL AND source_id IS NOT NULL AND ts IS NOT NULL")
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([f"{k} {t}" for k, t in kinds.items()] + [f"previous_value {kinds['value']}", f"previous_source {kinds['source_id']}", f"previous_ts {kinds['ts']}"])
+    return rows.repartition("dorm_id", "field").sortWithinPartitions("dorm_id", "field", "ts", "value", "source_id").mapInArrow(_previous, schema).where("previous_ts IS NOT NULL")
 
 
 def conflict_log(provenance: DataFrame) -> DataFrame:
@@ -119,13 +161,3 @@ def junk_candidates(halls: DataFrame, reviews: DataFrame) -> DataFrame:
 def safe_merge_map(pairs: DataFrame) -> DataFrame:
     """Duplicates (from_id) with the hall to merge into (to_id), the one with the least id of their pairs."""
     return pairs.groupBy(F.greatest("id_a", "id_b").alias("from_id")).agg(F.min(F.least("id_a", "id_b")).alias("to_id"))
-
-
-def coverage_order(status: Column) -> Column:
-    """Position of a coverage status in its declaration, by which it sorts."""
-    order = ("UNKNOWN", "DISCOVERY_PENDING", "SITE_FOUND", "DIRECTORY_PENDING", "PARTIAL", "COMPLETE", "NO_HOUSING", "BLOCKED", "RETRYABLE", "STALE")
-    return F.array_position(F.array(*map(F.lit, order)), status)
-
-
-def latest_window(key: str, order: str):
-    return Window.partitionBy(key).orderBy(order)

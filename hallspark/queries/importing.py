@@ -22,9 +22,9 @@ def institution_match(v):
     return t.match_institutions(incoming(v), stored).select("id", "college_id")
 
 
-@query("SELECT id, CASE WHEN k = 1 THEN base WHEN ipeds_id IS NOT NULL THEN concat(base, '-', CAST(ipeds_id AS VARCHAR)) ELSE concat(base, '-', CAST(k AS VARCHAR)) END AS slug FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY ipeds_id NULLS LAST, name) AS k FROM (SELECT id, name, CASE WHEN id % 7 <> 0 THEN 100000 + id END AS ipeds_id, regexp_replace(regexp_replace(lower(CASE WHEN id % 11 = 0 THEN 'Shared Name' ELSE name END), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS base FROM {v_college}) b) r WHERE ipeds_id IS NOT NULL")
+@query("SELECT id, CASE WHEN k = 1 THEN base WHEN ipeds_id IS NOT NULL THEN concat(base, '-', CAST(ipeds_id AS VARCHAR)) ELSE concat(base, '-', CAST(1 + row_number() OVER (PARTITION BY base, k = 1, ipeds_id IS NULL ORDER BY k) AS VARCHAR)) END AS slug FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY ipeds_id NULLS LAST, id) AS k FROM (SELECT id, name, CASE WHEN id % 7 <> 0 THEN 100000 + id END AS ipeds_id, regexp_replace(regexp_replace(lower(CASE WHEN id % 11 = 0 THEN 'Shared Name' ELSE name END), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS base FROM {v_college}) b) r")
 def slug_assignment(v):
-    return t.assign_slugs(incoming(v).drop("slug"), v("v_college")).where("ipeds_id IS NOT NULL").select("id", "slug")
+    return t.assign_slugs(incoming(v).drop("slug"), v("v_college"), tie="id").select("id", "slug")
 
 
 @query("SELECT count(*) AS fetched, count(*) FILTER (WHERE id % 13 = 0) AS skipped_invalid, count(*) FILTER (WHERE id % 13 <> 0 AND id % 10 = 0) AS skipped_closed FROM {v_college}")
@@ -51,7 +51,7 @@ def sitemap_urls(v):
     return s.sitemap_urls(maps).select("college_id", "url", "rn")
 
 
-@query("SELECT d.id, d.name, k.name AS college, coalesce(n_amenities, 0) AS n_amenities, coalesce(n_sources, 0) AS n_sources FROM (SELECT * FROM {v_dorm} ORDER BY id LIMIT 5000) d LEFT JOIN {v_college} k ON k.id = d.college_id LEFT JOIN (SELECT dorm_id, count(DISTINCT amenity) AS n_amenities FROM {v_amenity} GROUP BY dorm_id) a ON a.dorm_id = d.id LEFT JOIN (SELECT dorm_id, least(5, count(*)) AS n_sources FROM {v_dorm_source} l JOIN {v_source} s ON s.id = l.source_id AND is_approved GROUP BY dorm_id) u ON u.dorm_id = d.id")
+@query("SELECT d.id, d.name, k.name AS college, coalesce(n_amenities, 0) AS n_amenities, coalesce(n_sources, 0) AS n_sources FROM {v_dorm} d LEFT JOIN {v_college} k ON k.id = d.college_id LEFT JOIN (SELECT dorm_id, count(DISTINCT amenity) AS n_amenities FROM {v_amenity} GROUP BY dorm_id) a ON a.dorm_id = d.id LEFT JOIN (SELECT dorm_id, least(5, count(*)) AS n_sources FROM {v_dorm_source} l JOIN {v_source} s ON s.id = l.source_id AND is_approved GROUP BY dorm_id) u ON u.dorm_id = d.id")
 def export_halls(v):
     rows = s.export_halls(v("v_dorm"), v("v_college"), v("v_amenity"), v("v_source"), v("v_dorm_source"))
     size = lambda k: F.coalesce(F.size(k), F.lit(0)).cast("long")

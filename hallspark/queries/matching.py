@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from ..functions.preferences import dimensions
 from ..operators import matching as m
 from .base import clamped, query, rnd
 
@@ -97,14 +98,18 @@ def weights():
     return {k: c(w) for k, w in WEIGHTS.items()}
 
 
-def matched(v, limit=None):
-    return m.match(v("v_profile"), v("v_hall"), weights(), toggle=c("communal_ok"), limit=limit)
+def matched(v):
+    return m.match(v("v_profile"), v("v_hall"), weights(), toggle=c("communal_ok"))
+
+
+def best(v, limit=10):
+    return m.match(v("v_profile"), v("v_hall"), weights(), toggle=c("communal_ok"), limit=limit, outcomes=("eligible",))
 
 
 @query(f"SELECT profile_id, hall_id, name, match_score, confidence_score, {LABEL} AS confidence_label, CAST(rank AS INTEGER) AS rank FROM ({RANKED}) z WHERE outcome = 'eligible' AND rank <= 10")
 def match_topk(v):
     """The ten best halls of every profile: the flagship."""
-    return matched(v, 10).where("outcome = 'eligible'").select("profile_id", "hall_id", "name", "match_score", "confidence_score", "confidence_label", "rank")
+    return best(v).select("profile_id", "hall_id", "name", "match_score", "confidence_score", "confidence_label", "rank")
 
 
 @query(f"SELECT profile_id, hall_id, outcome, CAST(rank AS INTEGER) AS rank, CASE WHEN outcome = 'excluded' THEN 0 ELSE match_score END AS match_score, confidence_score / 100e0 AS confidence, reasons FROM ({RANKED}) z")
@@ -121,29 +126,44 @@ def match_outcome_counts(v):
 _long = " UNION ALL ".join(f"SELECT profile_id, hall_id, '{k}' AS dimension, CASE WHEN d_{k} IS NULL THEN 0 ELSE {rnd(f'd_{k}')} END AS score, {w} AS weight, d_{k} IS NOT NULL AS has_evidence FROM top WHERE {w} > 0" for k, w in WEIGHTS.items())
 
 
-@query(f"WITH top AS (SELECT * FROM ({RANKED}) z WHERE outcome = 'eligible' AND rank <= 3) {_long}".replace("WITH top AS", "SELECT * FROM (WITH top AS") + ") long_form")
+@query(f"WITH top AS (SELECT * FROM ({RANKED}) z WHERE outcome = 'eligible' AND rank <= 10) {_long}".replace("WITH top AS", "SELECT * FROM (WITH top AS") + ") long_form")
 def dimension_scores_long(v):
-    top = matched(v, 3).where("outcome = 'eligible'").withColumn("d", F.explode(m.dimension_scores(None, weights(), c("communal_ok"))))
+    top = best(v).withColumn("d", F.explode(m.dimension_scores(None, weights(), c("communal_ok"))))
     return top.select("profile_id", "hall_id", c("d.id").alias("dimension"), "d.score", "d.weight", "d.has_evidence")
 
 
-@query(f"SELECT profile_id, hall_id, concat(name, ': ', CASE WHEN match_score >= 75 THEN 'Strong match' WHEN match_score >= 55 THEN 'Good fit' ELSE 'Moderate fit' END, ' (', CAST(match_score AS VARCHAR), '%).') AS sentence FROM ({RANKED}) z WHERE outcome = 'eligible' AND rank <= 5")
-def match_sentences(v):
-    none = F.array().cast("array<string>")
-    top = matched(v, 5).where("outcome = 'eligible'").withColumns({"positives": none, "tradeoffs": none})
-    return top.select("profile_id", "hall_id", m.match_sentence().alias("sentence"))
+_dims = {d.id: d for d in dimensions()}
+_entries = ", ".join(f"@<'by': -CAST({w} AS DOUBLE), 'k': {i}, 's': CASE WHEN d_{k} IS NOT NULL THEN {rnd(f'd_{k}')} END, 'p': '{_dims[k].texts[0]}', 'n': '{_dims[k].texts[1]}', 'u': '{_dims[k].texts[2]}'>@" for i, (k, w) in enumerate(WEIGHTS.items()))
+_some = lambda test, text: f"list_transform(list_filter(entries, lambda e: {test}), lambda e: e.{text})"
+_first = f"{_some('e.s IS NULL', 'u')}[1:5]"
+_must = f"list_filter({_some('e.s IS NULL AND e.by <= -3', 'u')}, lambda t: NOT list_contains({_first}, t))"
+REASONS = f"SELECT profile_id, hall_id, name, match_score, {_some('e.s >= 65', 'p')}[1:5] AS positives, {_some('e.s < 45', 'n')}[1:5] AS tradeoffs, list_concat({_first}, {_must})[1:6] AS unknowns FROM (SELECT z.*, list_filter(list_sort([{_entries}]), lambda e: e.by < 0) AS entries FROM ({RANKED}) z WHERE outcome = 'eligible' AND rank <= 10) t"
+
+
+def reasoned(v):
+    return m.match_reasons(best(v), weights(), c("communal_ok"))
 
 
-_known = [f"CASE WHEN {w} > 0 AND d_{k} IS NOT NULL AND {rnd(f'd_{k}')} >= 65 THEN 1 ELSE 0 END" for k, w in WEIGHTS.items()]
-_poor = [f"CASE WHEN {w} > 0 AND d_{k} IS NOT NULL AND {rnd(f'd_{k}')} < 45 THEN 1 ELSE 0 END" for k, w in WEIGHTS.items()]
-_none = [f"CASE WHEN {w} > 0 AND d_{k} IS NULL THEN 1 ELSE 0 END" for k, w in WEIGHTS.items()]
+@query(f"SELECT profile_id, hall_id, array_to_string(positives, '|') AS positives, array_to_string(tradeoffs, '|') AS tradeoffs, array_to_string(unknowns, '|') AS unknowns FROM ({REASONS}) r")
+def match_reasons(v):
+    return reasoned(v).select("profile_id", "hall_id", *[F.array_join(k, "|").alias(k) for k in ("positives", "tradeoffs", "unknowns")])
 
 
-@query(f"SELECT profile_id, hall_id, least(5, {' + '.join(_known)}) AS n_positives, least(5, {' + '.join(_poor)}) AS n_tradeoffs, CASE WHEN {' + '.join(_none)} > 5 THEN NULL ELSE {' + '.join(_none)} END AS n_unknowns FROM ({RANKED}) z WHERE outcome = 'eligible' AND rank <= 5")
+@query(f"SELECT profile_id, hall_id, concat(name, ': ', concat_ws(', ', concat(CASE WHEN match_score >= 75 THEN 'Strong match' WHEN match_score >= 55 THEN 'Good fit' ELSE 'Moderate fit' END, ' (', CAST(match_score AS VARCHAR), '%)'), CASE WHEN len(positives) > 0 THEN array_to_string(positives[1:2], '; ') END, CASE WHEN len(tradeoffs) > 0 THEN concat('tradeoff: ', tradeoffs[1]) END), '.') AS sentence FROM ({REASONS}) r")
+def match_sentences(v):
+    return reasoned(v).select("profile_id", "hall_id", m.match_sentence().alias("sentence"))
+
+
+@query(f"SELECT profile_id, hall_id, len(positives) AS n_positives, len(tradeoffs) AS n_tradeoffs, len(unknowns) AS n_unknowns FROM ({REASONS}) r")
 def match_reason_counts(v):
-    top = m.match_reasons(matched(v, 5).where("outcome = 'eligible'"), weights(), c("communal_ok"))
-    n = F.size("unknowns")
-    return top.select("profile_id", "hall_id", F.size("positives").alias("n_positives"), F.size("tradeoffs").alias("n_tradeoffs"), F.when(n <= 5, n).alias("n_unknowns"))
+    return reasoned(v).select("profile_id", "hall_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in ("positives", "tradeoffs", "unknowns")])
+
+
+@query(" UNION ALL ".join(f"SELECT p.id AS profile_id, '{d.id}' AS dimension, '{d.category}' AS category, '{d.mode}' AS mode, {str(d.may_be_required).lower()} AS may_be_required, CAST({w} AS DOUBLE) AS weight FROM @v_profile@ p".replace("@v_profile@", "{v_profile}") for k, w in WEIGHTS.items() for d in [_dims[k]]))
+def profile_dimensions(v):
+    """The registry's rows that a profile weighs."""
+    rows = F.array(*[F.struct(F.lit(_dims[k].id).alias("dimension"), F.lit(_dims[k].category).alias("category"), F.lit(_dims[k].mode).alias("mode"), F.lit(_dims[k].may_be_required).alias("may_be_required"), c(w).cast("double").alias("weight")) for k, w in WEIGHTS.items()])
+    return v("v_profile").select(c("id").alias("profile_id"), F.explode(rows).alias("d")).select("profile_id", "d.*")
 
 
 def quizzes(v):

@@ -56,15 +56,15 @@ def same(a: str, b: str) -> str:
 
 @query(f"SELECT college_id, a.id AS id_a, b.id AS id_b FROM {{v_dorm}} a JOIN {{v_dorm}} b USING (college_id) WHERE a.id < b.id AND {same('a.name', 'b.name')}")
 def same_entity_pairs(v):
-    d = v("v_dorm").select("college_id", "id", "name")
+    d = v("v_dorm").select("college_id", "id", names.name_form(c("name")).alias("form"))
     a, b = d.alias("a"), d.alias("b")
-    pairs = a.join(b, (c("a.college_id") == c("b.college_id")) & (c("a.id") < c("b.id")) & names.same_entity(c("a.name"), c("b.name")))
+    pairs = a.join(b, (c("a.college_id") == c("b.college_id")) & (c("a.id") < c("b.id")) & names.same_form(c("a.form"), c("b.form")))
     return pairs.select(c("a.college_id").alias("college_id"), c("a.id").alias("id_a"), c("b.id").alias("id_b"))
 
 
-@query(f"SELECT q.id AS candidate_id, min(d.id) AS hall_id FROM (SELECT id, college_id, concat('The ', upper(name)) AS name FROM {{v_dorm}} WHERE id % 4 = 0) q LEFT JOIN {{v_dorm}} d ON d.college_id = q.college_id AND {same('q.name', 'd.name')} GROUP BY q.id")
+@query(f"SELECT q.id AS candidate_id, min(d.id) AS hall_id FROM (SELECT id, college_id, concat('The ', upper(name)) AS name FROM {{v_dorm}}) q LEFT JOIN {{v_dorm}} d ON d.college_id = q.college_id AND {same('q.name', 'd.name')} GROUP BY q.id")
 def entity_resolution(v):
-    candidates = v("v_dorm").where("id % 4 = 0").select(c("id").alias("candidate_id"), "college_id", F.concat(F.lit("The "), F.upper("name")).alias("candidate_name"))
+    candidates = v("v_dorm").select(c("id").alias("candidate_id"), "college_id", F.concat(F.lit("The "), F.upper("name")).alias("candidate_name"))
     return o.resolve_entities(candidates, v("v_dorm")).select("candidate_id", "hall_id")
 
 
@@ -91,10 +91,10 @@ def hierarchy_changes(v):
     return o.apply_hierarchy(v("v_dorm"), o.suggest_hierarchy(v("v_dorm")), medium=True)
 
 
-ENTRIES = "SELECT dorm_id, field, value, source_id, max(ts) AS ts, min(ts) AS first_ts FROM {v_provenance} GROUP BY dorm_id, field, value, source_id"
+ENTRIES = "SELECT dorm_id, field, value, source_id, min(ts) AS first_ts FROM {v_provenance} GROUP BY dorm_id, field, value, source_id"
 
 
-@query(f"SELECT dorm_id, field, value, source_id, ts, previous_value, previous_source, previous_ts FROM (SELECT a.*, b.value AS previous_value, b.source_id AS previous_source, b.ts AS previous_ts, row_number() OVER (PARTITION BY a.dorm_id, a.field, a.value, a.source_id ORDER BY b.ts DESC, b.value DESC, b.source_id DESC) AS rn FROM ({ENTRIES}) a JOIN ({ENTRIES}) b ON a.dorm_id = b.dorm_id AND a.field = b.field AND a.value <> b.value AND a.source_id <> b.source_id AND b.ts < a.ts) t WHERE rn = 1")
+@query("SELECT dorm_id, field, value, source_id, ts, previous_value, previous_source, previous_ts FROM (SELECT a.*, b.value AS previous_value, b.source_id AS previous_source, b.ts AS previous_ts, row_number() OVER (PARTITION BY a.rid ORDER BY b.ts DESC, b.value DESC, b.source_id DESC) AS rn FROM (SELECT *, row_number() OVER () AS rid FROM {v_provenance}) a JOIN {v_provenance} b ON a.dorm_id = b.dorm_id AND a.field = b.field AND a.value <> b.value AND a.source_id <> b.source_id AND b.ts < a.ts) t WHERE rn = 1")
 def provenance_conflicts(v):
     return o.conflicting_provenance(v("v_provenance"))
 
@@ -105,24 +105,26 @@ def conflict_log(v):
 
 
 #: Lines of documents stand in for extracted names: short and long, clean and not.
-LINE = "trim(substr(text, 1, 20 + CAST(id % 60 AS INTEGER)))"
-TRIED = f"SELECT id, name, len(string_split_regex(name, '\\s+')) AS words, regexp_matches(name, '(?i){names.HOUSING_TERMS}') AS housing FROM (SELECT id, {LINE} AS name FROM {{v_text}}) t"
+LINES = "SELECT id, trim(line) AS name, CAST(position AS INTEGER) AS position FROM (SELECT id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS position FROM {v_text}) l"
+TRIED = f"SELECT id, position, name, len(string_split_regex(name, '\\s+')) AS words, regexp_matches(name, '(?i){names.HOUSING_TERMS}') AS housing FROM ({LINES}) t"
 HAS = lambda p: f"regexp_matches(name, '(?i){p}')"
-JUNK = f"""SELECT id, CASE WHEN name = '' THEN 'empty_name' WHEN {HAS(names.GENERIC)} THEN 'generic_category_label' WHEN {HAS(names.CAMPUS_SECTION)} THEN 'campus_section_label' WHEN {HAS(names.RATES_LINE)} OR {HAS(names.NAV)} THEN 'nav_or_policy_label'
+JUNK = f"""SELECT id, position, CASE WHEN name = '' THEN 'empty_name' WHEN {HAS(names.GENERIC)} THEN 'generic_category_label' WHEN {HAS(names.CAMPUS_SECTION)} THEN 'campus_section_label' WHEN {HAS(names.RATES_LINE)} OR {HAS(names.NAV)} THEN 'nav_or_policy_label'
     WHEN {HAS(names.CTA_EXACT)} OR {HAS(names.CTA_PREFIX)} THEN 'cta_phrase' WHEN {HAS(names.PROCEDURAL)} THEN 'procedural_title' WHEN words > 10 OR length(name) > 70 THEN 'sentence_length_name'
     WHEN (length(name) > 45 OR regexp_matches(name, '[!?;:]') OR regexp_matches(name, '\\.\\s+[A-Z]') OR words > 8) AND NOT housing THEN 'sentence_length_name' WHEN NOT housing AND length(name) > 40 THEN 'long_non_housing_name' WHEN NOT housing AND words <= 4 AND {HAS(names.ADMINISTRATIVE)} THEN 'nav_or_policy_label' END AS reason FROM ({TRIED}) n"""
 
 
+def named_lines(v):
+    return v("v_text").select("id", F.posexplode(F.split("text", "\n")).alias("position", "line")).select("id", "position", F.trim("line").alias("name"))
+
+
 @query(JUNK)
 def junk_assessment(v):
-    name = F.trim(F.substring(c("text"), F.lit(1), 20 + (c("id") % 60).cast("int")))
-    return v("v_text").select("id", names.assess_name(name).alias("reason"))
+    return named_lines(v).select("id", "position", names.assess_name(c("name")).alias("reason"))
 
 
 @query(f"SELECT reason, count(*) AS n FROM ({JUNK}) j WHERE reason IS NOT NULL GROUP BY reason")
 def junk_report(v):
-    name = F.trim(F.substring(c("text"), F.lit(1), 20 + (c("id") % 60).cast("int")))
-    rows = v("v_text").select("id", name.alias("name")).withColumn("reason", names.assess_name(c("name"))).where("reason IS NOT NULL")
+    rows = named_lines(v).withColumn("reason", names.assess_name(c("name"))).where("reason IS NOT NULL")
     return r.junk_report(rows).select("reason", "n")
 
 

@@ -24,7 +24,9 @@ def rate_fixed_day(v):
     return j.rate_fixed(events(v), 2, "1 day").agg(F.count("*").alias("n"), F.count_if("allowed").alias("n_allowed"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT CAST(job_id AS VARCHAR) AS key, ts, id FROM (SELECT event_id AS id, user_id AS job_id, ts FROM events) l),
+    w AS (SELECT key, min(ts) AS opened FROM e GROUP BY key UNION ALL SELECT w.key, min(e.ts) AS opened FROM w JOIN e ON e.key = w.key AND e.ts >= w.opened + INTERVAL 86400 SECOND GROUP BY w.key, w.opened)
+    SELECT key, id, row_number() OVER (PARTITION BY key, opened ORDER BY ts, id) <= 8 AS allowed FROM (SELECT e.key, e.id, e.ts, w.opened FROM e ASOF JOIN w ON e.key = w.key AND e.ts >= w.opened) t""")
 def rate_anchored_window(v):
     return j.rate_anchored(events(v), 8, 86400.0).select("key", "id", "allowed")
 

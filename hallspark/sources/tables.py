@@ -47,9 +47,9 @@ def slugify_text(s: str) -> str:
     return s.lower().replace(" ", "_")
 
 
-def export_halls(halls: DataFrame, colleges: DataFrame, amenities: DataFrame, sources: DataFrame, links: DataFrame, limit: int = 5000, most_sources: int = 5) -> DataFrame:
-    """Halls with institution, amenities and their first approved sources, nested; the limit is the export's."""
-    top = halls.orderBy("id").limit(limit)
+def export_halls(halls: DataFrame, colleges: DataFrame, amenities: DataFrame, sources: DataFrame, links: DataFrame, limit: int | None = None, most_sources: int = 5) -> DataFrame:
+    """Halls with institution, amenities and their first approved sources, nested; all of them, or the first ``limit`` by id."""
+    top = halls if limit is None else halls.orderBy("id").limit(limit)
     own = amenities.groupBy(c("dorm_id").alias("id")).agg(F.array_sort(F.collect_set("amenity")).alias("amenities"))
     approved = links.join(sources.where("is_approved").select(c("id").alias("source_id"), "url"), "source_id")
     first = approved.withColumn("rn", F.row_number().over(Window.partitionBy("dorm_id").orderBy("source_id"))).where(c("rn") <= most_sources)

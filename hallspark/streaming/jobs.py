@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -26,53 +27,59 @@ def rate_fixed_stream(events: DataFrame, limit: int, window: str = "1 hour", key
 
 
 def _anchored(limit: int, seconds: float):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["ts", "id"])
-        times = group["ts"].astype("int64").to_numpy() / {"us": 1e6, "ns": 1e9, "ms": 1e3}[group["ts"].dt.unit]
-        opened, n, allowed = None, 0, []
-        for t in times:
-            if opened is None or t >= opened + seconds:
-                opened, n = t, 0
-            n += 1
-            allowed.append(n <= limit)
-        return group.assign(allowed=allowed)
+    def run(batches):
+        """Rows sorted by key and time; only the opening time and count of one window are carried on."""
+        key, opened, n = None, None, 0
+        for batch in batches:
+            allowed = []
+            for own, micros in zip(batch.column(0).to_pylist(), batch.column(1).cast("int64").to_pylist(), strict=True):
+                if opened is None or own != key or micros >= opened + seconds * 1e6:
+                    key, opened, n = own, micros, 0
+                n += 1
+                allowed.append(n <= limit)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(allowed, pa.bool_())], names=["key", "ts", "id", "allowed"])
 
     return run
 
 
 def rate_anchored(events: DataFrame, limit: int, seconds: float) -> DataFrame:
-    """Batch: as :func:`rate_fixed`, but a key's window opens at its first event and again at the first one after it has passed. Sequential per key; (key, ts, id)."""
-    return events.select("key", "ts", "id").groupBy("key").applyInPandas(_anchored(limit, seconds), "key string, ts timestamp, id long, allowed boolean")
+    """Batch: as :func:`rate_fixed`, but a key's window opens at its first event and again at the first one after it has passed. Sequential per key, in constant memory; (key, ts, id). Events without a time are left out."""
+    rows = events.where("ts IS NOT NULL").select(c("key").cast("string").alias("key"), c("ts").cast("timestamp").alias("ts"), c("id").cast("long").alias("id"))
+    return rows.repartition("key").sortWithinPartitions("key", "ts", "id").mapInArrow(_anchored(limit, seconds), "key string, ts timestamp, id long, allowed boolean")
+
+
+def _in_order(rows: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
+    """All rows of a key in a micro-batch, in order; their number is bounded by the size of the micro-batch."""
+    return pd.concat(list(rows)).sort_values(list(by), kind="stable")
 
 
 class AnchoredLimit(StatefulProcessor):
-    """Stream twin of :func:`rate_anchored`: the state of a key is the opening time and count of its window."""
+    """Stream twin of :func:`rate_anchored`: the state of a key is the opening time and count of its window. It expires after ``ttl_ms`` without events, if given."""
 
-    def __init__(self, limit: int, seconds: float):
-        self.limit, self.seconds = limit, seconds
+    def __init__(self, limit: int, seconds: float, ttl_ms: int | None = None):
+        self.limit, self.seconds, self.ttl_ms = limit, seconds, ttl_ms
 
     def init(self, handle) -> None:
-        self.state = handle.getValueState("window", "opened double, n int")
+        self.state = handle.getValueState("window", "opened double, n int", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         opened, n = self.state.get() if self.state.exists() else (None, 0)
-        for batch in rows:
-            batch, out = batch.sort_values(["ts", "id"]), []
-            for t in batch["ts"]:
-                t = t.timestamp()
-                if opened is None or t >= opened + self.seconds:
-                    opened, n = t, 0
-                n += 1
-                out.append(n <= self.limit)
-            yield batch[["key", "ts", "id"]].assign(allowed=out)
+        batch, out = _in_order(rows, "ts", "id"), []
+        for t in batch["ts"]:
+            t = t.timestamp()
+            if opened is None or t >= opened + self.seconds:
+                opened, n = t, 0
+            n += 1
+            out.append(n <= self.limit)
+        yield batch[["key", "ts", "id"]].assign(allowed=out)
         self.state.update((opened, n))
 
     def close(self) -> None:
         pass
 
 
-def rate_anchored_stream(events: DataFrame, limit: int, seconds: float) -> DataFrame:
-    return events.groupBy("key").transformWithStateInPandas(AnchoredLimit(limit, seconds), "key string, ts timestamp, id long, allowed boolean", "Append", "none")
+def rate_anchored_stream(events: DataFrame, limit: int, seconds: float, ttl_ms: int | None = None) -> DataFrame:
+    return events.groupBy("key").transformWithStateInPandas(AnchoredLimit(limit, seconds, ttl_ms), "key string, ts timestamp, id long, allowed boolean", "Append", "ProcessingTime" if ttl_ms else "none")
 
 
 def page_changes(pages: DataFrame) -> DataFrame:
@@ -86,14 +93,14 @@ class LastHash(StatefulProcessor):
         self.state = handle.getValueState("hash", "hash string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        last = self.state.get()[0] if self.state.exists() else None
-        for batch in rows:
-            batch = batch.sort_values(["ts", "id"])
-            fresh = batch["hash"].ne(batch["hash"].shift(fill_value=last if last is not None else ""))
-            last = batch["hash"].iloc[-1]
-            yield batch.loc[fresh, ["url", "ts", "hash", "id"]]
-        if last is not None:
-            self.state.update((last,))
+        batch = _in_order(rows, "ts", "id")
+        last, fresh = self.state.get()[0] if self.state.exists() else None, []
+        for now in batch["hash"]:
+            now = None if pd.isna(now) else now
+            fresh.append(now != last)
+            last = now
+        yield batch.loc[fresh, ["url", "ts", "hash", "id"]]
+        self.state.update((last,))
 
     def close(self) -> None:
         pass
@@ -110,19 +117,18 @@ class ConflictState(StatefulProcessor):
         self.entries = handle.getListState("entries", "value string, source_id long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        held = [tuple(e) for e in self.entries.get()] if self.entries.exists() else []
-        for batch in rows:
-            out = []
-            for r in batch.sort_values("ts").itertuples():
-                if r.kind == "RESOLVED":
-                    held = []
-                    out.append((*key, "RESOLVED", 0))
-                elif (r.value, r.source_id) not in held:
-                    held.append((r.value, r.source_id))
-                    out.append((*key, "OPEN", len(held)))
-            yield pd.DataFrame(out, columns=["dorm_id", "field", "status", "n_entries"])
+        held = dict.fromkeys(tuple(e) for e in self.entries.get()) if self.entries.exists() else {}
+        out = []
+        for r in _in_order(rows, "ts").itertuples():
+            if r.kind == "RESOLVED":
+                held = {}
+                out.append((*key, "RESOLVED", 0))
+            elif (r.value, r.source_id) not in held:
+                held[r.value, r.source_id] = None
+                out.append((*key, "OPEN", len(held)))
+        yield pd.DataFrame(out, columns=["dorm_id", "field", "status", "n_entries"])
         if held:
-            self.entries.put(held)
+            self.entries.put(list(held))
         else:
             self.entries.clear()
 

@@ -66,8 +66,8 @@ def test_reasons(halls):
     given = {k: F.lit(3.0) for k in ("socialAtmosphere", "privateBathroom", "laundry")}
     rows = matching.match_reasons(matching.match_score(matching.with_dimensions(halls), given), given)
     got = {r.id: r for r in rows.collect()}
-    assert got["communal-hall"].positives == ["Good match: Social atmosphere"] and got["communal-hall"].tradeoffs == ["Weak match: Private bathroom"]
-    assert "Laundry is unknown" in got["private-hall"].unknowns
+    assert got["communal-hall"].positives == ["Matches your preference for a social atmosphere"] and got["communal-hall"].tradeoffs == ["Does not have a private bathroom"]
+    assert "Laundry access is unknown" in got["private-hall"].unknowns
 
 
 def test_matchable(halls):
@@ -204,3 +204,44 @@ def test_match_plan_is_native(spark):
     frame = matching.match(view(spark, "/root/testdata/sf0.001", "v_profile"), view(spark, "/root/testdata/sf0.001", "v_hall"), weights(), toggle=c("communal_ok"), limit=10)
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "CartesianProduct" not in plan
+
+
+def test_conflicts_are_as_of(spark):
+    """A value seen before and after another one's time counts as earlier; ties of time don't count as earlier."""
+    import random
+
+    from hallspark.operators.resolution import conflicting_provenance
+
+    rng = random.Random(1)
+    rows = [(d, "f", rng.choice("XYZ"), rng.randint(1, 4), rng.randint(1, 9)) for d in range(30) for _ in range(rng.randint(1, 12))] + [(99, "f", "X", 1, 1), (99, "f", "X", 1, 9), (99, "f", "Y", 2, 5), (98, "f", None, 1, 1), (98, "f", "X", 2, 2)]
+    frame = spark.createDataFrame(rows, "dorm_id int, field string, value string, source_id int, ts int")
+    want = []
+    for a in rows:
+        best = max(((b[4], b[2], b[3]) for b in rows if a[0] == b[0] and None not in (a[2], b[2]) and a[2] != b[2] and a[3] != b[3] and b[4] < a[4]), default=None)
+        if best:
+            want.append((*a, best[1], best[2], best[0]))
+    assert sorted(map(tuple, conflicting_provenance(frame).collect())) == sorted(want) and (99, "f", "Y", 2, 5, "X", 1, 1) in want
+
+
+def test_slugs_are_given_once(spark):
+    from hallspark.operators.maintenance import assign_slugs
+
+    stored = spark.createDataFrame([("state-college",), ("state-college-2",), ("state-college-3",), ("north-7",), ("north",)], "slug string")
+    incoming = spark.createDataFrame([(None, "State College", 1), (None, "State College", 2), (7, "North", 3), (8, "North", 4), (None, "!!", 5), (9, "", 6), (None, "Solo 2", 7), (None, "Solo", 8), (None, "Solo", 9)], "ipeds_id long, name string, n int")
+    out = {r.n: r.slug for r in assign_slugs(incoming, stored, tie="n").collect()}
+    assert out == {1: "state-college-4", 2: "state-college-5", 3: "north-2", 4: "north-8", 5: "institution", 6: "institution-9", 7: "solo-2", 8: "solo", 9: "solo-3"}
+
+
+def test_accepted_names_block_later_ones(spark):
+    from hallspark.operators.windows import accept_once
+
+    rows = [(1, 0, "A", False), (1, 1, "a", True), (1, 2, "A", False), (1, 3, "A", True), (1, 4, "b", False)]
+    out = accept_once(spark.createDataFrame(rows, "page_id int, position int, name string, accepted boolean"))
+    assert sorted(r.position for r in out.collect()) == [0, 1, 4]
+
+
+def test_topk_keeps_k_rows_before_the_shuffle(spark):
+    from hallspark.queries import QUERIES
+
+    plan = QUERIES["match_topk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
