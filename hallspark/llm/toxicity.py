@@ -257,9 +257,10 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_labels: int = 20_000, most_features: int = 50_000, least_toxic: int = 4) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_labels: int = 20_000, least_toxic: int = 4) -> Scorer:
     """Fit the scorer: the language model on all texts, the classifier on at most ``most_labels`` labelled documents that are not held out (those whose ids hash lowest).
 
+    A feature is kept if ``least_toxic`` toxic documents of that sample have it, and a share of them four times that of the others.
     Without labelled documents the scorer knows no features and gives everything the score of its bias.
     """
     spark = docs.sparkSession
@@ -291,7 +292,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     rate = F.col("toxic") / F.lit(max(1, totals[0])) / (F.col("clean") / F.lit(max(1, totals[1])) + F.lit(1e-9))
     counted = sample.select("toxic", "text").mapInArrow(alone(count), "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    kept = counted.where((F.col("toxic") >= least_toxic) & (rate > 4)).orderBy(F.desc(rate * F.col("toxic")), "feature").limit(most_features)
+    kept = counted.where((F.col("toxic") >= least_toxic) & (rate > 4))
     scorer = Scorer(model, {r.feature: (r.toxic, r.clean) for r in kept.collect()}, totals, None)
     shared = spark.sparkContext.broadcast(scorer)
 
@@ -311,7 +312,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
     Noisy channel: a part of the text with leetspeak, separated or repeated letters is the output of a channel that
     substitutes, repeats and separates letters; the likeliest input under a trigram model of all texts' letters is found
-    by Viterbi search, and the restored words are scored. Labels, language, source and id are no inputs.
+    by Viterbi search, and the restored words are scored: a logistic regression sees the ten strongest features of a
+    document (whatever its length), how many words it has and how many parts were obfuscated. Labels, language, source
+    and id are no inputs. A very long text is scored whole, its parts decoded in windows.
 
     Null and empty texts get the score of a text without features. Repeated rows get equal scores. Null ids are not held
     out and are never labelled. An empty table gives an empty result. Other columns are ignored.
