@@ -8,8 +8,9 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A join side is broadcast only if its measured size stays below this; else the join shuffles.
@@ -19,10 +20,12 @@ _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where it is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one on a local master where it is unset (tests)."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _own_dir.setdefault(sc.applicationId, "")
         if not base:
             base = _own_dir[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="hallspark-")
@@ -46,9 +49,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_checked(small: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark a written table for broadcast if its counted rows times ``row_bytes`` stay below ``limit``; else leave it to a shuffle join."""
-    return F.broadcast(small) if small.count() * row_bytes <= limit else small
+def broadcast_checked(small: DataFrame, row_bytes: int | Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a written table for broadcast if its counted rows times ``row_bytes`` (or the sum of that column) stay below ``limit``; else leave it to a shuffle join."""
+    size = small.count() * row_bytes if isinstance(row_bytes, int) else small.agg(F.sum(row_bytes)).first()[0] or 0
+    return F.broadcast(small) if size <= limit else small
 
 
 def text_or_empty(column: str = "text"):
@@ -91,3 +95,23 @@ def alone(task: Callable) -> Callable:
         trim()
 
     return run
+
+
+def key_runs(batches, keys: int):
+    """Runs of rows with equal values in the first ``keys`` columns, which are numbers, each as one batch; sorted input."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+        if not table.num_rows:
+            continue
+        new = np.zeros(table.num_rows, bool)
+        for k in range(keys):
+            x = table.column(k).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        starts = [0, *np.flatnonzero(new).tolist()]
+        whole = table.to_batches()[0]
+        for a, b in zip(starts, starts[1:], strict=False):
+            yield whole.slice(a, b - a)
+        held = whole.slice(starts[-1])
+    if held is not None and held.num_rows:
+        yield held

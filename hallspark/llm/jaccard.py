@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import alone, broadcast_checked, materialize, text_or_empty
+from .common import alone, broadcast_checked, key_runs, materialize, text_or_empty
 from .components import components, forest
 
 #: Hash functions of a sketch that are compared; those by which sets are split keep their whole value: one a run and DEEPER further ones.
@@ -69,26 +69,6 @@ def _sketcher(n: int, paths_kept: int):
     return sketch
 
 
-def _groups(batches, keys: int):
-    """Runs of rows with equal values in the first ``keys`` columns, each as one batch; sorted input."""
-    held = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-        if not table.num_rows:
-            continue
-        new = np.zeros(table.num_rows, bool)
-        for k in range(keys):
-            x = table.column(k).to_numpy()
-            new[1:] |= x[1:] != x[:-1]
-        starts = [0, *np.flatnonzero(new).tolist()]
-        whole = table.to_batches()[0]
-        for a, b in zip(starts, starts[1:], strict=False):
-            yield whole.slice(a, b - a)
-        held = whole.slice(starts[-1])
-    if held is not None and held.num_rows:
-        yield held
-
-
 def _matrix(column: pa.Array, kind) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
@@ -115,7 +95,7 @@ def _brute(least: float, threshold: float):
     """Columns node, cell, side, rep, size, bits: a spanning forest of the similar pairs of each (node, cell). Side 2 marks rows of one block, compared among themselves."""
 
     def brute(batches):
-        for group in _groups(batches, 2):
+        for group in key_runs(batches, 2):
             side = group.column(2).to_numpy()
             order = np.argsort(side, kind="stable")
             rep, sizes, bits = group.column(3).to_numpy()[order], group.column(4).to_numpy()[order], _matrix(group.column(5), np.uint16)[order]
@@ -129,7 +109,7 @@ def _brute(least: float, threshold: float):
 
 def _density(batches):
     """Columns node, bits: the mean agreement of the sketches sampled from a node."""
-    for group in _groups(batches, 1):
+    for group in key_runs(batches, 1):
         bits = _matrix(group.column(1), np.uint16)
         m = len(bits)
         mean = sum((bits[i + 1 :] == bits[i]).mean(axis=1).sum() for i in range(m - 1)) / max(1, m * (m - 1) / 2)
@@ -162,7 +142,7 @@ def _links(threshold: float):
     """Columns group, cell, side, rep, copies, shingles: exact link counts and a spanning forest of the links of each cell."""
 
     def verify(batches):
-        for group in _groups(batches, 2):
+        for group in key_runs(batches, 2):
             side = group.column(2).to_numpy()
             order = np.argsort(side, kind="stable")
             side, rep, copies = side[order], group.column(3).to_numpy()[order], group.column(4).to_numpy()[order]
