@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .common import broadcast_checked, materialize
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(x)`` of a value that is computed once a row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _low(text: Column) -> Column:
     return F.translate(F.lower(text), "\t\x0b\x0c\r", "    ")
 
@@ -24,7 +29,7 @@ def _n_words(plain: Column) -> Column:
 def _units(plain: Column, least_words: int) -> Column:
     """The words of a line, or its characters, marked as such, if it has fewer than ``least_words`` words."""
     chars = lambda x: F.transform(F.filter(F.split(x, ""), lambda y: y != ""), lambda y: F.concat(F.lit("\n"), y))
-    return F.get(F.transform(F.array(plain), lambda x: F.when(_n_words(x) < least_words, chars(x)).otherwise(F.split(x, " "))), F.lit(0))
+    return _bound(plain, lambda x: F.when(_n_words(x) < least_words, chars(x)).otherwise(F.split(x, " ")))
 
 
 def _anchors(plain: Column, n: Column, least_words: int, least_chars: int | None = None) -> list[Column]:
@@ -97,12 +102,13 @@ def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = broadcast_checked(materialize(anchored.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-anchors"), 16)
     flagged = anchored.join(shared, "key", "left_semi").select("first", "h1", "h2").distinct()
     by_doc = materialize(flagged.groupBy("first.doc_id", "first.th").agg(F.collect_list(F.struct("first.pos", "h1", "h2")).alias("some")).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "some"), "flagged-lines")
-    by_doc = broadcast_checked(by_doc, 256)
+    by_doc = broadcast_checked(by_doc, 64 + 24 * F.size("some"))
     spell = (lambda x: F.split(x, " ")) if least_chars is None else (lambda x: _units(x, least_words))
-    spelled = keyed.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("doc_id", "th", F.split("text", "\n").alias("own"), F.explode("some").alias("s"))
-    spelled = materialize(spelled.select(F.struct("doc_id", "th", "s.pos").alias("o"), F.col("s.h1").alias("h1"), F.col("s.h2").alias("h2"), spell(_plain(_low(F.get("own", F.col("s.pos"))))).alias("words")).dropDuplicates(["h1", "h2"]), "spelled-lines")
+    spelled = keyed.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("doc_id", "th", F.explode(_bound(F.split("text", "\n"), lambda own: F.transform("some", lambda s: F.struct(s["pos"].alias("pos"), s["h1"].alias("h1"), s["h2"].alias("h2"), F.get(own, s["pos"]).alias("line"))))).alias("s"))
+    spelled = materialize(spelled.select(F.struct("doc_id", "th", "s.pos").alias("o"), F.col("s.h1").alias("h1"), F.col("s.h2").alias("h2"), spell(_plain(_low(F.col("s.line")))).alias("words")).dropDuplicates(["h1", "h2"]), "spelled-lines")
 
-    blocked = materialize(spelled.select("h1", "h2", F.explode(_block_keys(F.col("words"))).alias("key")), "blocks")
+    hashed = spelled.select("h1", "h2", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    blocked = materialize(hashed.select("h1", "h2", F.explode(_block_keys(F.col("hashes"))).alias("key")), "blocks")
     twice = broadcast_checked(materialize(blocked.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-blocks"), 16)
     close = broadcast_checked(materialize(blocked.join(twice, "key", "left_semi").select("h1", "h2").distinct(), "close-lines"), 32)
 
@@ -131,16 +137,18 @@ def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_words: int = 8, least_chars: int | None = None) -> DataFrame:
-    """All rows and columns of ``docs`` with the lines that :func:`duplicate_lines` names taken out of the text, plus n_lines and n_removed_lines.
+    """All rows and columns of ``docs`` with the lines that :func:`duplicate_lines` names taken out of the text, plus n_lines and n_removed_lines, which replace columns of these names.
 
-    Null texts stay null, with 0 lines. Rows with equal ids and texts are one document twice: neither is earlier, so
-    both keep what they keep. An empty table gives an empty result.
+    Null texts stay null, with 0 lines. A null id comes first in the order. Rows with equal ids and texts are one
+    document twice: neither is earlier, so both keep what they keep. A very long text is cut into lines in the memory of
+    one task, in linear time. An empty table gives an empty result.
     """
     removed = duplicate_lines(docs, id_col=id_col, text_col=text_col, least_words=least_words, least_chars=least_chars)
-    removed = broadcast_checked(removed.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), F.col("removed").alias("__gone")), 256)
+    removed = broadcast_checked(removed.select(F.col("doc_id").alias("__line_dedup_d"), F.col("text_hash").alias("__line_dedup_t"), F.col("removed").alias("__line_dedup_gone")), 32 + 4 * F.size("__line_dedup_gone"))
     text = F.col(text_col)
-    joined = docs.join(removed, F.col(id_col).eqNullSafe(F.col("__d")) & (F.xxhash64(text.cast("string")) == F.col("__t")), "left")
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda line, k: ~F.array_contains("__gone", k)), "\n")
+    joined = docs.join(removed, F.col(id_col).eqNullSafe(F.col("__line_dedup_d")) & (F.xxhash64(text.cast("string")) == F.col("__line_dedup_t")), "left")
+    kept = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__line_dedup_gone"), lambda k: F.get(lines, k))
+    left = F.array_join(_bound(F.split(text, "\n"), kept), "\n")
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n")))
-    out = joined.withColumn("n_lines", n_lines.cast("long")).withColumn("n_removed_lines", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-    return out.withColumn(text_col, F.when(F.col("__gone").isNull(), text).otherwise(left)).drop("__d", "__t", "__gone")
+    out = joined.withColumn("n_lines", n_lines.cast("long")).withColumn("n_removed_lines", F.coalesce(F.size("__line_dedup_gone"), F.lit(0)).cast("long"))
+    return out.withColumn(text_col, F.when(F.col("__line_dedup_gone").isNull(), text).otherwise(left)).drop("__line_dedup_d", "__line_dedup_t", "__line_dedup_gone")

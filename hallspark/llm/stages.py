@@ -33,7 +33,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; a document of which they leave no word is a copy throughout and goes with them."""
-    out = linededup.dedup_lines(docs, least_chars=16).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    out = linededup.dedup_lines(docs, least_chars=16)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.where((F.col("n_removed_lines") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(docs.columns)
 
 

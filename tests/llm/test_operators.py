@@ -280,6 +280,24 @@ def test_quantisation_bound():
     assert set(zip(*map(np.ndarray.tolist, np.nonzero(x @ x.T >= 0.5)), strict=True)) <= found and len(found) < 2000
 
 
+def test_quantised_sums_of_long_vectors_are_exact():
+    """2048 components of full size sum up beyond what float32 holds."""
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((40, 2048)) < 0.5, 1.0, -1.0) * (1 + 1e-3 * rng.random((40, 2048)))
+    x[20:] = x[:20] + 0.3 * rng.normal(size=(20, 2048))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    found = set()
+    for i, j in embeddings.possible_pairs(embeddings.quantised(x), embeddings.quantised(x), 0.95, rows=16):
+        found |= set(zip(i.tolist(), j.tolist(), strict=True))
+    assert set(zip(*map(np.ndarray.tolist, np.nonzero(x @ x.T >= 0.95)), strict=True)) <= found
+
+
+def test_embeddings_repeated_and_null_ids(spark):
+    frame = spark.createDataFrame([(5, [1.0, 0.0]), (5, [1.0, 0.01]), (None, [1.0, 0.0]), (2, [0.0, 1.0]), (None, None)], "vec_id long, embedding array<double>")
+    rows = embeddings.near_duplicates(frame).collect()
+    assert sorted((r.vec_id or -1, r.n_links, r.component_id or -1, r.kept) for r in rows) == [(-1, 0, -1, True), (-1, 2, 5, False), (2, 0, 2, True), (5, 2, 5, True), (5, 2, 5, True)]
+
+
 def brute_quality(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = Counter(tuple(words[k : k + 8]) for k in range(len(words) - 7))
@@ -462,3 +480,29 @@ def test_jaccard_low_threshold_and_deep_splits(spark):
     want = [sum(i != j and 2 * len(a & b) >= len(a | b) for j, b in enumerate(own)) for i, a in enumerate(own)]
     rows = jaccard.jaccard_classes(docs_of(spark, texts), threshold=0.5, bucket=4, block=16, levels=0, most_levels=2, crowded=0.9, block_shingles=500).collect()
     assert [r.n_links for r in sorted(rows, key=lambda r: r.doc_id)] == want and sum(want) > 60
+
+
+def test_line_dedup_long_lines_and_edges(spark):
+    """Lines of 14 to 35 words, whose anchors change at 16; null ids, columns of clashing names, many lines in one text."""
+    rng = random.Random(16)
+    pool = [prose(rng, n, 400) for n in (14, 15, 16, 17, 18, 24, 35)]
+    lines = []
+    for _ in range(160):
+        line = list(rng.choice(pool))
+        for _ in range(rng.choice((0, 1, 1, 2))):
+            k = rng.randrange(len(line))
+            if (kind := rng.random()) < 0.5:
+                line[k] = f"z{rng.randrange(4)}"
+            elif kind < 0.75:
+                del line[k]
+            else:
+                line.insert(k, "new")
+        lines.append(" ".join(line))
+    texts = ["\n".join(lines[k : k + 4]) for k in range(0, 160, 4)]
+    out = linededup.dedup_lines(docs_of(spark, texts)).collect()
+    assert {r.doc_id: r.text for r in out} == brute_lines(list(enumerate(texts)))
+    frame = spark.createDataFrame([(None, "a\nb", 7, 8, 9, 10), (1, "a\nc", 7, 8, 9, 10)], "doc_id long, text string, n_lines long, __t int, __d int, th int")
+    rows = linededup.dedup_lines(frame).collect()
+    assert sorted((r.doc_id or -1, r.text, r.n_lines, r.n_removed_lines, r["__t"]) for r in rows) == [(-1, "a\nb", 2, 0, 8), (1, "c", 2, 1, 8)]
+    many = linededup.dedup_lines(docs_of(spark, ["\n".join(["same"] * 20_000 + ["end"]), "same\nother"])).collect()
+    assert {r.doc_id: r.text for r in many} == {0: "same\nend", 1: "other"}
