@@ -55,6 +55,13 @@ def broadcast_checked(small: DataFrame, row_bytes: int | Column, limit: int = BR
     return F.broadcast(small) if size <= limit else small
 
 
+def blanks_as(text: Column, blanks: str, blank: str = " ") -> Column:
+    """``text`` with each of ``blanks`` replaced. Faster than translate(), which looks every character up."""
+    for one in blanks:
+        text = F.replace(text, F.lit(one), F.lit(blank))
+    return text
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

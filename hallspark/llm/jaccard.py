@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import alone, broadcast_checked, key_runs, materialize, text_or_empty
+from .common import alone, blanks_as, broadcast_checked, key_runs, materialize, text_or_empty
 from .components import components, forest
 
 #: Hash functions of a sketch that are compared; those by which sets are split keep their whole value: one a run and DEEPER further ones.
@@ -20,7 +20,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 def word_hashes(text: Column) -> Column:
     """Hashes of the lower-cased words between ASCII blanks."""
-    plain = F.translate(F.lower(text), "\t\n\x0b\x0c\r", "     ")
+    plain = blanks_as(F.lower(text), "\t\n\x0b\x0c\r")
     return F.transform(F.filter(F.split(plain, " "), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 

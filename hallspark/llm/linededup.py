@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_checked, materialize
+from .common import blanks_as, broadcast_checked, materialize
 
 
 def _bound(value: Column, use) -> Column:
@@ -14,7 +14,7 @@ def _bound(value: Column, use) -> Column:
 
 
 def _low(text: Column) -> Column:
-    return F.translate(F.lower(text), "\t\x0b\x0c\r", "    ")
+    return blanks_as(F.lower(text), "\t\x0b\x0c\r")
 
 
 def _plain(low: Column) -> Column:
@@ -26,22 +26,28 @@ def _n_words(plain: Column) -> Column:
     return F.when(plain == "", 0).otherwise(F.octet_length(plain) - F.octet_length(F.replace(plain, F.lit(" "), F.lit(""))) + 1)
 
 
+def _at_least(plain: Column, k: int) -> Column:
+    """Whether a line with words has ``k`` or more; reads no further than the k-th."""
+    return F.octet_length(F.substring_index(plain, " ", k - 1)) < F.octet_length(plain)
+
+
 def _units(plain: Column, least_words: int) -> Column:
     """The words of a line, or its characters, marked as such, if it has fewer than ``least_words`` words."""
     chars = lambda x: F.transform(F.filter(F.split(x, ""), lambda y: y != ""), lambda y: F.concat(F.lit("\n"), y))
     return _bound(plain, lambda x: F.when(_n_words(x) < least_words, chars(x)).otherwise(F.split(x, " ")))
 
 
-def _anchors(plain: Column, n: Column, least_words: int, least_chars: int | None = None) -> list[Column]:
+def _anchors(plain: Column, least_words: int, least_chars: int | None = None) -> list[Column]:
     """One word edit leaves the first or the last words of a line as they are: eight of 16 or more, else half of ``least_words``. Lines of 16 have both kinds, as they may pair with either side. Of shorter lines, one edit of a character leaves the first or the last half of ``least_chars``."""
     few = least_words // 2
 
     def ends(k: int, used: Column) -> list[Column]:
         return [F.when(used, F.xxhash64(F.lit(2 * k), F.substring_index(plain, " ", k))), F.when(used, F.xxhash64(F.lit(2 * k + 1), F.substring_index(plain, " ", -k)))]
 
-    long, own = ends(8, n >= 16), ends(few, (n >= least_words) & (n <= 16))
+    enough = _at_least(plain, least_words)
+    long, own = ends(8, _at_least(plain, 16)), ends(few, enough & ~_at_least(plain, 17))
     if least_chars is not None:
-        half, used = least_chars // 2, (n < least_words) & (F.length(plain) >= least_chars)
+        half, used = least_chars // 2, ~enough & (F.length(plain) >= least_chars)
         own = [F.coalesce(k, F.when(used, F.xxhash64(F.lit(j - 2), x))) for j, (k, x) in enumerate(zip(own, (F.substring(plain, 1, half), F.substring(plain, -half, half)), strict=True))]
     return long + own
 
@@ -89,10 +95,10 @@ def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         raise ValueError("least_chars is 4 or more")
     whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keyed = whole.withColumn("th", F.xxhash64("text"))
-    plain, n = F.col("plain"), F.col("n")
+    plain = F.col("plain")
     lines = keyed.where("text is not null").select("doc_id", "th", F.posexplode(F.split(_low(F.col("text")), "\n")).alias("pos", "line"))
-    lines = lines.select("doc_id", "th", "pos", _plain(F.col("line")).alias("plain")).where(plain != "").withColumn("n", _n_words(plain))
-    anchors = [k.alias(f"k{i}") for i, k in enumerate(_anchors(plain, n, least_words, least_chars))]
+    lines = lines.where(F.trim("line") != "").select("doc_id", "th", "pos", _plain(F.col("line")).alias("plain"))
+    anchors = [k.alias(f"k{i}") for i, k in enumerate(_anchors(plain, least_words, least_chars))]
     lines = materialize(lines.select("doc_id", "th", "pos", F.xxhash64("plain").alias("h1"), F.xxhash64(F.lit(1), "plain").alias("h2"), *anchors), "lines")
 
     at = F.struct("doc_id", "th", "pos")
@@ -117,18 +123,18 @@ def duplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     line = Window.partitionBy("h1", "h2")
     upto = line.orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
     here, moved = F.xxhash64("word", "j"), F.xxhash64("word", F.col("j") - 1)
-    variants = each.select("o", "h1", "h2", "j", here.alias("here"), F.bit_xor(here).over(upto).alias("before"), F.bit_xor(here).over(line).alias("base"), F.bit_xor(moved).over(upto).alias("past"), F.bit_xor(moved).over(line).alias("all"))
+    variants = each.select("o", "j", here.alias("here"), F.bit_xor(here).over(upto).alias("before"), F.bit_xor(here).over(line).alias("base"), F.bit_xor(moved).over(upto).alias("past"), F.bit_xor(moved).over(line).alias("all"))
     deleted = F.struct(F.col("before").bitwiseXOR(F.col("here")).bitwiseXOR(F.col("past")).bitwiseXOR(F.col("all")).alias("key"), F.col("j").alias("j"))
     base = F.struct(F.col("base").alias("key"), F.lit(-1).alias("j"))
-    variants = materialize(variants.select("o", "h1", "h2", F.explode(F.when(F.col("j") == 0, F.array(deleted, base)).otherwise(F.array(deleted))).alias("v")).select("o", "h1", "h2", "v.key", "v.j"), "variants")
+    variants = materialize(variants.select("o", F.explode(F.when(F.col("j") == 0, F.array(deleted, base)).otherwise(F.array(deleted))).alias("v")).select("o", "v.key", "v.j"), "variants")
 
     earliest = variants.groupBy("key", "j").agg(F.min("o").alias("o"), F.count("*").alias("n"))
     by_key = earliest.groupBy("key").agg(F.min(F.when(F.col("j") < 0, F.col("o"))).alias("base_o"), F.min(F.when(F.col("j") >= 0, F.col("o"))).alias("variant_o"))
     substituted = variants.where("j >= 0").join(earliest.where("j >= 0 and n > 1").select("key", "j", F.col("o").alias("earlier")), ["key", "j"])
     indel = variants.join(by_key.where("base_o is not null and variant_o is not null"), "key").withColumn("earlier", F.when(F.col("j") < 0, F.col("variant_o")).otherwise(F.col("base_o")))
-    pairs = substituted.select("h1", "h2", "o", "earlier").unionByName(indel.select("h1", "h2", "o", "earlier")).where("earlier < o").distinct()
+    pairs = substituted.select("o", "earlier").unionByName(indel.select("o", "earlier")).where("earlier < o").distinct()
     partner = spelled.select(F.col("o").alias("earlier"), F.col("words").alias("others"))
-    near = pairs.join(partner, "earlier").join(spelled.select("h1", "h2", "words"), ["h1", "h2"]).where(_one_edit(F.col("words"), F.col("others"))).select("h1", "h2").distinct().withColumn("near", F.lit(True))
+    near = pairs.join(partner, "earlier").join(spelled.select("o", "h1", "h2", "words"), "o").where(_one_edit(F.col("words"), F.col("others"))).select("h1", "h2").distinct().withColumn("near", F.lit(True))
 
     marked = firsts.join(near, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     marked = broadcast_checked(materialize(marked, "repeated-lines"), 64)
