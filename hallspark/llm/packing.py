@@ -7,9 +7,9 @@ import string
 import unicodedata
 import zlib
 from itertools import chain, islice
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import kept_in_worker, materialize
 
+if TYPE_CHECKING:  # workers that encode do without it
+    import pandas as pd
+
 END = 0
 #: Blanks of str.split() that the tokenizer keeps in its words.
 KEPT_BLANKS = re.compile(r"[\x1c-\x1f]")
@@ -34,7 +37,7 @@ class _Numbered(dict):
 class WordEncoder:
     """Ids of a tokenizer that drops blanks, remembered by blank-separated part (its words never cross a blank)."""
 
-    def __init__(self, path: str, cache: int = 300_000):
+    def __init__(self, path: str, cache: int = 150_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -130,7 +133,7 @@ class WordEncoder:
         return out
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", chars: int = 2 << 20) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", chars: int = 1 << 19) -> DataFrame:
     """Tokenize whole texts, end each with id 0, and cut those longer than ``capacity``: doc_id, piece, start, length, ids_crc32.
 
     ``tokenizer`` is the path of a tokenizer file that every executor can read; its special tokens count where a text
@@ -187,6 +190,8 @@ def best_fit(sizes: list[int], capacity: int) -> list[int]:
 def _packer(capacity: int):
     def pack(group: pd.DataFrame) -> pd.DataFrame:
         """Items (item, used, members) of a group into bins of the same form; a member is (item, offset), and a piece its own only one."""
+        import pandas as pd
+
         used, items, members = group["used"].tolist(), group["item"].tolist(), group["members"].tolist()
         level, salt = group["level"].iloc[0], group["salt"].iloc[0]
         held: dict[int, list[int]] = {}
