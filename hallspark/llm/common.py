@@ -6,7 +6,8 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +42,28 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` once as Parquet in the shared folder and read it back."""
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for the jobs that run inside, so that whole texts need little memory on the JVM's and on Python's side. No result depends on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    if not before or not 0 < int(before) <= rows:
+        spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        if before:
+            spark.conf.set(key, before)
+        else:
+            spark.conf.unset(key)
+
+
+def materialize(df: DataFrame, name: str, *, long_rows: bool = False) -> DataFrame:
+    """Cut the lineage: write ``df`` once as Parquet in the shared folder and read it back. ``long_rows``: Python tasks before it get texts, or other long values, in small batches."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark) if long_rows else nullcontext():
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

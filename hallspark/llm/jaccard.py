@@ -250,7 +250,7 @@ def jaccard_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, reca
     hashed = words.select("doc_id", "text_hash", F.xxhash64("words").alias("f1"), F.xxhash64(F.lit(1), "words").alias("f2"), "words")
     runs, roots = runs_for(threshold, recall, split, levels), runs_for(threshold, recall, split, most_levels)
     sketched = hashed.mapInArrow(alone(_sketcher(n, roots + DEEPER)), "doc_id long, text_hash long, f1 long, f2 long, size long, paths binary, bits binary")
-    table = materialize(sketched.withColumn("row", F.monotonically_increasing_id()), "sketches")
+    table = materialize(sketched.withColumn("row", F.monotonically_increasing_id()), "sketches", long_rows=True)
     reps = materialize(table.where("size > 0").groupBy("f1", "f2").agg(F.min(F.struct("row", "doc_id")).alias("r"), F.count("*").alias("copies")).select("f1", "f2", F.col("r.row").alias("rep"), F.col("r.doc_id").alias("rep_doc"), "copies"), "reps")
     sets = materialize(table.join(reps.select("rep"), F.col("row") == F.col("rep"), "left_semi").select(F.col("row").alias("rep"), "size", "paths", "bits"), "sets")
 
@@ -274,10 +274,10 @@ def jaccard_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, reca
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(w, n).tobytes() for w in _lists(batch.column(1))], pa.binary())], names=["rep", "shingles"])
 
-    spelled = materialize(hashed.join(wanted, same).select("rep", "words").mapInArrow(alone(spell), "rep long, shingles binary").dropDuplicates(["rep"]), "shingles")
+    spelled = materialize(hashed.join(wanted, same).select("rep", "words").mapInArrow(alone(spell), "rep long, shingles binary").dropDuplicates(["rep"]), "shingles", long_rows=True)
     placed = _in_cells(needed.select("node", "blocks", "rep"))
     full = placed.join(needed.select("rep", "copies"), "rep").join(spelled, "rep").select("node", "cell", "side", "rep", "copies", "shingles")
-    found = materialize(_sorted_by(full, "node", "cell").mapInArrow(alone(_links(threshold)), "rep long, links long, root long"), "links")
+    found = materialize(_sorted_by(full, "node", "cell").mapInArrow(alone(_links(threshold)), "rep long, links long, root long"), "links", long_rows=True)
     counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
     linked = components(found.where("root >= 0").select(F.col("rep").alias("a"), F.col("root").alias("b")))
 

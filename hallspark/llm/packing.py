@@ -222,7 +222,7 @@ def pack(pieces: DataFrame, *, capacity: int = 2048, group_items: int = 30_000,
     Every piece keeps its own row and place, repeated rows too. An empty table gives an empty result.
     """
     spark = pieces.sparkSession
-    numbered = materialize(pieces.withColumn("item", F.monotonically_increasing_id()), "pieces")
+    numbered = materialize(pieces.withColumn("item", F.monotonically_increasing_id()), "pieces", long_rows=True)
     schema = "level int, salt long, item long, used long, members binary"
     rest = numbered.where(F.col("length") < capacity).select("item", F.col("length").alias("used"), F.lit(None).cast("binary").alias("members"))
     n, level, closed = rest.count(), 0, []

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jaccard, linededup, packing, quality, toxicity
-from .common import broadcast_checked, materialize
+from .common import broadcast_checked, materialize, small_batches
 from .queries import table, tokenizer
 
 
@@ -15,7 +15,7 @@ def _same(own: str = "text"):
 
 
 def _keys(decided: DataFrame) -> DataFrame:
-    return broadcast_checked(materialize(decided.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t")).distinct(), "decided"), 24)
+    return broadcast_checked(materialize(decided.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t")).distinct(), "decided", long_rows=True), 24)
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -28,7 +28,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, toxicity.toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+    with small_batches(spark):  # it fits its models at once
+        return _without(docs, toxicity.toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
