@@ -506,3 +506,20 @@ def test_line_dedup_long_lines_and_edges(spark):
     assert sorted((r.doc_id or -1, r.text, r.n_lines, r.n_removed_lines, r["__t"]) for r in rows) == [(-1, "a\nb", 2, 0, 8), (1, "c", 2, 1, 8)]
     many = linededup.dedup_lines(docs_of(spark, ["\n".join(["same"] * 20_000 + ["end"]), "same\nother"])).collect()
     assert {r.doc_id: r.text for r in many} == {0: "same\nend", 1: "other"}
+
+
+def test_small_batches_put_the_setting_back(spark):
+    from hallspark.llm.common import small_batches
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    first = spark.conf.get(key)
+    with small_batches(spark, 7):
+        assert spark.conf.get(key) == "7"
+    assert spark.conf.get(key) == first
+    for given, inside in (("5", "5"), ("50", "7"), ("0", "7")):
+        spark.conf.set(key, given)
+        with pytest.raises(RuntimeError), small_batches(spark, 7):
+            assert spark.conf.get(key) == inside
+            raise RuntimeError
+        assert spark.conf.get(key) == given
+    spark.conf.unset(key)
