@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, jaccard, linededup, packing, quality, sharding, toxicity, warc
+from . import ann, bpe, chat, embeddings, jaccard, lexical, linededup, packing, quality, sharding, toxicity, warc, whitening
 
 
 def tokenizer(name: str) -> str:
@@ -67,5 +67,29 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_fit_packing, op3_chat_formatting, op4_warc, op5_sharding, op6_embedding_near_dedup, op7_line_dedup, op8_toxicity, op9_quality_rules, op10_byte_bpe)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_fit_packing, op3_chat_formatting, op4_warc, op5_sharding, op6_embedding_near_dedup, op7_line_dedup, op8_toxicity, op9_quality_rules, op10_byte_bpe, op11_ranked_lexical_search, op12_embedding_whitening, op13_nearest_neighbours)}
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLE_SQL: dict[str, str] = {
+    "op11_ranked_lexical_search": f"""
+        WITH d AS (SELECT doc_id, {_TERMS} AS terms FROM documents), i AS (SELECT item_id, {_TERMS} AS terms FROM benchmark),
+        size AS (SELECT doc_id, len(terms) AS n FROM d WHERE len(terms) > 0), total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM size),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM d) GROUP BY ALL),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term, docs),
+        q AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest(terms) AS term FROM i) GROUP BY ALL),
+        s AS (SELECT item_id, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // total.terms)))) AS BIGINT) AS score
+            FROM q JOIN w USING (term) JOIN tf USING (term) JOIN size USING (doc_id), total GROUP BY item_id, doc_id),
+        r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT * FROM r WHERE rank <= 20""",
+}
