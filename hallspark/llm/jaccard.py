@@ -183,6 +183,11 @@ def runs_for(threshold: float, recall: float, split: int, levels: int) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log1p(-meets))) if meets < 1 else 1
 
 
+def levels_for(threshold: float, recall: float, split: int, most_levels: int, most_functions: int) -> int:
+    """As many splits, up to ``most_levels``, as need no more than ``most_functions`` runs; none if even that needs more."""
+    return max((k for k in range(most_levels + 1) if runs_for(threshold, recall, split, k) <= most_functions), default=0)
+
+
 def _counted(members: DataFrame, bucket: int) -> DataFrame:
     """Members (rep, node) of nodes with more than one, with their number n. Large nodes are few and join by broadcast if their measured size permits, so that no hot node is gathered."""
     counts = materialize(members.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "node-sizes")
@@ -222,7 +227,7 @@ def _candidates(sets: DataFrame, runs: range, *, roots: int, bucket: int, block:
     return found, deep, level
 
 
-def jaccard_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text", bucket: int = 256, block: int = 512, split: int = 2, levels: int = 3, most_levels: int = 24, crowded: float = 0.25, block_shingles: int = 4 << 20) -> DataFrame:
+def jaccard_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, id_col: str = "doc_id", text_col: str = "text", bucket: int = 256, block: int = 512, split: int = 2, levels: int = 3, most_levels: int = 24, most_functions: int = 256, crowded: float = 0.25, block_shingles: int = 4 << 20) -> DataFrame:
     """Link all documents whose sets of word n-grams have a Jaccard similarity of at least ``threshold``.
 
     Chosen-path join: a set is embedded as its MinHash sketch. A run splits all sets by the value of one of its
@@ -231,7 +236,10 @@ def jaccard_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, reca
     split would part; others at least halve), are compared by brute force, the latter in blocks. A pair at the threshold
     meets in a run with the probability ``threshold`` times that of surviving all splits, which gives the number of runs
     for the target recall at ``levels`` splits. Sets whose buckets were split more often get as many further runs as the
-    deepest bucket asks for. Buckets left after ``most_levels`` splits are compared whole, in blocks. Similar sketches
+    deepest bucket asks for. Buckets left after ``most_levels`` splits are compared whole, in blocks. Each further split
+    asks for more runs, the more so at low thresholds, so there buckets split no more often than ``most_functions`` runs
+    make up for: sketches stay bounded (0.8 needs 26 functions for 24 splits, 0.5 has 9 splits, 0.3 three, 0.1 none), the
+    recall stays, and what isn't split is compared. Only runs without any split may ask for more. Similar sketches
     only tie candidate components; within each, the whole n-gram sets are compared, all with all, so a link counts once
     and exactly, and links that every run missed are found there too. The work inside a component is that of its pairs
     of different texts; a task holds two blocks, bounded in rows and in shingles.
@@ -248,6 +256,8 @@ def jaccard_classes(docs: DataFrame, *, n: int = 5, threshold: float = 0.8, reca
     spark = docs.sparkSession
     words = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), word_hashes(text_or_empty(text_col)).alias("words"))
     hashed = words.select("doc_id", "text_hash", F.xxhash64("words").alias("f1"), F.xxhash64(F.lit(1), "words").alias("f2"), "words")
+    most_levels = levels_for(threshold, recall, split, most_levels, most_functions)
+    levels = min(levels, most_levels)
     runs, roots = runs_for(threshold, recall, split, levels), runs_for(threshold, recall, split, most_levels)
     sketched = hashed.mapInArrow(alone(_sketcher(n, roots + DEEPER)), "doc_id long, text_hash long, f1 long, f2 long, size long, paths binary, bits binary")
     table = materialize(sketched.withColumn("row", F.monotonically_increasing_id()), "sketches", long_rows=True)
