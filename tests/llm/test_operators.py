@@ -9,6 +9,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from hallspark.llm import bpe, chat, embeddings, jaccard, linededup, packing, quality, queries, sharding, stages, toxicity, warc
+from hallspark.llm.common import materialize
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row long, key string, node long, item long"
@@ -523,3 +525,90 @@ def test_small_batches_put_the_setting_back(spark):
             raise RuntimeError
         assert spark.conf.get(key) == given
     spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.3])
+def test_jaccard_low_thresholds_by_brute_force(spark, threshold):
+    """Production settings at low thresholds: bounded sketches, every link found."""
+    rng = random.Random(16)
+    texts = []
+    for _ in range(40):
+        base = prose(rng, 40)
+        for _ in range(4):
+            copy = list(base)
+            for at in rng.sample(range(40), rng.randint(0, 4)):
+                copy[at] = f"v{rng.randrange(999)}"
+            texts.append(" ".join(copy))
+    own = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    want = [sum(i != j and len(a & b) >= threshold * len(a | b) - 1e-9 for j, b in enumerate(own)) for i, a in enumerate(own)]
+    rows = jaccard.jaccard_classes(docs_of(spark, texts), threshold=threshold, bucket=8, block=16).collect()
+    assert [r.n_links for r in sorted(rows, key=lambda r: r.doc_id)] == want and sum(want) > 80
+
+
+def test_jaccard_sketches_are_bounded():
+    for threshold in (0.9, 0.8, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1, 0.05):
+        levels = jaccard.levels_for(threshold, 0.9999, 2, 24, 256)
+        assert jaccard.runs_for(threshold, 0.9999, 2, levels) <= 256
+    assert jaccard.levels_for(0.8, 0.9999, 2, 24, 256) == 24 and jaccard.levels_for(0.3, 0.9999, 2, 24, 256) == 3
+
+
+CLASHING = ["decided_id", "decided_text", "_decided_id", "n_lines", "n_removed_lines", "text_hash", "kept", "row", "__d", "__t", "host"]
+
+
+@pytest.mark.parametrize("stage", [f for _, f in stages.STAGES[:-1]])
+def test_stage_edges(spark, stage):
+    """Clashing columns come back as they were; nulls, repeats and an empty table have their defined results."""
+    rng = random.Random(17)
+    clean = [" ".join(prose(rng, 60)) + "." for _ in range(12)]
+    docs = docs_of(spark, [*clean, None, "", clean[3], clean[4]], [*range(12), 12, 13, 3, None]).select("doc_id", "text", "lang", "source", "n_chars")
+    for k, name in enumerate(CLASHING):
+        docs = docs.withColumn(name, F.lit(100 + k))
+    out = stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert all([r[name] for name in CLASHING] == [100 + k for k in range(len(CLASHING))] for r in rows)
+    kept = Counter(r.doc_id for r in rows)
+    want = Counter([*range(12), 12, 13, 3, None])
+    if stage is stages.quality_stage:
+        want -= Counter([12, 13])
+    if stage is stages.line_dedup_stage:
+        want -= Counter([4])  # a null id is earlier
+    if stage is stages.jaccard_stage:
+        want -= Counter([3, None])
+    assert kept == want
+    assert stage(spark, docs.where("false"), SF).count() == 0 and stage(spark, docs.where("false"), SF).columns == docs.columns
+
+
+def test_packing_stage_edges(spark):
+    docs = docs_of(spark, [None, "", "a b", "a b"], [1, None, 2, 2])
+    rows = stages.packing_stage(spark, docs, SF).collect()
+    assert Counter(r.doc_id for r in rows) == Counter([1, None, 2, 2]) and len({r.sequence_id for r in rows}) == 1
+    assert sorted(r.offset for r in rows)[0] == 0
+    assert stages.packing_stage(spark, docs.where("false"), SF).count() == 0
+
+
+def test_pipeline_by_its_operators(spark):
+    """Each stage's rows equal its operator's decisions on what the one before kept."""
+    import corpus_pipeline
+
+    docs = queries.table(spark, SF, "documents")
+    key = lambda r: (r.doc_id, r.text)
+    before = Counter(map(key, docs.collect()))
+    quality_out = stages.quality_stage(spark, docs, SF)
+    decided = {(r.doc_id, r.text_hash): r.kept for r in quality.quality_rules(docs).collect()}
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    assert Counter(map(key, quality_out.collect())) == Counter(key(r) for r in hashed if decided[r.doc_id, r.h])
+    quality_out = materialize(quality_out, "q")
+    toxic_out = materialize(stages.toxicity_stage(spark, quality_out, SF), "t")
+    scored = {r.doc_id: r.predicted for r in toxicity.toxicity(quality_out, queries.table(spark, SF, "labels")).collect()}
+    assert {r.doc_id for r in toxic_out.collect()} == {d for d, p in scored.items() if not p}
+    lines_out = materialize(stages.line_dedup_stage(spark, toxic_out, SF), "l")
+    kept = stages.jaccard_stage(spark, lines_out, SF).collect()
+    rows = lines_out.collect()
+    classes = brute_jaccard([r.text for r in rows])
+    least = {}
+    for k, r in enumerate(rows):
+        least[classes[k][0]] = min(least.get(classes[k][0], r.doc_id), r.doc_id)
+    assert {r.doc_id for r in kept} == set(least.values())
+    packed = corpus_pipeline.run(spark, SF).select("doc_id").distinct().collect()
+    assert {r.doc_id for r in packed} == set(least.values()) and 0 < len(kept) < before.total()
