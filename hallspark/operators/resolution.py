@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import assess_name, fuzzy_name, name_form, same_entity, same_form
+from ..functions.names import assess_name, fuzzy_name, name_form, same_entity, same_form, stripped_name
 from ..functions.text import slugify
 
 c = F.col
@@ -14,14 +16,64 @@ PARENT_KINDS = ("COMPLEX", "VILLAGE", "RESIDENTIAL_COLLEGE", "UNIT", "APARTMENT_
 CHILD_KINDS = ("BUILDING", "HOUSE", "RESIDENCE", "OTHER", "UNKNOWN")
 
 
-def duplicate_pairs(halls: DataFrame, threshold: float = 0.85, exact_one: bool = False) -> DataFrame:
-    """Pairs of halls of one institution with a name similarity from ``threshold`` up to, without, 1; ``exact_one`` gives the pairs of equal names instead.
+def _token_blocks(named: DataFrame, every: DataFrame, threshold: float) -> DataFrame:
+    """Prefix filter of the overlap bound: (college_id, name, key) for names (college_id, name, tokens); ``every`` holds the names of all sides.
+
+    An institution's tokens are ordered by the number of its names that have them. Of two names whose overlap reaches
+    ``threshold`` the rarest shared token lies in the prefix of both: behind it too few tokens are left to reach the
+    share of the name's own. A token that a name repeats counts as often, so the institution's greatest number of
+    repeats widens its prefixes."""
+    held = every.select("college_id", F.explode(F.array_distinct("tokens")).alias("token"))
+    often = held.groupBy("college_id", "token").agg(F.count("*").alias("often"))
+    repeats = every.groupBy("college_id").agg(F.max(F.size("tokens") - F.size(F.array_distinct("tokens")) + 1).alias("repeats"))
+    own = named.select("college_id", "name", F.explode(F.array_distinct("tokens")).alias("token")).join(often, ["college_id", "token"])
+    by_rarity = own.groupBy("college_id", "name").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("by_rarity")).join(repeats, "college_id")
+    n = F.size("by_rarity")
+    prefix = F.least(n, (F.floor(n - F.lit(threshold) * n / c("repeats") + F.lit(1e-9)) + 1).cast("int"))
+    return by_rarity.select("college_id", "name", F.explode(F.slice("by_rarity", F.lit(1), prefix)).alias("t")).select("college_id", "name", F.concat(F.lit("t:"), c("t.token")).alias("key"))
+
+
+def _grams(x: Column) -> Column:
+    """All substrings of one to three characters, and the empty one."""
+    of = lambda q: F.when(F.length(x) >= q, F.transform(F.sequence(F.lit(1), F.length(x) - (q - 1)), lambda k: F.substring(x, k, F.lit(q)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(F.array(F.lit("")), of(1), of(2), of(3)))
+
+
+def _containment_pairs(names: DataFrame) -> DataFrame:
+    """(college_id, inner, outer) of names (college_id, name, x), the one's x a part of the other's. A name asks for the rarest of its own three-character parts (a shorter one for itself), so only names that hold it are compared."""
+    held = names.select("college_id", c("name").alias("outer"), c("x").alias("outer_x"), F.explode(_grams(c("x"))).alias("gram"))
+    often = held.groupBy("college_id", "gram").agg(F.count("*").alias("often"))
+    asked = names.select("college_id", c("name").alias("inner"), c("x").alias("inner_x"), F.explode(F.filter(_grams(c("x")), lambda g: F.length(g) == F.least(F.length("x"), F.lit(3)))).alias("gram"))
+    rarest = asked.join(often, ["college_id", "gram"]).groupBy("college_id", "inner", "inner_x").agg(F.min(F.struct("often", "gram")).alias("r"))
+    met = rarest.select("college_id", "inner", "inner_x", c("r.gram").alias("gram")).join(held, ["college_id", "gram"])
+    return met.where((c("inner") != c("outer")) & c("outer_x").contains(c("inner_x"))).select("college_id", "inner", "outer")
+
+
+def _close_names(names: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (college_id, name_a <= name_b) of an institution's distinct names that may reach ``threshold``: equal forms, a name within the other (a similarity of 0.85) or enough shared tokens."""
+    formed = names.withColumn("x", stripped_name(c("name"))).withColumn("tokens", F.split("x", r"\s+"))
+    keys = formed.select("college_id", "name", F.concat(F.lit("x:"), c("x")).alias("key")).unionByName(_token_blocks(formed, formed, threshold))
+    met = keys.select("college_id", "key", c("name").alias("name_a")).join(keys.select("college_id", "key", c("name").alias("name_b")), ["college_id", "key"]).where("name_a < name_b").select("college_id", "name_a", "name_b")
+    if threshold <= 0.85:
+        parts = _containment_pairs(formed)
+        met = met.unionByName(parts.select("college_id", F.least("inner", "outer").alias("name_a"), F.greatest("inner", "outer").alias("name_b")))
+    return met.distinct().unionByName(names.select("college_id", c("name").alias("name_a"), c("name").alias("name_b")))
+
+
+def duplicate_pairs(halls: DataFrame, threshold: float = 0.85, exact_one: bool = False, exact: bool = False) -> DataFrame:
+    """Pairs of halls of one institution with a name similarity from ``threshold`` up to, without, 1; ``exact_one`` gives the pairs of similarity 1 instead.
 
     Names repeat far more often than halls, so the similarity is computed on pairs of an institution's distinct names
-    and joined back to the halls that bear them."""
-    names = halls.select("college_id", "name").distinct()
-    a, b = names.alias("a"), names.alias("b")
-    scored = a.join(b, (c("a.college_id") == c("b.college_id")) & (c("a.name") <= c("b.name"))).select(c("a.college_id").alias("college_id"), c("a.name").alias("name_a"), c("b.name").alias("name_b"), fuzzy_name(c("a.name"), c("b.name")).alias("score"))
+    and joined back to the halls that bear them. Only names that share a block meet (:func:`_close_names`), which loses
+    no pair; ``exact`` compares all names of an institution, as does a ``threshold`` of 0 or less, which excludes none.
+    Halls without a name or an institution have no pairs."""
+    names = halls.where("name IS NOT NULL").select("college_id", "name").distinct()
+    if exact or (threshold <= 0 and not exact_one):
+        a, b = names.alias("a"), names.alias("b")
+        pairs = a.join(b, (c("a.college_id") == c("b.college_id")) & (c("a.name") <= c("b.name"))).select(c("a.college_id").alias("college_id"), c("a.name").alias("name_a"), c("b.name").alias("name_b"))
+    else:
+        pairs = _close_names(names, 1.0 if exact_one else threshold)
+    scored = pairs.withColumn("score", fuzzy_name(c("name_a"), c("name_b")))
     wanted = scored.where((c("score") == 1.0) if exact_one else (c("score") >= threshold) & (c("score") < 1.0))
     left = halls.select("college_id", c("id").alias("id_a"), c("name").alias("name_a"))
     right = halls.select("college_id", c("id").alias("id_b"), c("name").alias("name_b"))
@@ -40,17 +92,88 @@ def top_duplicates(pairs: DataFrame, n: int = 30) -> DataFrame:
     return pairs.orderBy(F.desc("score"), "id_a", "id_b").limit(n)
 
 
-def resolve_entities(candidates: DataFrame, halls: DataFrame, priority: bool = False) -> DataFrame:
-    """Candidates (candidate_id, college_id, candidate_name) with the hall that each means: equal slugs or surely one entity. The first hall by id counts; with ``priority``, equal slugs first.
-
-    Slugs meet in an equi-join. Names repeat more often than halls, so the distinct names of an institution are brought into comparable form once and then compared."""
-    slugs = halls.groupBy("college_id", "slug").agg(F.min("id").alias("by_slug"))
-    known = halls.groupBy("college_id", c("name").alias("hall_name")).agg(F.min("id").alias("hall_id")).withColumn("hall_form", name_form(c("hall_name")))
-    asked = candidates.select("college_id", "candidate_name").distinct().withColumn("form", name_form(c("candidate_name")))
-    named = asked.join(known, "college_id").where(same_form(c("form"), c("hall_form"))).groupBy("college_id", "candidate_name").agg(F.min("hall_id").alias("by_name"))
-    out = candidates.withColumn("slug", slugify(c("candidate_name"))).join(slugs, ["college_id", "slug"], "left").join(named, ["college_id", "candidate_name"], "left")
-    hall = F.coalesce("by_slug", "by_name") if priority else F.least("by_slug", "by_name")
-    return out.select("candidate_id", "college_id", "candidate_name", hall.alias("hall_id"))
+def same_names(asked: DataFrame, known: DataFrame, or_equal: bool = False) -> DataFrame:
+    """(college_id, name, hall_name): names of ``asked`` (college_id, name) and names of ``known`` (college_id, hall_name) that surely mean one entity; with ``or_equal`` also those equal but for case.
+
+    Names meet by equal normal forms, equal bases with equal numbers and directions, equal stripped names, or a shared
+    token of their prefixes at the overlap that the rule asks for; what meets is verified."""
+    # grouped with their forms, so that a form is computed once a name and shuffled, never inlined into what uses it
+    left = asked.withColumn("form", name_form(c("name"))).distinct()
+    right = known.select("college_id", c("hall_name").alias("name")).withColumn("form", name_form(c("name"))).distinct()
+
+    def keys(side: DataFrame, every: DataFrame) -> DataFrame:
+        equal = [F.concat(F.lit("n:"), c("form.norm")), F.concat(F.lit("s:"), c("form.stripped")), F.concat(F.lit("l:"), F.lower("name")), F.concat_ws("|", F.lit("b:"), c("form.numbers"), c("form.turned").cast("string"), c("form.base"))]
+        return side.select("college_id", "name", F.explode(F.array(*equal)).alias("key")).unionByName(_token_blocks(side.select("college_id", "name", c("form.tokens").alias("tokens")), every, 0.92))
+
+    every = left.unionByName(right).select("college_id", c("form.tokens").alias("tokens"))
+    met = keys(left, every).join(keys(right, every).withColumnRenamed("name", "hall_name"), ["college_id", "key"]).select("college_id", "name", "hall_name").distinct()
+    formed = met.join(left, ["college_id", "name"]).join(right.select("college_id", c("name").alias("hall_name"), c("form").alias("hall_form")), ["college_id", "hall_name"])
+    same = same_form(c("form"), c("hall_form"))
+    return formed.where(same | (F.lit(or_equal) & (F.lower("name") == F.lower("hall_name")))).select("college_id", "name", "hall_name")
+
+
+def _usable(name: str) -> Column:
+    """Names of two characters or more that leave a slug; others mean no hall."""
+    return F.coalesce((F.length(F.trim(name)) >= 2) & (slugify(F.trim(name)) != ""), F.lit(False))
+
+
+def resolve_entities(candidates: DataFrame, halls: DataFrame, aliases: DataFrame | None = None, priority: bool = False) -> DataFrame:
+    """Candidates (candidate_id, college_id, candidate_name) with the hall that each means, by equal slugs, by an alias (dorm_id, alias; equal slugs, or equal but for case) or surely one entity: hall_id and rule (slug, alias, name).
+
+    The first hall by id counts, whatever the rule. With ``priority`` the rules are a cascade: slugs first, then aliases,
+    then names, each for what the one before left. Distinct names of an institution are resolved once; every rule is an
+    equi-join, so no names meet that share nothing. Names too short to keep mean no hall."""
+    key = ["college_id", "candidate_name"]
+    asked = candidates.where(_usable("candidate_name")).select(*key).distinct().withColumns({"slug": slugify(F.trim("candidate_name")), "low": F.lower(F.trim("candidate_name"))})
+    slugs = halls.groupBy("college_id", "slug").agg(F.min("id").alias("hall_id"))
+    found = [asked.join(slugs, ["college_id", "slug"]).select(*key, "hall_id", F.lit("slug").alias("rule"))]
+    rest = asked.join(found[-1], key, "left_anti") if priority else asked
+    if aliases is not None:
+        owned = aliases.join(halls.select(c("id").alias("dorm_id"), "college_id"), "dorm_id")
+        for own, of_alias in (("slug", slugify(c("alias"))), ("low", F.lower("alias"))):
+            named = owned.groupBy("college_id", of_alias.alias(own)).agg(F.min("dorm_id").alias("hall_id"))
+            found.append(rest.join(named, ["college_id", own]).select(*key, "hall_id", F.lit("alias").alias("rule")))
+        if priority:
+            rest = rest.join(found[-2].unionByName(found[-1]), key, "left_anti")
+    known = halls.where("name IS NOT NULL").groupBy("college_id", c("name").alias("hall_name")).agg(F.min("id").alias("hall_id"))
+    same = same_names(rest.select("college_id", F.trim("candidate_name").alias("name")), known.select("college_id", "hall_name")).join(known, ["college_id", "hall_name"])
+    found.append(rest.withColumn("name", F.trim("candidate_name")).join(same, ["college_id", "name"]).select(*key, "hall_id", F.lit("name").alias("rule")))
+    order = F.when(c("rule") == "slug", 0).when(c("rule") == "alias", 1).otherwise(2)
+    best = reduce(DataFrame.unionByName, found).groupBy(*key).agg(F.min(F.struct("hall_id", order.alias("o"), "rule")).alias("m"))
+    out = candidates.join(best, key, "left")
+    return out.select("candidate_id", "college_id", "candidate_name", c("m.hall_id").alias("hall_id"), c("m.rule").alias("rule"))
+
+
+def resolve_parents(candidates: DataFrame, halls: DataFrame) -> DataFrame:
+    """Parents by hint, for candidates (candidate_id, college_id, candidate_name, parent_hint, hall_id) whose hall has none: a row for each child that gets one.
+
+    A candidate with a hall_id is that stored hall; others are created, those of an institution with equal slugs as one
+    (created_id: the least candidate_id). A hint means a hall of the institution that is surely the same entity or has
+    an equal name but for case: a stored one if there is any, else one created in the same batch; the first by id each
+    time, and never the child itself. Stored and created names meet the hints in one blocked join. Of several hints for
+    a child the first candidate's that is resolved counts. Children that have a parent keep it. Columns: hall_id or
+    created_id, the candidate_id whose hint it was, parent_id (stored) or parent_created_id."""
+    kinds = dict(candidates.dtypes)["candidate_id"], dict(halls.dtypes)["id"]
+    made = candidates.where(c("hall_id").isNull() & _usable("candidate_name")).withColumn("slug", slugify(F.trim("candidate_name")))
+    first_made = made.groupBy("college_id", "slug").agg(F.min("candidate_id").alias("created_id"))
+    fresh = made.join(first_made, ["college_id", "slug"]).drop("slug")
+    parentless = halls.where("parent_id IS NULL").select(c("id").alias("hall_id"))
+    stored = candidates.where("hall_id IS NOT NULL").join(parentless, "hall_id", "left_semi").withColumn("created_id", F.lit(None).cast(kinds[0]))
+    children = stored.unionByName(fresh).withColumn("name", F.trim("parent_hint")).where(F.coalesce(c("name") != "", F.lit(False)))
+    owners = halls.where("name IS NOT NULL").select("college_id", c("name").alias("hall_name"), c("id").alias("known_id"), F.lit(None).cast(kinds[0]).alias("known_created"))
+    owners = owners.unionByName(fresh.select("college_id", F.trim("candidate_name").alias("hall_name"), F.lit(None).cast(kinds[1]).alias("known_id"), c("created_id").alias("known_created")).distinct())
+    met = same_names(children.select("college_id", "name"), owners.select("college_id", "hall_name"), or_equal=True).join(owners, ["college_id", "hall_name"])
+    # of each kind the first and the next, as one of them may be the child itself
+    phase = c("known_id").isNull().cast("int")
+    nth = F.row_number().over(Window.partitionBy("college_id", "name", "phase").orderBy("known_id", "known_created"))
+    few = met.select("college_id", "name", phase.alias("phase"), "known_id", "known_created").distinct().withColumn("nth", nth).where("nth <= 2")
+    of = lambda k, column: F.min(F.when(c("nth") == k, c(column)))
+    means = few.groupBy("college_id", "name").agg(of(1, "known_id").alias("a"), of(2, "known_id").alias("b"), of(1, "known_created").alias("x"), of(2, "known_created").alias("y"))
+    other = lambda first, second, own: F.when(c(first).eqNullSafe(c(own)), c(second)).otherwise(c(first))
+    found = children.join(means, ["college_id", "name"]).withColumn("parent_id", other("a", "b", "hall_id"))
+    found = found.withColumn("parent_created_id", F.when(c("parent_id").isNull(), other("x", "y", "created_id"))).where("parent_id IS NOT NULL OR parent_created_id IS NOT NULL")
+    best = found.groupBy("hall_id", "created_id").agg(F.min(F.struct("candidate_id", "parent_id", "parent_created_id")).alias("m"))
+    return best.select("hall_id", "created_id", "m.*")
 
 
 def hierarchy_audit(halls: DataFrame) -> DataFrame:

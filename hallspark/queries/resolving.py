@@ -56,10 +56,63 @@ def same(a: str, b: str) -> str:
 
 @query(f"SELECT college_id, a.id AS id_a, b.id AS id_b FROM {{v_dorm}} a JOIN {{v_dorm}} b USING (college_id) WHERE a.id < b.id AND {same('a.name', 'b.name')}")
 def same_entity_pairs(v):
-    d = v("v_dorm").select("college_id", "id", names.name_form(c("name")).alias("form"))
-    a, b = d.alias("a"), d.alias("b")
-    pairs = a.join(b, (c("a.college_id") == c("b.college_id")) & (c("a.id") < c("b.id")) & names.same_form(c("a.form"), c("b.form")))
-    return pairs.select(c("a.college_id").alias("college_id"), c("a.id").alias("id_a"), c("b.id").alias("id_b"))
+    d = v("v_dorm").select("college_id", "id", "name")
+    met = o.same_names(d.select("college_id", "name"), d.select("college_id", c("name").alias("hall_name")))
+    pairs = met.join(d.withColumnRenamed("id", "id_a"), ["college_id", "name"]).join(d.select("college_id", c("id").alias("id_b"), c("name").alias("hall_name")), ["college_id", "hall_name"])
+    return pairs.where("id_a < id_b").select("college_id", "id_a", "id_b")
+
+
+#: Candidates that mean a hall by its slug, by one of its aliases only, by its name, or none; aliases of half of the halls.
+ALIAS = "SELECT id AS dorm_id, concat(CASE WHEN id % 4 = 1 THEN 'Old Mill ' ELSE 'St. Anne''s ' END, CAST(id AS VARCHAR(9))) AS alias FROM {v_dorm} WHERE id % 4 IN (1, 2)"
+CANDIDATES = "SELECT id AS candidate_id, college_id, CASE id % 5 WHEN 0 THEN concat(' HALL ', CAST(id AS VARCHAR(9)), ' ') WHEN 1 THEN concat('OLD mill - ', CAST(id AS VARCHAR(9))) WHEN 2 THEN concat('st. ANNE''S ', CAST(id AS VARCHAR(9))) WHEN 3 THEN concat('The ', upper(name)) ELSE CASE WHEN id % 2 = 0 THEN '?' ELSE 'Nowhere to be found' END END AS candidate_name FROM {v_dorm}"
+SLUG = "regexp_replace(regexp_replace(lower(trim({x})), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"
+RULES = f"""SELECT q.candidate_id, d.id AS hall_id, CASE WHEN {SLUG.replace("{x}", "q.candidate_name")} = d.slug THEN 0 WHEN {SLUG.replace("{x}", "q.candidate_name")} = {SLUG.replace("{x}", "a.alias")} OR lower(trim(q.candidate_name)) = lower(a.alias) THEN 1 WHEN {same("q.candidate_name", "d.name")} THEN 2 END AS rule
+    FROM ({CANDIDATES}) q JOIN {{v_dorm}} d ON d.college_id = q.college_id LEFT JOIN ({ALIAS}) a ON a.dorm_id = d.id WHERE length(trim(q.candidate_name)) >= 2 AND {SLUG.replace("{x}", "q.candidate_name")} <> ''"""
+RULE = "CASE rule WHEN 0 THEN 'slug' WHEN 1 THEN 'alias' WHEN 2 THEN 'name' END"
+
+
+def given_candidates(v):
+    n, k = c("id").cast("string"), c("id") % 5
+    name = F.when(k == 0, F.concat(F.lit(" HALL "), n, F.lit(" "))).when(k == 1, F.concat(F.lit("OLD mill - "), n)).when(k == 2, F.concat(F.lit("st. ANNE'S "), n)).when(k == 3, F.concat(F.lit("The "), F.upper("name"))).otherwise(F.when(c("id") % 2 == 0, "?").otherwise("Nowhere to be found"))
+    aliases = v("v_dorm").where("id % 4 IN (1, 2)").select(c("id").alias("dorm_id"), F.concat(F.when(c("id") % 4 == 1, "Old Mill ").otherwise("St. Anne's "), n).alias("alias"))
+    return v("v_dorm").select(c("id").alias("candidate_id"), "college_id", name.alias("candidate_name")), aliases
+
+
+@query(f"SELECT q.candidate_id, m.hall_id, {RULE} AS rule FROM ({CANDIDATES}) q LEFT JOIN (SELECT candidate_id, min(hall_id) AS hall_id, min_by(rule, row(hall_id, rule)) AS rule FROM ({RULES}) r WHERE rule IS NOT NULL GROUP BY candidate_id) m USING (candidate_id)")
+def entity_resolution_aliases(v):
+    candidates, aliases = given_candidates(v)
+    return o.resolve_entities(candidates, v("v_dorm"), aliases).select("candidate_id", "hall_id", "rule")
+
+
+@query(f"SELECT q.candidate_id, m.hall_id, {RULE} AS rule FROM ({CANDIDATES}) q LEFT JOIN (SELECT candidate_id, min_by(hall_id, row(rule, hall_id)) AS hall_id, min(rule) AS rule FROM ({RULES}) r WHERE rule IS NOT NULL GROUP BY candidate_id) m USING (candidate_id)")
+def entity_resolution_cascade(v):
+    candidates, aliases = given_candidates(v)
+    return o.resolve_entities(candidates, v("v_dorm"), aliases, priority=True).select("candidate_id", "hall_id", "rule")
+
+
+#: By turns a stored hall with the name of its institution's hall before it as hint, a new one with its own or an earlier new one's name, and one with a hint that means nothing.
+NEW = "concat('Rosewood place ', CAST({x} AS VARCHAR(9)))"
+HINTED = f"""SELECT d.id AS candidate_id, d.college_id, CASE WHEN k = 0 THEN d.id END AS hall_id, CASE WHEN k = 1 THEN {NEW.replace("{x}", "d.id")} ELSE d.name END AS candidate_name,
+        CASE k WHEN 0 THEN concat('The ', upper(p.name)) WHEN 1 THEN {NEW.replace("{x}", "CASE WHEN d.id % 2 = 0 THEN d.id ELSE d.id - 3 * ns END")} ELSE 'Nowhere' END AS parent_hint
+    FROM (SELECT *, CAST(floor(id / ns) AS BIGINT) % 3 AS k FROM {{v_dorm}}, (SELECT count(*) AS ns FROM {{supplier}}) n) d LEFT JOIN {{v_dorm}} p ON p.id = d.id - ns"""
+HINTED_ORACLE = f"""WITH h AS ({HINTED}), children AS (SELECT h.* FROM h LEFT JOIN {{v_dorm}} d ON d.id = h.hall_id WHERE h.hall_id IS NULL OR d.parent_id IS NULL),
+    made AS (SELECT * FROM h WHERE hall_id IS NULL),
+    first AS (SELECT x.candidate_id, min(d.id) AS parent_id FROM children x JOIN {{v_dorm}} d ON d.college_id = x.college_id AND d.id IS DISTINCT FROM x.hall_id AND ({same("x.parent_hint", "d.name")} OR lower(x.parent_hint) = lower(d.name)) GROUP BY 1),
+    names AS (SELECT college_id, {SLUG.replace("{x}", "candidate_name")} AS slug, min(candidate_id) AS created_id FROM made GROUP BY 1, 2),
+    owned AS (SELECT m.*, n.created_id FROM made m JOIN names n ON n.college_id = m.college_id AND n.slug = {SLUG.replace("{x}", "m.candidate_name")}),
+    second AS (SELECT x.candidate_id, min(m.created_id) AS parent_created_id FROM children x LEFT JOIN owned w ON w.candidate_id = x.candidate_id JOIN owned m ON m.college_id = x.college_id AND m.created_id IS DISTINCT FROM w.created_id AND ({same("x.parent_hint", "m.candidate_name")} OR lower(x.parent_hint) = lower(m.candidate_name)) WHERE x.candidate_id NOT IN (SELECT candidate_id FROM first) GROUP BY 1)
+    SELECT x.hall_id, w.created_id, min(x.candidate_id) AS candidate_id, min_by(f.parent_id, x.candidate_id) AS parent_id, min_by(s.parent_created_id, x.candidate_id) AS parent_created_id FROM children x LEFT JOIN owned w USING (candidate_id) LEFT JOIN first f USING (candidate_id) LEFT JOIN second s USING (candidate_id) WHERE f.parent_id IS NOT NULL OR s.parent_created_id IS NOT NULL GROUP BY 1, 2"""
+
+
+@query(f"SELECT * FROM ({HINTED_ORACLE}) z")
+def parent_hints(v):
+    ns = v("supplier").agg(F.count("*").alias("ns"))
+    d = v("v_dorm").crossJoin(F.broadcast(ns)).withColumn("k", F.floor(c("id") / c("ns")) % 3)
+    before = v("v_dorm").select(c("id").alias("before"), c("name").alias("before_name"))
+    new = lambda n: F.concat(F.lit("Rosewood place "), n.cast("string"))
+    hint = F.when(c("k") == 0, F.concat(F.lit("The "), F.upper("before_name"))).when(c("k") == 1, new(F.when(c("id") % 2 == 0, c("id")).otherwise(c("id") - 3 * c("ns")))).otherwise("Nowhere")
+    rows = d.join(before, c("before") == c("id") - c("ns"), "left").select(c("id").alias("candidate_id"), "college_id", F.when(c("k") == 0, c("id")).alias("hall_id"), F.when(c("k") == 1, new(c("id"))).otherwise(c("name")).alias("candidate_name"), hint.alias("parent_hint"))
+    return o.resolve_parents(rows, v("v_dorm"))
 
 
 @query(f"SELECT q.id AS candidate_id, min(d.id) AS hall_id FROM (SELECT id, college_id, concat('The ', upper(name)) AS name FROM {{v_dorm}}) q LEFT JOIN {{v_dorm}} d ON d.college_id = q.college_id AND {same('q.name', 'd.name')} GROUP BY q.id")
