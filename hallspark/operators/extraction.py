@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from urllib.parse import unquote, urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,111 +16,247 @@ from ..functions.common import clamp, collapse, listed
 c = F.col
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SKIPPED = frozenset(("script", "style", "noscript", "template"))
-CARD_WORDS = ("card", "residence", "hall", "tile", "teaser", "listing")
+#: An element left open ends where one of these starts, within the nearest of the containers.
+IMPLIED_ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody", "tfoot"}, {"table"}), "thead": ({"thead", "tbody", "tfoot"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot"}, {"table"}), "p": ({"p"}, {"div", "section", "article", "main", "li", "td", "th", "body", "aside", "nav", "header", "footer"})}
 HEADINGS = frozenset(("h1", "h2", "h3", "h4"))
-CANDIDATE = "struct<name:string,role:string,structural_role:string,href:string,surrounding:string,repeated:boolean,position:int>"
-SIGNALS = f"page_id long, url string, title string, h1 string, headings string, main_text string, n_scripts int, links array<struct<href:string,text:string,role:string>>, candidates array<{CANDIDATE}>"
+LONGEST_TEXT = 12_000
+CANDIDATE = "struct<name:string,role:string,structural_role:string,href:string,surrounding:string,repeated:boolean,position:int,selector:string,category:string,parent_hint:string,image:string>"
+SIGNALS = f"page_id long, url string, title string, h1 string, og_title string, breadcrumbs string, headings string, main_text string, n_scripts int, image string, links array<struct<href:string,text:string,role:string,absolute:string>>, candidates array<{CANDIDATE}>"
+
+
+class _Element:
+    """An element with the span of its descendants and of its text parts; chrome and section come down from its ancestors."""
+
+    __slots__ = ("tag", "given", "classes", "parent", "at", "last", "first_text", "last_text", "chrome", "section", "heading")
+
+    def __init__(self, tag: str, given: dict, parent: _Element | None, at: int, text: int):
+        self.tag, self.given, self.parent, self.at, self.last, self.first_text, self.last_text = tag, given, parent, at, at, text, None
+        self.classes = frozenset(given.get("class", "").lower().split())
+        self.chrome = (parent.chrome if parent else frozenset()) | self._chrome()
+        self.heading: _Element | None = None  # of a section: its first heading
+        self.section = self if tag == "section" or "section" in self.classes else parent.section if parent else None
+
+    def _chrome(self) -> frozenset:
+        role, own, name = self.given.get("role", ""), self.classes, self.given.get("id", "")
+        found = {
+            "nav": self.tag == "nav" or role == "navigation" or own & {"nav", "navbar", "menu", "mega-menu", "breadcrumb", "breadcrumbs"},
+            "header": self.tag == "header",
+            "footer": self.tag == "footer",
+            "aside": self.tag == "aside" or own & {"sidebar", "utility-nav", "cookie"} or name == "cookie",
+            "main": self.tag == "main" or role == "main" or name in ("main", "content") or "main-content" in own,
+        }
+        return frozenset(k for k, yes in found.items() if yes)
+
+    def role(self) -> str:
+        return next((k for k in ("nav", "header", "footer", "aside", "main") if k in self.chrome), "unknown")
+
+    def in_body_row(self) -> bool:
+        up = self.parent
+        while up and up.tag not in ("table", "thead", "tbody", "tfoot"):
+            up = up.parent
+        return bool(up) and up.tag in ("table", "tbody")  # rows right in a table are its body
 
 
 class _Page(HTMLParser):
-    """One pass over a page: texts of title, headings, main part, links and cards."""
+    """One pass over a page: its elements in order, and its texts."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str, str]] = []
-        self.title, self.headings, self.main, self.body = [], [], [], []
-        self.links, self.cards, self.scripts = [], [], 0
-        self.open_heading = self.open_link = None
+        self.elements: list[_Element] = []
+        self.stack: list[_Element] = []
+        self.texts: list[str] = []
+        self.title, self.scripts, self.skipping = [], 0, 0
 
-    def role(self) -> str:
-        for tag, classes, role in reversed(self.stack):
-            if tag == "nav" or role == "navigation" or {"nav", "navbar", "menu", "breadcrumb"} & set(classes.split()):
-                return "nav"
-            if tag in ("header", "footer", "aside", "main"):
-                return tag
-            if role == "main":
-                return "main"
-        return "unknown"
+    def _end(self, depth: int) -> None:
+        for gone in self.stack[depth:]:
+            gone.last, gone.last_text = len(self.elements) - 1, len(self.texts)
+            self.skipping -= gone.tag in SKIPPED
+        del self.stack[depth:]
 
     def handle_starttag(self, tag, attrs):
-        given = {k: v or "" for k, v in attrs}
+        ends, within = IMPLIED_ENDS.get(tag, ((), ()))
+        for k in range(len(self.stack) - 1, -1, -1):
+            if self.stack[k].tag in ends:
+                self._end(k)
+                break
+            if self.stack[k].tag in within or not ends:
+                break
+        element = _Element(tag, {k: v or "" for k, v in attrs}, self.stack[-1] if self.stack else None, len(self.elements), len(self.texts))
+        self.elements.append(element)
         self.scripts += tag == "script"
-        if tag not in VOID:
-            self.stack.append((tag, given.get("class", "").lower(), given.get("role", "")))
-        if tag in HEADINGS:
-            self.open_heading = (tag, [], self.role(), len(self.cards) - 1 if self._in_card() else None)
-        if tag == "a" and given.get("href"):
-            self.open_link = (given["href"], [], self.role(), len(self.cards) - 1 if self._in_card() else None)
-        if tag in ("article", "li", "div") and self._is_card(tag, given.get("class", "").lower()) and not any(t[0] == "card" for t in self.stack):
-            self.cards.append({"text": [], "role": self.role(), "depth": len(self.stack)})
-
-    @staticmethod
-    def _is_card(tag: str, classes: str) -> bool:
-        return any(w in part for part in classes.split() for w in CARD_WORDS) if tag != "article" else True
+        if tag in ("h1", "h2", "h3"):
+            up = element.section
+            while up and up.heading is None:
+                up.heading = element
+                up = up.parent.section if up.parent else None
+        if tag in VOID:
+            element.last_text = len(self.texts)
+        else:
+            self.stack.append(element)
+            self.skipping += tag in SKIPPED
 
-    def _in_card(self) -> bool:
-        return bool(self.cards) and len(self.stack) >= self.cards[-1]["depth"] and not self.cards[-1].get("closed")
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self._end(len(self.stack) - 1)
 
     def handle_endtag(self, tag):
-        if tag in VOID:
-            return
-        if tag in HEADINGS and self.open_heading:
-            self.headings.append((self.open_heading[0], " ".join("".join(self.open_heading[1]).split()), *self.open_heading[2:]))
-            self.open_heading = None
-        if tag == "a" and self.open_link:
-            self.links.append((self.open_link[0], " ".join("".join(self.open_link[1]).split()), *self.open_link[2:]))
-            self.open_link = None
         for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
+            if self.stack[k].tag == tag:
+                self._end(k)
                 break
-        if self.cards and len(self.stack) < self.cards[-1]["depth"]:
-            self.cards[-1]["closed"] = True
 
     def handle_data(self, data):
-        tags = [t[0] for t in self.stack]
-        if SKIPPED & set(tags):
-            return
-        if "title" in tags:
-            self.title.append(data)
-            return
-        self.body.append(data)
-        if self.role() == "main" or "main" in tags:
-            self.main.append(data)
-        if self.open_heading:
-            self.open_heading[1].append(data)
-        if self.open_link:
-            self.open_link[1].append(data)
-        if self._in_card():
-            self.cards[-1]["text"].append(data)
+        if not self.skipping:
+            if self.stack and self.stack[-1].tag == "title":
+                self.title.append(data)
+            else:
+                self.texts.append(data)
+
+    def close(self):
+        super().close()
+        self._end(0)
+
+    def text(self, element: _Element, n: int = LONGEST_TEXT) -> str:
+        parts, size = [], 0
+        for k in range(element.first_text, element.last_text):
+            parts.append(self.texts[k])
+            size += len(self.texts[k])
+            if size > 8 * n:  # blanks are squeezed, so more than n characters are read
+                break
+        return _squeezed(parts, n)
+
+    def within(self, element: _Element, wanted: Callable[[_Element], bool]) -> Iterator[_Element]:
+        return (e for e in self.elements[element.at + 1 : element.last + 1] if wanted(e))
 
 
 def _squeezed(parts, n: int) -> str:
     return " ".join("".join(parts).split())[:n]
 
 
-def parse_page(html: str) -> dict:
-    """What the rules need of a page. Broken markup never fails; what can't be read is left out."""
+def _absolute(base: str, href: str | None) -> str | None:
+    try:
+        return urljoin(base or "", href.strip()) if href is not None else None
+    except ValueError:  # no URL at all
+        return None
+
+
+def _slug_title(url: str) -> str:
+    """A name from the last part of a URL's path."""
+    try:
+        last = [p for p in unquote(urlsplit(url).path).split("/") if p][-1]
+    except (ValueError, IndexError):
+        return ""
+    words = re.sub("[-_]+", " ", last).split()
+    return " ".join(w[:1].upper() + w[1:] for w in words)
+
+
+# Selectors of cards, in the order in which they count, and words of parents, links and options.
+CARDS: tuple[tuple[str, Callable[[_Element], bool]], ...] = (
+    ("article", lambda e: e.tag == "article"),
+    (".card", lambda e: "card" in e.classes),
+    (".views-row", lambda e: "views-row" in e.classes),
+    (".teaser", lambda e: "teaser" in e.classes),
+    ("[class*='housing-card']", lambda e: "housing-card" in e.given.get("class", "")),
+    ("[class*='residence-card']", lambda e: "residence-card" in e.given.get("class", "")),
+    (".accordion-item", lambda e: "accordion-item" in e.classes),
+    ("table tbody tr", lambda e: e.tag == "tr" and e.in_body_row()),
+)
+PARENT_WORDS = re.compile("village|college|complex|community|unit", re.I)
+LINK_WORDS = re.compile("housing|residenc|living|unit|apartment|hall|dorm|village|commons", re.I)
+OPTION_PROMPT = re.compile("select|choose|please", re.I)
+NO_PICTURE = re.compile("logo|sprite|icon|1x1|pixel", re.I)
+CHROME = ("nav", "header", "footer")
+
+
+def _harvest(page: _Page, roots: list[_Element], base: str, has_main: bool) -> Iterator[dict]:
+    """Candidates of a page's roots by structural role: cards and table rows, headings, links, select options."""
+
+    def found(name, role, structural, surrounding, *, href=None, repeated=False, selector="", category=None, parent=None, image=None):
+        return {"name": name, "role": role, "structural_role": structural, "href": href, "surrounding": surrounding, "repeated": repeated, "selector": selector, "category": category, "parent_hint": parent, "image": image}
+
+    def all_within(wanted):
+        return [e for root in roots for e in page.within(root, wanted)]
+
+    in_main = lambda e: "main" if has_main and e.role() == "unknown" else e.role()
+    for selector, is_card in CARDS:
+        cards = all_within(is_card)
+        for card in cards:
+            if card.role() in CHROME:
+                continue
+            named = next(page.within(card, lambda e: e.tag in HEADINGS or e.tag == "a" or e.classes & {"title", "card-title"}), None)
+            title = page.text(named) if named else ""
+            if not title:
+                cell = next(page.within(card, lambda e: e.tag == "td"), None)
+                title = page.text(cell) if cell else ""
+            if not title:
+                continue
+            link = next(page.within(card, lambda e: e.tag == "a" and "href" in e.given), None)
+            picture = next(page.within(card, lambda e: e.tag == "img"), None)
+            heading = page.text(card.section.heading) if card.section and card.section.heading else ""
+            parent = heading if PARENT_WORDS.search(heading) and heading != title else None
+            yield found(title, card.role(), "table_cell" if "tr" in selector else "card_title", page.text(card), href=_absolute(base, link.given["href"]) if link else None, repeated=len(cards) >= 3, selector=selector, category=heading or None, parent=parent, image=_absolute(base, picture.given.get("src")) if picture and picture.given.get("src") else None)
+    for heading in all_within(lambda e: e.tag in HEADINGS):
+        if heading.role() not in CHROME:
+            up = heading.parent or heading
+            beside = sum(1 for _ in page.within(up, lambda e: e.tag in ("article", "li", "tr") or "card" in e.classes))
+            yield found(page.text(heading), in_main(heading), "heading", page.text(up), repeated=beside >= 3, selector="heading")
+    for link in all_within(lambda e: e.tag == "a" and e.given.get("href")):
+        href, text = _absolute(base, link.given["href"]), page.text(link)
+        if link.role() in CHROME or href is None:
+            continue
+        name = text if len(text) >= 2 else _slug_title(href)
+        if name and LINK_WORDS.search(f"{href} {name}"):
+            yield found(name, in_main(link), "link", page.text(link.parent, 400) if link.parent else text, href=href, repeated=True, selector="a[href]")
+    for select in all_within(lambda e: e.tag == "select"):
+        for option in page.within(select, lambda e: e.tag == "option"):
+            name = page.text(option)
+            if name and not OPTION_PROMPT.search(name):
+                yield found(name, "main", "select_option", "housing select option room assignment", repeated=True, selector="select option")
+
+
+def parse_page(html: str, url: str = "") -> dict:
+    """What the rules need of a page. Broken markup never fails; what can't be read is left out. Texts around candidates are kept up to LONGEST_TEXT characters."""
     page = _Page()
     page.feed(html or "")
     page.close()
-    texts = [_squeezed(card["text"], 400) for card in page.cards]
-    repeated = len(texts) >= 3
-    found = []
-    for _, text, role, card in page.headings:
-        structural = "card_title" if card is not None else "heading"
-        found.append((text, role, structural, None, texts[card] if card is not None else "", repeated and card is not None))
-    for href, text, role, card in page.links:
-        found.append((text, role, "link", href, texts[card] if card is not None else "", repeated and card is not None))
-    candidates = [{"name": n, "role": r, "structural_role": s, "href": h, "surrounding": t, "repeated": rep, "position": k} for k, (n, r, s, h, t, rep) in enumerate(found) if n]
-    h1 = next((text for tag, text, *_ in page.headings if tag == "h1"), "")
-    links = [{"href": h, "text": t, "role": r} for h, t, r, _ in page.links]
-    return {"title": _squeezed(page.title, 500), "h1": h1, "headings": " ".join(t for _, t, *_ in page.headings)[:1500], "main_text": _squeezed(page.main or page.body, 12000), "n_scripts": page.scripts, "links": links, "candidates": candidates}
+    each = lambda wanted: [e for e in page.elements if wanted(e)]
+    texts = lambda found, joint=" ": joint.join(t for t in map(page.text, found) if t)
+    mains = [e for e in each(lambda e: e.tag == "main") if not (e.parent and "main" in {u.tag for u in _ancestors(e)})]
+    roots = mains or each(lambda e: e.tag == "body")[:1]
+    if not roots:  # a fragment: what stands outside a head is its body
+        whole = _Element("body", {}, None, -1, 0)
+        whole.last, whole.last_text = len(page.elements) - 1, len(page.texts)
+        roots = [whole]
+    headings = [e for root in mains for e in page.within(root, lambda e: e.tag in ("h1", "h2", "h3"))]
+    og = next((e.given.get("content", "") for e in page.elements if e.tag == "meta" and e.given.get("property") == "og:title"), "")
+    crumbs = each(lambda e: e.classes & {"breadcrumb", "breadcrumbs"} or (e.tag == "nav" and "breadcrumb" in e.given.get("aria-label", "").lower()))
+    links = [{"href": e.given["href"], "text": page.text(e), "role": e.role(), "absolute": _absolute(url, e.given["href"])} for e in each(lambda e: e.tag == "a" and e.given.get("href"))]
+    pictures = [e for e in each(lambda e: e.tag == "img") if {"main", "article"} & {u.tag for u in _ancestors(e)}]
+    image = _absolute(url, pictures[0].given.get("src")) if pictures and pictures[0].given.get("src") else None
+    candidates = [{**k, "position": at} for at, k in enumerate(k for k in _harvest(page, roots, url, bool(mains)) if k["name"])]
+    return {
+        "title": _squeezed(page.title, 500),
+        "h1": next((page.text(e) for e in page.elements if e.tag == "h1"), ""),
+        "og_title": og,
+        "breadcrumbs": texts(crumbs),
+        "headings": (texts(headings) or texts(each(lambda e: e.tag in ("h1", "h2"))))[:1500],
+        "main_text": " ".join(filter(None, map(page.text, roots)))[:LONGEST_TEXT],
+        "n_scripts": page.scripts,
+        "image": image if image and not NO_PICTURE.search(image) else None,
+        "links": links,
+        "candidates": candidates,
+    }
+
+
+def _ancestors(element: _Element) -> Iterator[_Element]:
+    while element := element.parent:
+        yield element
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        parsed = pd.DataFrame([parse_page(h) for h in batch["html"]], columns=["title", "h1", "headings", "main_text", "n_scripts", "links", "candidates"])
+        parsed = pd.DataFrame([parse_page(h, u) for h, u in zip(batch["html"], batch["url"], strict=True)], columns=["title", "h1", "og_title", "breadcrumbs", "headings", "main_text", "n_scripts", "image", "links", "candidates"])
         yield pd.concat([batch[["page_id", "url"]].reset_index(drop=True), parsed], axis=1)
 
 
@@ -142,7 +280,7 @@ KINDS = ((r"(?i)\bunit\s*\d", "UNIT"), (r"(?i)\bvillage\b", "VILLAGE"), (r"(?i)\
 
 def page_roles(signals: DataFrame) -> DataFrame:
     """Add roles: what title, headings and URL say a page is; procedural pages don't become directories by their menus."""
-    url, head = F.lower("url"), F.lower(F.concat_ws(" ", "title", "h1", "headings"))
+    url, head = F.lower("url"), F.lower(F.concat_ws(" ", "title", "h1", "og_title", "breadcrumbs", "headings"))
     says = lambda p, x=head: F.coalesce(x.rlike(p), F.lit(False))
     path_housing, head_housing = says(POSITIVE_URL, url), says(r"\b(housing|residence halls?|residential life|res(?:idence)? life|living on campus|housing options)\b")
     application, staff, faq = says("how to apply|housing application|apply for housing|assignment process"), says(r"\bstaff\b|directory of staff|contact housing"), says(r"\bfaqs?\b|frequently asked")
@@ -216,9 +354,9 @@ def embedded_names(html: Column, most: int = 80) -> Column:
 
 
 def detail_links(signals: DataFrame) -> DataFrame:
-    """The first floor-plan and virtual-tour link of each page."""
-    first = lambda p: F.try_element_at(F.filter("links", lambda a: F.concat(a["href"], a["text"]).rlike(p)), F.lit(1))["href"]
-    return signals.select("page_id", first(r"(?i)floor[- ]?plan").alias("floor_plan_url"), first(r"(?i)virtual\s*tour|matterport|youvisit").alias("virtual_tour_url"))
+    """The first floor-plan and virtual-tour link of each page, absolute, and its first picture in the main part or an article, if that is no logo."""
+    first = lambda p: F.try_element_at(F.filter("links", lambda a: F.concat(a["href"], a["text"]).rlike(p) & a["absolute"].isNotNull()), F.lit(1))["absolute"]
+    return signals.select("page_id", first(r"(?i)floor[- ]?plan").alias("floor_plan_url"), first(r"(?i)virtual\s*tour|matterport|youvisit").alias("virtual_tour_url"), "image")
 
 
 def housing_flags(kind: Column) -> dict[str, Column]:

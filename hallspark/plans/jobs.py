@@ -30,13 +30,13 @@ def match_job(profiles: DataFrame, halls: DataFrame, rooms: DataFrame, amenities
     return matching.match_results(matching.match(profiles, halls_with_evidence(halls, rooms, amenities), weights, toggle=toggle, limit=limit))
 
 
-def inventory_job(pages: DataFrame, sources: DataFrame, halls: DataFrame) -> DataFrame:
-    """Changed pages (college_id, page_id, url, final_url, hash, version, html) to candidates, each with the stored hall that it means, if any."""
+def inventory_job(pages: DataFrame, sources: DataFrame, halls: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Changed pages (college_id, page_id, url, final_url, hash, version, html) to candidates, each with the stored hall that it means, if any, and with the category and parent hint of its section."""
     fresh = maintenance.changed_pages(pages, sources)
     found = accept_once(extraction.extract(fresh)).where("accepted")
     owners = fresh.select("page_id", "college_id")
-    named = found.join(owners, "page_id").select(F.concat_ws("-", "page_id", "position").alias("candidate_id"), "college_id", c("name").alias("candidate_name"), "kind", "score_confidence")
-    resolved = resolution.resolve_entities(named, halls)
+    named = found.join(owners, "page_id").select(F.concat_ws("-", "page_id", "position").alias("candidate_id"), "college_id", c("name").alias("candidate_name"), "kind", "score_confidence", "category", "parent_hint", "image")
+    resolved = resolution.resolve_entities(named, halls, aliases)
     return named.join(resolved.select("candidate_id", "hall_id"), "candidate_id")
 
 

@@ -156,6 +156,40 @@ def test_page(spark):
     assert "housing_directory" in extraction.page_roles(extraction.page_signals(pages)).where("page_id = 1").first().roles
 
 
+STRUCTURES = """<html><head><title>T</title><meta property="og:title" content="On-campus housing"></head><body>
+<nav aria-label="Breadcrumb trail"><a href="/">Home</a> <a href="/housing">Housing</a></nav><header><h2>Site Hall</h2></header>
+<main><img src="/img/front.jpg"><section><h2>Oak Village</h2>
+<div class="views-row"><a href="oak-house">Oak House</a><img src="oak.png"> Suites.</div><div class="views-row"><a href="../elm/">Elm House</a></div><div class="views-row"><span class="title">Ash Lodge</span></div></section>
+<table><thead><tr><td>Name</td></tr></thead><tr><td>Birch Hall<td>Double<tr><td>Cedar Hall</td></tr></table>
+<ul><li><a href="/units/unit-3"></a><li>second<li><h4>Third Tower</h4></ul>
+<select><option>Please select<option>Dogwood Hall</select><a href="/plans/Floor-Plan.pdf">Plans</a><a href="http://[bad">Bad hall</a></main>
+<footer><div class="card"><h3>Footer Hall</h3></div></footer><script>"<h1>Script Hall</h1>"</script></body></html>"""
+
+
+def test_page_structures():
+    """Every structural role of candidates, with what a section hands down to its cards."""
+    page = extraction.parse_page(STRUCTURES, "https://h.example.edu/living/here/")
+    got = {(k["name"], k["structural_role"]): k for k in page["candidates"]}
+    card = got["Oak House", "card_title"]
+    assert (card["category"], card["parent_hint"], card["href"], card["image"], card["repeated"], card["selector"]) == ("Oak Village", "Oak Village", "https://h.example.edu/living/here/oak-house", "https://h.example.edu/living/here/oak.png", True, ".views-row")
+    assert got["Elm House", "card_title"]["href"] == "https://h.example.edu/living/elm/" and got["Ash Lodge", "card_title"]["href"] is None
+    rows = [k for k in page["candidates"] if k["structural_role"] == "table_cell"]
+    assert [(k["name"], k["surrounding"], k["repeated"], k["category"]) for k in rows] == [("Birch Hall", "Birch HallDouble", False, None), ("Cedar Hall", "Cedar Hall", False, None)]
+    assert got["Unit 3", "link"]["href"] == "https://h.example.edu/units/unit-3" and got["Third Tower", "heading"]["role"] == "main"
+    assert got["Oak Village", "heading"]["repeated"] is False and got["Dogwood Hall", "select_option"]["surrounding"].startswith("housing select")
+    names = {k["name"] for k in page["candidates"]}
+    assert not names & {"Site Hall", "Footer Hall", "Script Hall", "Please select", "Home", "Name", "Bad hall"}
+    assert (page["og_title"], page["breadcrumbs"], page["image"]) == ("On-campus housing", "Home Housing", "https://h.example.edu/img/front.jpg")
+    assert [k["position"] for k in page["candidates"]] == list(range(len(page["candidates"])))
+    assert extraction.parse_page("<p>a<p>b", "")["main_text"] == "ab" and extraction.parse_page(None)["candidates"] == []
+
+
+def test_detail_links(spark):
+    pages = spark.createDataFrame([(1, "https://h.example.edu/living/here/", STRUCTURES), (2, None, "<main><img src=logo.png></main>")], "page_id long, url string, html string")
+    got = {r.page_id: (r.floor_plan_url, r.virtual_tour_url, r.image) for r in extraction.detail_links(extraction.page_signals(pages)).collect()}
+    assert got == {1: ("https://h.example.edu/plans/Floor-Plan.pdf", None, "https://h.example.edu/img/front.jpg"), 2: (None, None, None)}
+
+
 def test_accept_once(spark):
     rows = spark.createDataFrame([(1, 0, "Oak Hall", False), (1, 1, "Oak Hall", True), (1, 2, "OAK HALL", True), (1, 3, "Elm", True)], "page_id long, position int, name string, accepted boolean")
     assert {(r.position) for r in windows.accept_once(rows).collect()} == {0, 1, 3}
