@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,11 +87,38 @@ def backfill_unknown(halls: DataFrame, provenance: DataFrame, facts: dict[str, s
     return joined.drop(*[f"__{column}" for column in facts])
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder of the session's spark.checkpoint.dir; on a local master without one, as in tests, in a new folder."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        given = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(given or "file://" + tempfile.mkdtemp(prefix="hallspark-"))
+    return df.checkpoint()
+
+
+def merge_closure(merge_map: DataFrame) -> DataFrame:
+    """Each from_id with the end of its chain of merges, by pointer jumping: every round halves what is left of a chain. Of several targets the least counts; merges that lead back into themselves are left out."""
+    current = _cut(merge_map.where("from_id <> to_id").groupBy("from_id").agg(F.min("to_id").alias("to_id")))
+    for _ in range(current.count().bit_length() + 1):
+        onward = current.select(c("from_id").alias("to_id"), c("to_id").alias("onward"))
+        jumped = current.join(onward, "to_id", "left")
+        if not jumped.where("onward IS NOT NULL").limit(1).count():
+            return current
+        current = _cut(jumped.select("from_id", F.coalesce("onward", "to_id").alias("to_id")))
+    return current.join(current.select(c("from_id").alias("to_id")), "to_id", "left_anti").select("from_id", "to_id")
+
+
 def remap(rows: DataFrame, merge_map: DataFrame, column: str = "dorm_id", unique: list[str] | None = None) -> DataFrame:
-    """Rows moved to the hall that theirs merges into; of rows that then have equal ``unique`` columns, one stays."""
+    """Rows moved to the hall that theirs merges into; of rows that then have equal ``unique`` columns the target's own stays, else that of the least hall."""
     m = merge_map.select(c("from_id").alias("__from"), c("to_id").alias("__to"))
-    moved = rows.join(m, c(column) == c("__from"), "left").withColumn(column, F.coalesce("__to", column)).drop("__from", "__to")
-    return moved.dropDuplicates(unique) if unique else moved
+    moved = rows.join(m, c(column) == c("__from"), "left").withColumn(column, F.coalesce("__to", column))
+    if unique:
+        nth = F.row_number().over(Window.partitionBy(*unique).orderBy(c("__from").asc_nulls_first()))
+        moved = moved.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+    return moved.drop("__from", "__to")
 
 
 def merge_counters(rows: DataFrame, merge_map: DataFrame, column: str = "dorm_id") -> DataFrame:
@@ -96,12 +126,26 @@ def merge_counters(rows: DataFrame, merge_map: DataFrame, column: str = "dorm_id
     return rows.join(m, column).groupBy("to_id").agg(F.count("*").alias("n_migrated"))
 
 
-def merge_halls(merge_map: DataFrame, halls: DataFrame, reviews: DataFrame, links: DataFrame, provenance: DataFrame) -> dict[str, DataFrame]:
-    """All tables after duplicates moved into their targets: children, reviews, links (unique) and provenance follow, the duplicates are marked."""
-    gone = merge_map.select(c("from_id").alias("id"), F.lit(True).alias("__gone"))
-    marked = remap(halls, merge_map, "parent_id").join(gone, "id", "left")
-    marked = marked.withColumns({"status": F.when(c("__gone"), "DUPLICATE").otherwise(c("status")), "is_active": c("is_active") & c("__gone").isNull()}).drop("__gone")
-    return {"halls": marked, "reviews": remap(reviews, merge_map), "links": remap(links, merge_map, unique=["dorm_id", "source_id"]), "provenance": remap(provenance, merge_map)}
+def merged_counters(merge_map: DataFrame, **tables: DataFrame) -> DataFrame:
+    """Rows of each table that move, by target: table, to_id, n_migrated, in one pass over the stacked tables."""
+    stacked = [rows.select(F.lit(name).alias("table"), "dorm_id") for name, rows in tables.items()]
+    moved = reduce(DataFrame.unionByName, stacked).join(merge_map.select(c("from_id").alias("dorm_id"), "to_id"), "dorm_id")
+    return moved.groupBy("table", "to_id").agg(F.count("*").alias("n_migrated"))
+
+
+def merge_halls(merge_map: DataFrame, halls: DataFrame, reviews: DataFrame, links: DataFrame, provenance: DataFrame, favorites: DataFrame | None = None, corrections: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All tables after duplicates moved into the ends of their chains (:func:`merge_closure`): children, reviews, links and favorites (both unique: a hall's own row stays), provenance and corrections follow; the duplicates are marked with what they duplicate. A hall whose parent merges into it loses that parent."""
+    ends = merge_closure(merge_map)
+    gone = ends.select(c("from_id").alias("id"), c("to_id").alias("duplicate_of"))
+    marked = remap(halls.drop("duplicate_of"), ends, "parent_id").join(gone, "id", "left")
+    duplicate = c("duplicate_of").isNotNull()
+    marked = marked.withColumns({"status": F.when(duplicate, "DUPLICATE").otherwise(c("status")), "is_active": c("is_active") & ~duplicate, "parent_id": F.when(c("parent_id") != c("id"), c("parent_id"))})
+    out = {"halls": marked, "reviews": remap(reviews, ends), "links": remap(links, ends, unique=["dorm_id", "source_id"]), "provenance": remap(provenance, ends)}
+    if favorites is not None:
+        out["favorites"] = remap(favorites, ends, unique=["user_id", "dorm_id"])
+    if corrections is not None:
+        out["corrections"] = remap(corrections, ends)
+    return out
 
 
 def quarantine(halls: DataFrame, candidates: DataFrame, deactivate: bool = True) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import assess_name, fuzzy_name, name_form, same_entity, same_form, stripped_name
+from ..functions.names import assess_name, fuzzy_name, name_form, same_form, stripped_name
 from ..functions.text import slugify
 
 c = F.col
@@ -190,14 +190,14 @@ def hierarchy_counters(audit: DataFrame) -> DataFrame:
 def suggest_hierarchy(halls: DataFrame) -> DataFrame:
     """A parent for halls without one: named by a phrase, by the category label, or by the hall's own name. Parents are few, so they are selected first; per child the rules count in order, then the parent's id."""
     low = F.lower
-    parents = halls.where(c("kind").isin(*PARENT_KINDS) | c("name").rlike(r"(?i)village|complex|unit\s*\d|college|community")).select("college_id", c("id").alias("parent"), c("name").alias("parent_name"), c("kind").alias("parent_kind"))
+    parents = halls.where(c("kind").isin(*PARENT_KINDS) | c("name").rlike(r"(?i)village|complex|unit\s*\d|college|community")).select("college_id", c("id").alias("parent"), c("name").alias("parent_name"), c("kind").alias("parent_kind"), name_form(c("name")).alias("parent_form"))
     said = F.concat(F.coalesce("description", F.lit("")), F.lit(" "), F.coalesce("category_label", F.lit("")))
     hint = F.trim(F.regexp_extract(said, r"(?i)\b(?:part of|located in|within|buildings? (?:in|of)|houses? (?:in|of))\s+([A-Z][A-Za-z0-9 .'&\-]{2,60})", 1))
-    children = halls.where("parent_id IS NULL").select("college_id", "id", "name", "kind", "category_label", said.alias("said"), hint.alias("hint"))
+    children = halls.where("parent_id IS NULL").select("college_id", "id", "name", "kind", "category_label", said.alias("said"), hint.alias("hint"), name_form(hint).alias("hint_form"), name_form(F.trim("category_label")).alias("label_form"))
     pairs = children.join(parents, "college_id").where("id <> parent")
     pn, label = low("parent_name"), F.trim("category_label")
-    phrase = (c("hint") != "") & (same_entity(c("parent_name"), c("hint")) | pn.contains(low("hint")) | low("hint").contains(pn))
-    labelled = (label != "") & c("kind").isin(*CHILD_KINDS) & (same_entity(c("parent_name"), label) | (pn == low(label)) | low(label).contains(pn))
+    phrase = (c("hint") != "") & (same_form(c("parent_form"), c("hint_form")) | pn.contains(low("hint")) | low("hint").contains(pn))
+    labelled = (label != "") & c("kind").isin(*CHILD_KINDS) & (same_form(c("parent_form"), c("label_form")) | (pn == low(label)) | low(label).contains(pn))
     nested = (low("name") != pn) & low("name").contains(pn) & (F.length("name") > F.length("parent_name") + 2) & c("parent_kind").isin(*PARENT_KINDS)
     number = F.regexp_extract("parent_name", r"(?i)unit\s*(\d+)", 1)
     unit = (low("name") != pn) & (number != "") & F.array_contains(F.regexp_extract_all(low("said"), F.lit(r"\bunit\s*(\d+)\b"), F.lit(1)), number)
@@ -216,6 +216,26 @@ def apply_hierarchy(halls: DataFrame, suggestions: DataFrame, medium: bool = Fal
     return wanted.join(back.unionByName(existing), ["id", "parent_id"], "left_anti")
 
 
+ORGANIZATIONAL = ("COMPLEX", "VILLAGE", "RESIDENTIAL_COLLEGE")
+
+
+def hierarchy_change_set(halls: DataFrame, suggestions: DataFrame, medium: bool = False) -> dict[str, DataFrame]:
+    """What the links of :func:`apply_hierarchy` change, by table: links (id, parent_id); demoted, parents that only organize others and so are neither assigned nor ranked (id, assignable, granular); and a provenance row for each link (dorm_id, field, value, confidence, verified)."""
+    links = apply_hierarchy(halls, suggestions, medium)
+    organizers = halls.where(c("kind").isin(*ORGANIZATIONAL)).select("id")
+    demoted = organizers.join(links.select(c("parent_id").alias("id")), "id", "left_semi").select("id", F.lit(False).alias("assignable"), F.lit(False).alias("granular"))
+    known = links.join(suggestions.select("id", "parent_id", "confidence"), ["id", "parent_id"])
+    provenance = known.select(c("id").alias("dorm_id"), F.lit("parent_id").alias("field"), c("parent_id").cast("string").alias("value"), "confidence", F.lit(False).alias("verified"))
+    return {"links": links, "demoted": demoted, "provenance": provenance}
+
+
+def with_hierarchy(halls: DataFrame, changes: dict[str, DataFrame]) -> DataFrame:
+    """Halls with the links and demotions of a change set."""
+    linked = halls.join(changes["links"].select("id", c("parent_id").alias("__parent")), "id", "left").join(changes["demoted"].select("id", F.lit(True).alias("__demoted")), "id", "left")
+    kept = lambda k: F.when(c("__demoted"), F.lit(False)).otherwise(c(k))
+    return linked.withColumns({"parent_id": F.coalesce("__parent", "parent_id"), "assignable": kept("assignable"), "granular": kept("granular")}).drop("__parent", "__demoted")
+
+
 class _Latest:
     """The latest entries (ts, value, source) of one field that answer, for every value and source, which is the latest with another value and another source: the last entry, the last with another value than it, the last with neither its value nor the second one's source, and the same with the sources' part."""
 

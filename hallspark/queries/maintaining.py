@@ -43,12 +43,51 @@ def merge_counters(v):
     return t.merge_counters(v("v_review"), merges(v))
 
 
-@query(f"SELECT d.id, coalesce(p.to_id, d.parent_id) AS parent_id, CASE WHEN g.from_id IS NULL THEN d.status ELSE 'DUPLICATE' END AS status, d.is_active AND g.from_id IS NULL AS is_active FROM {{v_dorm}} d LEFT JOIN ({MAP}) p ON d.parent_id = p.from_id LEFT JOIN ({MAP}) g ON d.id = g.from_id")
+@query(f"SELECT d.id, CASE WHEN coalesce(p.to_id, d.parent_id) <> d.id THEN coalesce(p.to_id, d.parent_id) END AS parent_id, CASE WHEN g.from_id IS NULL THEN d.status ELSE 'DUPLICATE' END AS status, d.is_active AND g.from_id IS NULL AS is_active FROM {{v_dorm}} d LEFT JOIN ({MAP}) p ON d.parent_id = p.from_id LEFT JOIN ({MAP}) g ON d.id = g.from_id")
 def merged_halls(v):
     tables = t.merge_halls(merges(v), v("v_dorm"), v("v_review"), v("v_dorm_source"), v("v_provenance"))
     return tables["halls"].select("id", "parent_id", "status", "is_active")
 
 
+#: Chains of up to three merges: three of four halls merge into the one before them of their institution.
+CHAIN = "SELECT id AS from_id, id - ns AS to_id, id - CAST(floor(id / ns) AS BIGINT) % 4 * ns AS ends_at FROM {v_dorm}, (SELECT count(*) AS ns FROM {supplier}) n WHERE CAST(floor(id / ns) AS BIGINT) % 4 > 0 AND id - CAST(floor(id / ns) AS BIGINT) % 4 * ns > 0"
+ENDS = f"WITH RECURSIVE chain AS ({CHAIN}), walk AS (SELECT from_id, to_id FROM chain UNION ALL SELECT w.from_id, x.to_id FROM walk w JOIN chain x ON x.from_id = w.to_id) SELECT from_id, min(to_id) AS to_id FROM walk GROUP BY from_id"
+FAVORITES = "SELECT DISTINCT user_id, dorm_id, concat('note ', CAST(dorm_id AS VARCHAR(9))) AS notes FROM {v_review}"
+
+
+def chains(v):
+    ns = v("supplier").agg(F.count("*").alias("ns"))
+    step = F.floor(c("id") / c("ns")) % 4
+    rows = v("v_dorm").select("id").crossJoin(F.broadcast(ns)).where((step > 0) & (c("id") - step * c("ns") > 0))
+    return rows.select(c("id").alias("from_id"), (c("id") - c("ns")).alias("to_id"))
+
+
+def chained(v):
+    favorites = v("v_review").select("user_id", "dorm_id", F.concat(F.lit("note "), c("dorm_id").cast("string")).alias("notes")).distinct()
+    corrections = v("v_review").where("flag = 'R'").select("dorm_id", "user_id", "n")
+    return t.merge_halls(chains(v), v("v_dorm"), v("v_review"), v("v_dorm_source"), v("v_provenance"), favorites, corrections)
+
+
+@query(f"SELECT d.id, CASE WHEN coalesce(p.to_id, d.parent_id) <> d.id THEN coalesce(p.to_id, d.parent_id) END AS parent_id, CASE WHEN g.from_id IS NULL THEN d.status ELSE 'DUPLICATE' END AS status, d.is_active AND g.from_id IS NULL AS is_active, g.to_id AS duplicate_of FROM {{v_dorm}} d LEFT JOIN ({ENDS}) p ON d.parent_id = p.from_id LEFT JOIN ({ENDS}) g ON d.id = g.from_id")
+def merged_chains(v):
+    return chained(v)["halls"].select("id", "parent_id", "status", "is_active", "duplicate_of")
+
+
+@query(f"SELECT user_id, root AS dorm_id, notes FROM (SELECT user_id, coalesce(to_id, dorm_id) AS root, notes, row_number() OVER (PARTITION BY user_id, coalesce(to_id, dorm_id) ORDER BY from_id IS NOT NULL, from_id) AS rn FROM ({FAVORITES}) f LEFT JOIN ({ENDS}) m ON dorm_id = from_id) z WHERE rn = 1")
+def merged_chain_favorites(v):
+    return chained(v)["favorites"]
+
+
+@query(f"SELECT coalesce(to_id, dorm_id) AS dorm_id, count(*) AS n, sum(CAST(n AS BIGINT))::BIGINT AS lines FROM {{v_review}} LEFT JOIN ({ENDS}) m ON dorm_id = from_id WHERE flag = 'R' GROUP BY 1")
+def merged_chain_corrections(v):
+    return chained(v)["corrections"].groupBy("dorm_id").agg(F.count("*").alias("n"), F.sum("n").cast("long").alias("lines"))
+
+
+@query(f"SELECT 'reviews' AS \"table\", to_id, count(*) AS n_migrated FROM {{v_review}} JOIN ({ENDS}) m ON dorm_id = from_id GROUP BY to_id UNION ALL SELECT 'links', to_id, count(*) FROM {{v_dorm_source}} JOIN ({ENDS}) m ON dorm_id = from_id GROUP BY to_id UNION ALL SELECT 'provenance', to_id, count(*) FROM {{v_provenance}} JOIN ({ENDS}) m ON dorm_id = from_id GROUP BY to_id")
+def merged_chain_counters(v):
+    return t.merged_counters(t.merge_closure(chains(v)), reviews=v("v_review"), links=v("v_dorm_source"), provenance=v("v_provenance"))
+
+
 @query("SELECT dorm_id, source_id FROM {v_dorm_source} WHERE source_id % 3 = 0 EXCEPT SELECT dorm_id, source_id FROM {v_dorm_source} WHERE dorm_id % 2 = 0")
 def legacy_link_reconcile(v):
     links = v("v_dorm_source")

@@ -134,16 +134,44 @@ def hierarchy_counters(v):
     return o.hierarchy_counters(o.hierarchy_audit(v("v_dorm")))
 
 
-@query()
+SAID = "concat(coalesce(description, ''), ' ', coalesce(category_label, ''))"
+KINDS = ", ".join(f"'{k}'" for k in o.PARENT_KINDS)
+SUGGESTED = rf"""SELECT id, min_by(parent, row(rule, parent)) AS parent_id, min(rule) AS rule, min_by(confidence, row(rule, parent)) AS confidence FROM (
+    SELECT id, parent, CASE WHEN phrase THEN 0 WHEN labelled THEN 1 WHEN nested OR unit THEN 2 END AS rule, CASE WHEN phrase THEN 0.85e0 WHEN labelled THEN 0.75e0 WHEN nested THEN CASE WHEN parent_kind = 'UNIT' THEN 0.8e0 ELSE 0.7e0 END ELSE 0.78e0 END AS confidence FROM (
+        SELECT x.id, p.id AS parent, p.kind AS parent_kind, hint <> '' AND ({same("p.name", "hint")} OR contains(lower(p.name), lower(hint)) OR contains(lower(hint), lower(p.name))) AS phrase,
+            coalesce(label <> '' AND x.kind IN ('BUILDING', 'HOUSE', 'RESIDENCE', 'OTHER', 'UNKNOWN') AND ({same("p.name", "label")} OR lower(p.name) = lower(label) OR contains(lower(label), lower(p.name))), false) AS labelled,
+            lower(x.name) <> lower(p.name) AND contains(lower(x.name), lower(p.name)) AND length(x.name) > length(p.name) + 2 AND p.kind IN ({KINDS}) AS nested,
+            lower(x.name) <> lower(p.name) AND regexp_extract(p.name, '(?i)unit\s*([0-9]+)', 1) <> '' AND list_contains(regexp_extract_all(lower(said), '\bunit\s*([0-9]+)\b', 1), regexp_extract(p.name, '(?i)unit\s*([0-9]+)', 1)) AS unit
+        FROM (SELECT *, {SAID} AS said, trim(category_label) AS label, trim(regexp_extract({SAID}, '(?i)\b(?:part of|located in|within|buildings? (?:in|of)|houses? (?:in|of))\s+([A-Z][A-Za-z0-9 .''&\-]@<2,60>@)', 1)) AS hint FROM {{v_dorm}} WHERE parent_id IS NULL) x
+        JOIN {{v_dorm}} p ON p.college_id = x.college_id AND p.id <> x.id AND (p.kind IN ({KINDS}) OR regexp_matches(p.name, '(?i)village|complex|unit\s*[0-9]|college|community'))) r) s WHERE rule IS NOT NULL GROUP BY id"""
+CHANGED = f"SELECT s.id, s.parent_id, s.confidence FROM ({SUGGESTED}) s WHERE s.id <> s.parent_id AND s.confidence >= 0.7e0 AND NOT EXISTS (SELECT 1 FROM ({SUGGESTED}) b WHERE b.id = s.parent_id AND b.parent_id = s.id AND b.confidence >= 0.7e0) AND NOT EXISTS (SELECT 1 FROM {{v_dorm}} h WHERE h.id = s.parent_id AND h.parent_id = s.id)"
+DEMOTED = f"SELECT d.id FROM {{v_dorm}} d WHERE d.kind IN ('COMPLEX', 'VILLAGE', 'RESIDENTIAL_COLLEGE') AND d.id IN (SELECT parent_id FROM ({CHANGED}) c)"
+
+
+@query(f"SELECT *, confidence IN (0.85e0, 0.78e0) OR confidence >= 0.8e0 AS auto_link FROM ({SUGGESTED}) s")
 def hierarchy_suggestions(v):
     return o.suggest_hierarchy(v("v_dorm"))
 
 
-@query()
+@query(f"SELECT id, parent_id FROM ({CHANGED}) c")
 def hierarchy_changes(v):
     return o.apply_hierarchy(v("v_dorm"), o.suggest_hierarchy(v("v_dorm")), medium=True)
 
 
+def hierarchy(v):
+    return o.hierarchy_change_set(v("v_dorm"), o.suggest_hierarchy(v("v_dorm")), medium=True)
+
+
+@query(f"SELECT id AS dorm_id, 'parent_id' AS field, CAST(parent_id AS VARCHAR) AS value, confidence, false AS verified FROM ({CHANGED}) c")
+def hierarchy_provenance(v):
+    return hierarchy(v)["provenance"]
+
+
+@query(f"SELECT d.id, coalesce(c.parent_id, d.parent_id) AS parent_id, CASE WHEN m.id IS NULL THEN d.assignable ELSE false END AS assignable, CASE WHEN m.id IS NULL THEN d.granular ELSE false END AS granular FROM {{v_dorm}} d LEFT JOIN ({CHANGED}) c ON c.id = d.id LEFT JOIN ({DEMOTED}) m ON m.id = d.id")
+def hierarchy_applied(v):
+    return o.with_hierarchy(v("v_dorm"), hierarchy(v)).select("id", "parent_id", "assignable", "granular")
+
+
 ENTRIES = "SELECT dorm_id, field, value, source_id, min(ts) AS first_ts FROM {v_provenance} GROUP BY dorm_id, field, value, source_id"
 
 

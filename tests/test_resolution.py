@@ -4,7 +4,7 @@ import random
 
 import pytest
 from hallspark.functions.names import name_form, same_form
-from hallspark.operators import resolution
+from hallspark.operators import maintenance, resolution
 from pyspark.sql import functions as F
 
 WORDS = ["north", "oak", "oak", "hall", "residence", "tower", "2", "two", "a", "ab", "abc", "quad", "élan", "village", "unit", "east"]
@@ -77,3 +77,26 @@ def test_parents(spark):
     candidates = spark.createDataFrame(rows, "candidate_id long, college_id long, candidate_name string, parent_hint string, hall_id long")
     got = {(r.hall_id, r.created_id, r.candidate_id, r.parent_id, r.parent_created_id) for r in resolution.resolve_parents(candidates, halls).collect()}
     assert got == {(2, None, 1, 1, None), (None, 4, 4, None, 5)}
+
+
+def test_merge_chains(spark):
+    """A chain of three, two targets of one, a merge that leads back, a hall merged into its own child."""
+    merge_map = spark.createDataFrame([(4, 3), (3, 2), (2, 1), (5, 7), (5, 6), (8, 9), (9, 8), (10, 10)], "from_id long, to_id long")
+    assert {tuple(r) for r in maintenance.merge_closure(merge_map).collect()} == {(4, 1), (3, 1), (2, 1), (5, 6)}
+    halls = spark.createDataFrame([(1, 4, "ACTIVE", True), (2, None, "ACTIVE", True), (3, None, "ACTIVE", True), (4, None, "ACTIVE", True), (11, 3, "REVIEW", True)], "id long, parent_id long, status string, is_active boolean")
+    rows = spark.createDataFrame([(4, 1, "four"), (3, 1, "three"), (1, 1, "own"), (3, 2, "three"), (4, 2, "four"), (11, 2, "else")], "dorm_id long, user_id long, notes string")
+    links = rows.withColumnRenamed("user_id", "source_id")
+    out = maintenance.merge_halls(merge_map, halls, rows, links, rows, favorites=rows, corrections=rows)
+    assert {(r.id, r.parent_id, r.status, r.is_active, r.duplicate_of) for r in out["halls"].collect()} == {(1, None, "ACTIVE", True, None), (2, None, "DUPLICATE", False, 1), (3, None, "DUPLICATE", False, 1), (4, None, "DUPLICATE", False, 1), (11, 1, "REVIEW", True, None)}
+    assert {(r.dorm_id, r.user_id, r.notes) for r in out["favorites"].collect()} == {(1, 1, "own"), (1, 2, "three"), (11, 2, "else")}
+    assert out["corrections"].where("dorm_id = 1").count() == 5 and out["links"].count() == 3
+
+
+def test_hierarchy_change_set(spark):
+    schema = "id long, college_id long, name string, kind string, parent_id long, category_label string, description string, assignable boolean, granular boolean"
+    halls = spark.createDataFrame([(1, 1, "Oak Village", "VILLAGE", None, None, None, True, True), (2, 1, "Elm House", "HOUSE", None, "Oak Village", None, True, True), (3, 1, "Unit 1", "UNIT", None, None, None, True, True), (4, 1, "Christian Hall", "BUILDING", None, None, "Christian Hall is part of Unit 1 residence community", True, True)], schema)
+    changes = resolution.hierarchy_change_set(halls, resolution.suggest_hierarchy(halls), medium=True)
+    assert {tuple(r) for r in changes["links"].collect()} == {(2, 1), (4, 3)} and [r.id for r in changes["demoted"].collect()] == [1]
+    assert {(r.dorm_id, r.value, r.confidence, r.verified) for r in changes["provenance"].collect()} == {(2, "1", 0.75, False), (4, "3", 0.85, False)}
+    assert {(r.id, r.parent_id, r.assignable) for r in resolution.with_hierarchy(halls, changes).collect()} == {(1, None, False), (2, 1, True), (3, None, True), (4, 3, True)}
+    assert {r.id for r in resolution.hierarchy_change_set(halls, resolution.suggest_hierarchy(halls))["links"].collect()} == {4}
