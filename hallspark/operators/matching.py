@@ -152,14 +152,18 @@ OUTCOMES = ("eligible", "unverified", "excluded")
 def match(profiles: DataFrame, halls: DataFrame, weights: dict[str, Column], *, toggle: Column | None = None, limit: int | None = None, options: Options | None = None, outcomes: tuple[str, ...] = OUTCOMES) -> DataFrame:
     """Every profile and hall of its institution with one of the ``outcomes``: eligible halls ranked, up to ``limit`` a profile, unverified ones scored, excluded ones with reasons and rank 0.
 
-    Eligible rows are ranked apart, so that with a limit each task keeps that many a profile before the shuffle."""
+    With a limit eligible rows are ranked apart, so that each task keeps that many a profile before the shuffle; without
+    one all outcomes are ranked in one window, over one fan-out."""
     scored = with_dimensions(filter_matchable(halls), options, [k for k in weights])
     judged = match_score(classify_constraints(match_pairs(profiles, scored)), weights, toggle)
+    unranked = F.when(c("outcome") == "excluded", 0).otherwise(c("rank"))
+    if limit is None:
+        return rank_matches(judged.where(c("outcome").isin(*outcomes)), ("profile_id", "outcome")).withColumn("rank", unranked)
     eligible = rank_matches(judged.where(c("outcome") == "eligible"), "profile_id", limit)
     rest = [k for k in outcomes if k != "eligible"]
     if not rest:
         return eligible
-    others = rank_matches(judged.where(c("outcome").isin(rest)), ("profile_id", "outcome")).withColumn("rank", F.when(c("outcome") == "excluded", 0).otherwise(c("rank")))
+    others = rank_matches(judged.where(c("outcome").isin(rest)), ("profile_id", "outcome")).withColumn("rank", unranked)
     return eligible.unionByName(others) if "eligible" in outcomes else others
 
 
