@@ -195,3 +195,38 @@ def decide_coverage(counters: DataFrame) -> DataFrame:
 
 def crawl_counters(logs: DataFrame) -> DataFrame:
     return logs.groupBy("job_id").agg(F.count("*").alias("n"), count_where("level = 'error'").alias("n_errors"), F.countDistinct("level").alias("n_levels"), F.max("ts").alias("last_ts"))
+
+
+def crawl_run_counters(pages: DataFrame, candidates: DataFrame, frontier: DataFrame, max_pages: int = 18, unresolved_from: int = 40) -> DataFrame:
+    """What a crawl came to, by institution and, with a null college_id and ``is_total``, for the whole run.
+
+    Three grains are stacked and counted in one pass with a grouping set for each level: pages (college_id, status,
+    unchanged, roles, housing), candidates (college_id, accepted, entity_id, created) and links left to visit
+    (college_id, priority). A page answered 401 or 403 is restricted, one answered 200 to 299 fetched; only fetched pages
+    have roles. Accepted candidates without an entity, or with one seen before, are duplicates. An institution is
+    blocked if nothing was fetched, something restricted and no entity found; it hit its budget if ``max_pages`` were
+    visited and links are left. Rows without an institution count in the total only."""
+    none, no = F.lit(None).cast("long"), F.lit(False)
+    fetched = c("status").between(200, 299)
+    has = lambda role: fetched & F.array_contains("roles", role)
+    flags = ("visited", "fetched", "restricted", "unchanged", "directory", "detail", "housing", "accepted", "rejected", "created", "updated", "left", "unresolved")
+
+    def stacked(rows: DataFrame, entity: Column, **own: Column) -> DataFrame:
+        return rows.select("college_id", entity.alias("entity_id"), *[F.coalesce(own.get(k, no), no).alias(k) for k in flags])
+
+    known = c("accepted") & c("entity_id").isNotNull()
+    rows = stacked(pages, none, visited=F.lit(True), fetched=fetched, restricted=c("status").isin(401, 403), unchanged=fetched & c("unchanged"), directory=has("housing_directory"), detail=has("housing_detail"), housing=fetched & c("housing"))
+    rows = rows.unionByName(stacked(candidates, F.when(c("accepted"), c("entity_id").cast("long")), accepted=c("accepted"), rejected=~c("accepted"), created=known & c("created"), updated=known & ~c("created")))
+    rows = rows.unionByName(stacked(frontier, none, left=F.lit(True), unresolved=c("priority") >= unresolved_from))
+    counted = rows.rollup("college_id").agg((F.grouping("college_id") == 1).alias("is_total"), F.countDistinct("entity_id").alias("n_unique"), *[F.count_if(k).alias(f"n_{k}") for k in flags])
+    counted = counted.where("is_total OR college_id IS NOT NULL")
+    return counted.withColumns({"n_duplicates": c("n_accepted") - c("n_unique"), "blocked": (c("n_fetched") == 0) & (c("n_restricted") > 0) & (c("n_unique") == 0), "hit_budget": (c("n_visited") >= max_pages) & (c("n_left") > 0)})
+
+
+def decide_run_coverage(colleges: DataFrame, counters: DataFrame) -> DataFrame:
+    """:func:`decide_coverage` fed by :func:`crawl_run_counters`, for every institution (id, has_housing, housing_url, published: halls that it says it has, or null)."""
+    own = colleges.select(c("id").alias("college_id"), "has_housing", "published", F.coalesce(c("housing_url") != "", F.lit(False)).alias("known_site"))
+    joined = own.join(counters.where("NOT is_total"), "college_id", "left")
+    n = lambda k: F.coalesce(f"n_{k}", F.lit(0))
+    fed = joined.select("college_id", "has_housing", "published", F.coalesce("blocked", F.lit(False)).alias("blocked"), F.coalesce("hit_budget", F.lit(False)).alias("hit_budget"), n("unique").alias("n_unique"), n("created").alias("n_created"), n("updated").alias("n_updated"), (c("known_site") | (n("housing") > 0)).alias("site_found"), n("directory").alias("directory_sources"), n("directory").alias("directory_pages"), (n("directory") > 0).alias("directory_parsed"), n("unresolved").alias("unresolved_housing_links"), n("unresolved").alias("unresolved_directory_links"))
+    return decide_coverage(fed)

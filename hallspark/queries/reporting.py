@@ -140,3 +140,47 @@ def coverage_decision(v):
 @query("SELECT job_id, count(*) AS n, count(*) FILTER (WHERE level = 'error') AS n_errors, count(DISTINCT level) AS n_levels, max(ts) AS last_ts FROM {v_log} GROUP BY job_id")
 def crawl_counters(v):
     return r.crawl_counters(v("v_log"))
+
+
+#: A crawl of stored pages: their roles and ages give status and change; the halls that a page names are its candidates; pages not approved are left to visit.
+CRAWLED = "SELECT college_id, CASE age_days % 10 WHEN 0 THEN 403 WHEN 1 THEN 500 ELSE 200 END AS status, age_days % 4 = 0 AS unchanged, page_role = 'housing_directory' AS directory, page_role = 'detail' AS detail, page_role IS NOT NULL AS housing FROM {v_source}"
+NAMED = "SELECT d.college_id, d.is_active AS accepted, CASE WHEN d.status <> 'REVIEW' THEN d.id END AS entity_id, d.is_verified AS created FROM {v_dorm_source} s JOIN {v_dorm} d ON d.id = s.dorm_id"
+LEFT = "SELECT college_id, 30 + age_days % 30 AS priority FROM {v_source} WHERE NOT is_approved"
+
+
+def run_counts(key: str) -> str:
+    """The counters of each grain apart, joined by ``key``."""
+    w = lambda k: f"CAST(count(*) FILTER (WHERE {k}) AS BIGINT)"
+    f = "status BETWEEN 200 AND 299"
+    return f"""SELECT k.college_id, coalesce(n_visited, 0) AS n_visited, coalesce(n_fetched, 0) AS n_fetched, coalesce(n_restricted, 0) AS n_restricted, coalesce(n_unchanged, 0) AS n_unchanged, coalesce(n_directory, 0) AS n_directory, coalesce(n_detail, 0) AS n_detail, coalesce(n_housing, 0) AS n_housing,
+            coalesce(n_accepted, 0) AS n_accepted, coalesce(n_rejected, 0) AS n_rejected, coalesce(n_created, 0) AS n_created, coalesce(n_updated, 0) AS n_updated, coalesce(n_unique, 0) AS n_unique, coalesce(n_accepted, 0) - coalesce(n_unique, 0) AS n_duplicates, coalesce(n_left, 0) AS n_left, coalesce(n_unresolved, 0) AS n_unresolved,
+            coalesce(n_fetched, 0) = 0 AND coalesce(n_restricted, 0) > 0 AND coalesce(n_unique, 0) = 0 AS blocked, coalesce(n_visited, 0) >= 2 AND coalesce(n_left, 0) > 0 AS hit_budget
+        FROM (SELECT {key} AS college_id FROM ({CRAWLED}) p UNION SELECT {key} FROM ({NAMED}) q UNION SELECT {key} FROM ({LEFT}) r) k
+        LEFT JOIN (SELECT {key} AS k1, count(*) AS n_visited, {w(f)} AS n_fetched, {w("status IN (401, 403)")} AS n_restricted, {w(f + " AND unchanged")} AS n_unchanged, {w(f + " AND directory")} AS n_directory, {w(f + " AND detail")} AS n_detail, {w(f + " AND housing")} AS n_housing FROM ({CRAWLED}) p GROUP BY 1) p ON k1 IS NOT DISTINCT FROM k.college_id
+        LEFT JOIN (SELECT {key} AS k2, {w("accepted")} AS n_accepted, {w("NOT accepted")} AS n_rejected, {w("accepted AND created AND entity_id IS NOT NULL")} AS n_created, {w("accepted AND NOT created AND entity_id IS NOT NULL")} AS n_updated, count(DISTINCT CASE WHEN accepted THEN entity_id END) AS n_unique FROM ({NAMED}) q GROUP BY 1) q ON k2 IS NOT DISTINCT FROM k.college_id
+        LEFT JOIN (SELECT {key} AS k3, count(*) AS n_left, {w("priority >= 40")} AS n_unresolved FROM ({LEFT}) r GROUP BY 1) r ON k3 IS NOT DISTINCT FROM k.college_id"""
+
+
+def run_counters(v):
+    age = c("age_days")
+    pages = v("v_source").select("college_id", F.when(age % 10 == 0, 403).when(age % 10 == 1, 500).otherwise(200).alias("status"), (age % 4 == 0).alias("unchanged"), F.array(F.when(c("page_role") == "detail", "housing_detail").otherwise(c("page_role"))).alias("roles"), c("page_role").isNotNull().alias("housing"))
+    halls = v("v_dorm").select(c("id").alias("dorm_id"), "college_id", c("is_active").alias("accepted"), F.when(c("status") != "REVIEW", c("id")).alias("entity_id"), c("is_verified").alias("created"))
+    left = v("v_source").where("NOT is_approved").select("college_id", (30 + age % 30).alias("priority"))
+    return r.crawl_run_counters(pages, v("v_dorm_source").join(halls, "dorm_id"), left, max_pages=2)
+
+
+@query(run_counts("college_id"))
+def crawl_run_counters(v):
+    return run_counters(v).where("NOT is_total").drop("is_total")
+
+
+@query(f"SELECT * EXCLUDE (college_id, blocked, hit_budget) FROM ({run_counts('CAST(NULL AS BIGINT)')}) t")
+def crawl_run_summary(v):
+    return run_counters(v).where("is_total").drop("is_total", "college_id", "blocked", "hit_budget")
+
+
+@query(f"""SELECT g.id AS college_id, CASE WHEN NOT has_housing THEN 'NO_HOUSING' WHEN coalesce(blocked, false) THEN 'BLOCKED' WHEN coalesce(n_unique, 0) = 0 AND coalesce(n_created + n_updated, 0) = 0 THEN CASE WHEN coalesce(housing_url <> '', false) OR coalesce(n_housing, 0) > 0 OR coalesce(n_directory, 0) > 0 THEN 'SITE_FOUND' ELSE 'RETRYABLE' END
+    WHEN coalesce(n_directory, 0) > 0 AND n_unresolved = 0 AND NOT hit_budget AND n_unique >= 1 AND (population IS NULL OR (population % 40 > 0 AND abs(n_unique - population % 40) / CAST(population % 40 AS DOUBLE) <= 0.2e0)) THEN 'COMPLETE' ELSE 'PARTIAL' END AS coverage FROM {{v_college}} g LEFT JOIN ({run_counts("college_id")}) t ON t.college_id = g.id""")
+def coverage_of_runs(v):
+    colleges = v("v_college").select("id", "has_housing", "housing_url", (c("population") % 40).alias("published"))
+    return r.decide_run_coverage(colleges, run_counters(v)).select("college_id", "coverage")
