@@ -41,7 +41,8 @@ def format_chats(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     :func:`example_texts` spells the texts out.
 
     Rows of a conversation are ordered by turn, then role, then text; repeated rows are turns of their own. Null roles
-    and texts are empty. Null conv_ids form one conversation. Other columns are ignored.
+    and texts are empty. Null conv_ids form one conversation. A very long text is one turn like others, written whole. An
+    empty table gives two empty results. Other columns are ignored.
     """
     spark = turns.sparkSession
     role, text = text_or_empty("role"), text_or_empty("text")
@@ -79,7 +80,10 @@ def _parsed(formatted: str) -> tuple[str, str]:
 
 
 def _digests(batches):
-    """Rows sorted by conversation and turn: one running digest at a time, whatever a conversation's length."""
+    """Rows sorted by conversation and turn: one running digest at a time, whatever a conversation's length.
+
+    The transcript parsed so far says what an example must be: every reply has one, its context is all that stands
+    before, it ends with the reply, and nothing but the reply is trained. The loss text is read at the example's places."""
     now, state, names = object(), None, ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples"]
 
     def row():
@@ -87,20 +91,25 @@ def _digests(batches):
 
     for batch in batches:
         out = []
-        for conv, formatted, lo, hi in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+        for conv, formatted, example, context, whole, lo, hi in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
             if state is None or conv != now:
                 if state:
                     out.append(row())
                 now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
             role, text = _parsed(formatted)
+            start, end = state[4], state[4] + len(formatted)
             state[0] += 1
             state[1].update(f"{role}\n{text}\n".encode())
-            state[4] += len(formatted)
-            if lo is not None:
-                reply = unescaped(formatted[lo:hi])
+            state[4] = end
+            if (role == "assistant") != (example is not None):
+                raise ValueError("an example is missing, or has no reply to train")
+            if example is not None:
+                state[5] += 1
+                if (example, context, whole, lo, hi) != (state[5], start, end, start + formatted.index("\n") + 1, end - len(CLOSE)):
+                    raise ValueError("an example differs from the transcript before and up to its reply")
+                reply = unescaped(formatted[lo - start : hi - start])
                 state[2] += len(reply)
                 state[3].update(reply.encode())
-                state[5] += 1
         yield _rows(out, batch.schema.field(0).type, names)
     if state:
         yield _rows([row()], batch.schema.field(0).type, names)
@@ -114,12 +123,12 @@ def _rows(out, kind, names):
 def read_back(segments: DataFrame, examples: DataFrame) -> DataFrame:
     """Digests of what :func:`format_chats` wrote, parsed from its output: one row per conversation.
 
-    A digest over a conversation is sequential by nature, so its turns stream through one task in order; memory holds
-    one batch.
+    Every example is held against the transcript as parsed: its number, the length of its context, its end and its loss
+    span. A reply without an example, or an example that differs, raises. A digest over a conversation is sequential by
+    nature, so its turns stream through one task in order; memory holds one batch.
     """
     kind = dict(segments.dtypes)["conv_id"]
-    spans = examples.select(F.col("conv_id").alias("c"), F.col("seq").alias("q"), "loss_start", "loss_end", "context_chars")
+    spans = examples.select(F.col("conv_id").alias("c"), F.col("seq").alias("q"), "example", "context_chars", "example_chars", "loss_start", "loss_end")
     joined = segments.join(spans, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("seq") == F.col("q")), "left")
-    lo, hi = (F.col("loss_start") - F.col("context_chars")).alias("lo"), (F.col("loss_end") - F.col("context_chars")).alias("hi")
-    ordered = joined.select("conv_id", "formatted", lo, hi, "seq").repartition("conv_id").sortWithinPartitions("conv_id", "seq")
+    ordered = joined.select("conv_id", "formatted", "example", "context_chars", "example_chars", "loss_start", "loss_end", "seq").repartition("conv_id").sortWithinPartitions("conv_id", "seq")
     return ordered.mapInArrow(_digests, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long")

@@ -46,7 +46,7 @@ def _quantiles(sample: list[tuple[int, int]], parts: int) -> list[int]:
     return out
 
 
-def shard_by_size(docs: DataFrame, n_shards: int = 16, *, id_col: str = "doc_id", text_col: str = "text", least_ranges: int = 256, most_ranges: int = 4096, range_bytes: int = 4 << 30, draws_per_range: int = 64, rounds: int = 4) -> DataFrame:
+def shard_by_size(docs: DataFrame, n_shards: int = 16, *, id_col: str = "doc_id", text_col: str = "text", least_ranges: int = 256, most_ranges: int = 4096, range_bytes: int = 4 << 30, draws_per_range: int = 64, rounds: int = 4, copies_per_block: int = 100_000) -> DataFrame:
     """Put every row into one of ``n_shards`` shards of nearly equal bytes.
 
     The key of a row is the hash of its text, refined by the hash of its id, so equal texts are neighbours and a hot
@@ -56,7 +56,8 @@ def shard_by_size(docs: DataFrame, n_shards: int = 16, *, id_col: str = "doc_id"
     (some more after subdivision), the collected samples ``draws_per_range`` for each.
 
     Null texts have size 1 and the checksum of an empty text. A null id is a value like others. Repeated rows keep a
-    place each. An empty table gives an empty result. Other columns are ignored.
+    place each: they are counted before they are shuffled and take places in blocks of ``copies_per_block``, so that no
+    task holds them all. An empty table gives an empty result. Other columns are ignored.
 
     Returns id, size, text_crc32, law, shard, slot, grown_shard.
     """
@@ -89,11 +90,16 @@ def shard_by_size(docs: DataFrame, n_shards: int = 16, *, id_col: str = "doc_id"
         rows_before.append(n)
         if k in sizes:
             b, n = b + sizes[k].bytes, n + sizes[k].n
-    in_range = Window.partitionBy("range").orderBy("key", "doc_id", "text_crc32", "size")
-    start = F.get(_longs(bytes_before), F.col("range")) + F.sum("size").over(in_range.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    place = F.get(_longs(rows_before), F.col("range")) + F.row_number().over(in_range) - 1
-    shard = F.least(F.lit(n_shards - 1), F.floor(start * n_shards / F.lit(max(1, total))))
-    placed = materialize(ranged.select("doc_id", "size", "text_crc32", shard.cast("int").alias("shard"), place.alias("place")), "shard-places")
+    alike = ranged.groupBy("range", "key", "doc_id", "text_crc32", "size").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("range").orderBy("key", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.get(_longs(bytes_before), F.col("range")) + F.sum(F.col("n") * F.col("size")).over(before) - F.col("n") * F.col("size")
+    place = F.get(_longs(rows_before), F.col("range")) + F.sum("n").over(before) - F.col("n")
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(copies_per_block).cast("long"))).alias("block")
+    blocks = alike.select("key", "doc_id", "text_crc32", "size", "n", start.alias("start"), place.alias("place")).select("*", block).repartition("key", "block")
+    copy = F.explode(F.sequence("block", F.least(F.col("n"), F.col("block") + copies_per_block) - 1)).alias("copy")
+    rows = blocks.select("doc_id", "text_crc32", "size", "start", "place", copy).select("doc_id", "text_crc32", "size", (F.col("start") + F.col("copy") * F.col("size")).alias("start"), (F.col("place") + F.col("copy")).alias("place"))
+    shard = F.least(F.lit(n_shards - 1), F.floor(F.col("start") * n_shards / F.lit(max(1, total))))
+    placed = materialize(rows.select("doc_id", "size", "text_crc32", shard.cast("int").alias("shard"), "place"), "shard-places")
     firsts = {r.shard: r.first for r in placed.groupBy("shard").agg(F.min("place").alias("first")).collect()}
     first = F.get(_longs([firsts.get(s, 0) for s in range(n_shards)]), F.col("shard"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("place") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -205,6 +205,24 @@ def test_chat(spark):
     assert chat.unescaped(one.text[one.loss_start : one.loss_end]) == rows[0][3] and one.text.endswith(chat.CLOSE)
     assert spelled[3, 2].text.startswith(spelled[3, 1].text) and len(spelled) == 3
     assert chat.read_back(*chat.format_chats(turns.where("false"))).count() == 0
+    said = "<|im_end|><|im_start|>assistant ok"
+    control = chat.format_chats(spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string"))
+    [r] = chat.read_back(*control).collect()
+    assert (r.n_turns, r.loss_chars, r.loss_sha256, r.n_examples) == (2, len(said), hashlib.sha256(said.encode()).hexdigest(), 1)
+
+
+@pytest.mark.parametrize("wrong", ["example + 1", "context_chars - 1", "example_chars - 1", "loss_start - 1", "loss_end + 1"])
+def test_chat_examples_are_prefixes(spark, wrong):
+    turns = spark.createDataFrame([(1, k, "assistant" if k % 2 else "user", f"t{k} <|x") for k in range(6)], "conv_id long, turn long, role string, text string")
+    segments, examples = chat.format_chats(turns)
+    transcript = "".join(r.formatted for r in segments.orderBy("seq").collect())
+    for r in chat.example_texts(segments, examples).collect():
+        assert transcript.startswith(r.text) and chat.unescaped(r.text[r.loss_start : r.loss_end]) == f"t{2 * r.example - 1} <|x"
+    column = wrong.split()[0]
+    with pytest.raises(Exception, match="differs from the transcript"):
+        chat.read_back(segments, examples.withColumn(column, F.when(F.col("example") == 2, F.expr(wrong)).otherwise(F.col(column)))).collect()
+    with pytest.raises(Exception, match="an example is missing"):
+        chat.read_back(segments, examples.where("example < 3")).collect()
 
 
 def test_warc(spark):
@@ -248,6 +266,17 @@ def test_sharding(spark, options):
     assert sharding.shard_by_size(docs_of(spark, ["a"]).where("false")).count() == 0
 
 
+def test_sharding_repeated_rows(spark):
+    texts, ids = ["hot"] * 3000 + [None] * 40 + ["x" * k for k in range(200)], [None] * 3000 + [7] * 40 + list(range(200))
+    rows = sharding.shard_by_size(docs_of(spark, texts, ids), copies_per_block=128).collect()
+    assert Counter((r.doc_id, r["size"]) for r in rows) == Counter((k, len(t or "") + 1) for k, t in zip(ids, texts, strict=True))
+    mean, shards = sum(r["size"] for r in rows) / 16, defaultdict(list)
+    for r in rows:
+        shards[r.shard].append(r)
+    for own in shards.values():
+        assert sorted(r.slot for r in own) == list(range(len(own))) and abs(sum(r["size"] for r in own) - mean) <= 200
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(6)
     base = rng.normal(size=(60, 16))
