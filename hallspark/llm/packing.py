@@ -133,18 +133,21 @@ class WordEncoder:
         return out
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", chars: int = 1 << 19) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", chars: int = 2 << 20, remembered: int = 300_000) -> DataFrame:
     """Tokenize whole texts, end each with id 0, and cut those longer than ``capacity``: doc_id, piece, start, length, ids_crc32.
 
     ``tokenizer`` is the path of a tokenizer file that every executor can read; its special tokens count where a text
     holds their strings. A null text is empty: its one piece is the end. A null id stays null; repeated rows give their
     pieces again; a very long text is encoded whole and alone. An empty table gives an empty result. Other columns are
     ignored.
+
+    A worker encodes ``chars`` characters at a time and remembers the ids of at most ``remembered`` parts: less of either
+    needs less memory and more time, with the same result.
     """
     kind = dict(docs.dtypes)[id_col]
 
     def pieces(batches):
-        encoder = kept_in_worker(("words", tokenizer), lambda: WordEncoder(tokenizer))
+        encoder = kept_in_worker(("words", tokenizer, remembered), lambda: WordEncoder(tokenizer, remembered))
         for batch in batches:
             keys, given = batch.column(0), batch.column(1)
             sizes, done = pc.fill_null(pc.binary_length(given), 0).to_numpy(zero_copy_only=False), 0

@@ -62,8 +62,8 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places, as ``op2`` returns them. A null or empty text is one piece of a single token; equal rows are packed each by itself; long texts are cut into pieces. An empty table gives no pieces. Other columns are ignored."""
-    return packing.pack(packing.token_pieces(docs, tokenizer("word_bpe_49k.json"))).select(*packing.PIECE, "sequence_id", "offset")
+    """The pieces of all documents with their places, as ``op2`` returns them. A null or empty text is one piece of a single token; equal rows are packed each by itself; long texts are cut into pieces. An empty table gives no pieces. Other columns are ignored. Encoders are small, as four stages have been in the executors before."""
+    return packing.pack(packing.token_pieces(docs, tokenizer("word_bpe_49k.json"), chars=1 << 19, remembered=150_000)).select(*packing.PIECE, "sequence_id", "offset")
 
 
 STAGES = [("quality_rules", quality_stage), ("toxicity", toxicity_stage), ("line_dedup", line_dedup_stage), ("ngram_jaccard_join", jaccard_stage), ("best_fit_packing", packing_stage)]
