@@ -69,34 +69,42 @@ class WordEncoder:
         self._start([parts[k] for k in kept.tolist()], self._gathered(kept), self.lengths[kept], self.uses[kept])
 
     def _learn(self) -> None:
-        """Find the ids of the parts that were numbered since the last time."""
+        """Find the ids of the parts that were numbered since the last time: of words, of others, then of words with marks after them."""
         known = len(self.lengths)
-        joined, words, others = [], [], []
-        for part in list(islice(self.numbers, known, None)):
+        cores, tails, composed, words, others = [], [], [], [], []
+        for number, part in enumerate(list(islice(self.numbers, known, None)), known):
             core = part.rstrip(string.punctuation)
             if len(core) < len(part) and core.isalpha():  # the pattern cuts between letters and marks
-                joined.append((self.numbers[part], self.numbers[core], self.numbers[part[len(core) :]]))
-        composed = {number for number, _, _ in joined}
-        for number, part in enumerate(islice(self.numbers, known, None), known):
-            if number not in composed:
+                composed.append(number)
+                cores.append(self.numbers[core])
+                tails.append(self.numbers[part[len(core) :]])
+            else:
                 (words if part.isalpha() else others).append((number, part))
-        found: list[np.ndarray] = [np.zeros(0, "<u4")] * (len(self.numbers) - known)
+        for number, part in islice(enumerate(self.numbers), known + len(composed) + len(words) + len(others), None):
+            (words if part.isalpha() else others).append((number, part))
+        new, ids, lengths = [number for number, _ in chain(words, others)], [], []
         for k in range(0, len(words), 256):
             some = words[k : k + 256]
-            ids = np.array(self.of_words.encode_batch_fast([" ".join(part for _, part in some)], add_special_tokens=False)[0].ids, "<u4")
-            for (number, _), own in zip(some, np.split(ids, np.flatnonzero(self.ends[ids])[:-1] + 1), strict=True):
-                found[number - known] = own
+            ids.append(np.array(self.of_words.encode_batch_fast([" ".join(part for _, part in some)], add_special_tokens=False)[0].ids, "<u4"))
+            own = np.diff(np.flatnonzero(self.ends[ids[-1]]), prepend=-1)
+            if len(own) != len(some) or own.sum() != len(ids[-1]):
+                raise ValueError("a word of the tokenizer does not end where its letters do")
+            lengths.append(own)
         for k in range(0, len(others), 4096):
-            some = others[k : k + 4096]
-            for (number, _), own in zip(some, self.tokenizer.encode_batch_fast([part for _, part in some], add_special_tokens=False), strict=True):
-                found[number - known] = np.array(own.ids, "<u4")
-        of = lambda k: found[k - known] if k >= known else self.flat[self.starts[k] : self.starts[k] + self.lengths[k]]
-        for number, core, tail in joined:
-            found[number - known] = np.concatenate([of(core), of(tail)])
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.flat, self.lengths = np.concatenate([self.flat, *found]), np.concatenate([self.lengths, lengths])
-        self.uses = np.concatenate([self.uses, np.zeros(len(found), np.int64)])
+            found = [np.array(own.ids, "<u4") for own in self.tokenizer.encode_batch_fast([part for _, part in others[k : k + 4096]], add_special_tokens=False)]
+            ids += found
+            lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+        self._add(np.array(new, np.int64), ids, np.concatenate([np.zeros(0, np.int64), *lengths]))
+        both = np.column_stack([np.array(cores, np.int64), np.array(tails, np.int64)])
+        self._add(np.array(composed, np.int64), [self._gathered(both.ravel())], self.lengths[both].sum(axis=1))
+
+    def _add(self, numbers: np.ndarray, ids: list[np.ndarray], lengths: np.ndarray) -> None:
+        """Take up the ids of the parts with these numbers, one after the other."""
+        more = [np.zeros(max(0, len(self.numbers) - len(self.lengths)), np.int64)]
+        starts = len(self.flat) + np.cumsum(lengths) - lengths
+        self.lengths, self.starts, self.uses = (np.concatenate([old, *more]) for old in (self.lengths, self.starts, self.uses))
+        self.lengths[numbers], self.starts[numbers] = lengths, starts
+        self.flat = np.concatenate([self.flat, *ids])
 
     def _parts(self, text: str) -> list[str] | None:
         """Lower-cased parts; none where lower case or normal form might depend on more than the part, or the text holds a special token."""
