@@ -78,7 +78,7 @@ class Decoder:
     """Viterbi decoding of one obfuscated part over a lattice of runs of equal characters."""
 
     def __init__(self, model: np.ndarray, cache: int = 100_000):
-        self.model, self.most, self.known = model, cache, {}
+        self.model, self.most, self.known, self.read, self._flat, self._letters = model, cache, {}, {}, [], {}
 
     @staticmethod
     def _choices(char: str, run: int, marks: set[str], width: int, beside: str = "") -> list[tuple[tuple[int, ...], float]]:
@@ -142,24 +142,33 @@ class Decoder:
         if not marks and SEPARATED.search(part):
             marks = {c for c, _ in runs if c in SEPARATORS}
         width = min((n for c, n in runs if c in (blank or marks)), default=0)
-        states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-        model, chosen = self.model, []
+        if not self._flat:  # in the worker: numbers of a list are read faster than those of an array
+            self._flat = self.model.ravel().tolist()
+        flat, letters, pairs = self._flat, self._letters, SIZE * SIZE
+        states: dict[int, tuple[float, tuple]] = {0: (0.0, ())}  # by the two codes before
+        chosen: list[tuple[int, ...]] = []
         for at, (char, run) in enumerate(runs, 1):
-            beside = "".join(c for c, _ in (*runs[max(at - 2, 0) : at - 1], *runs[at : at + 1]))
-            new: dict[tuple[int, int], tuple[float, tuple]] = {}
-            for choice, cost in self._choices(char, run, marks, width, beside):
-                for (a, b), (score, path) in states.items():
-                    total, x, y = score + cost, a, b
+            if char in marks or char in LEET:
+                beside = "".join(c for c, _ in (*runs[max(at - 2, 0) : at - 1], *runs[at : at + 1]))
+                choices = self._choices(char, run, marks, width, beside)
+            else:
+                own = (char, min(run, 3))
+                choices = letters.get(own) or letters.setdefault(own, self._choices(*own, marks, width))
+            new: dict[int, tuple[float, tuple]] = {}
+            for choice, cost in choices:
+                for key, (score, path) in states.items():
+                    total = score + cost
                     for code in choice:
-                        total += float(model[x, y, code])
-                        x, y = y, code
-                    if (x, y) not in new or new[x, y][0] < total:
-                        new[x, y] = total, (path, choice) if choice else path
+                        key = key * SIZE + code  # noqa: PLW2901
+                        total += flat[key]
+                        key %= pairs  # noqa: PLW2901
+                    if key not in new or new[key][0] < total:
+                        new[key] = total, (path, choice) if choice else path
             states = new
             if at % PIECE == 0:
                 states, fixed = self._settled(states, LAG)
                 chosen += fixed
-        path = max(((s + float(model[a, b, 0]), p) for (a, b), (s, p) in states.items()), key=lambda v: v[0])[1]
+        path = max(((s + flat[key * SIZE], p) for key, (s, p) in states.items()), key=lambda v: v[0])[1]
         rest = []
         while path:
             path, choice = path
@@ -182,32 +191,44 @@ def restored(text: str, decoder: Decoder) -> tuple[set[str], int]:
     Only parts that show leetspeak, separated letters or repetition have a lattice of more than one path; other words stand for themselves.
     Ordinary numbers, doubled letters and marks at the end of a word may have another reading too, but do not count as obfuscated."""
     text = text.lower()
-    parts = set(text.split())
     words: set[str] = set()
     odd = 0
     for found in SPACED.findall(text):
         words.update(separate_words(decoder.decode(found)))
         odd += 1
-    for part in parts:
-        if part.isalpha():
-            if REPEATED.search(part):
-                words.update(separate_words(decoder.decode(part)))
-                odd += STRETCHED.search(part) is not None
-            words.add(part)
-            continue
-        words.update(WORDS.findall(part))
-        core = part.strip(".,;:?\"'()!")
-        for form in {core, part.strip(".,;:?\"')")}:  # "!" and "(" may be letters
-            if len(form) < 2:
-                continue
-            leet = LEETED.search(form) and WORDS.search(form)
-            separated = SEPARATED.search(form)
-            if leet or separated or REPEATED.search(form) or LEET_ONLY.fullmatch(form):
-                words.update(separate_words(decoder.decode(form)))
-                odd += form is core and bool(leet or separated or STRETCHED.search(form))
+    read = decoder.read
+    for part in set(text.split()):
+        found = read.get(part)
+        if found is None:
+            found = _read(part, decoder)
+            if len(part) <= 100:
+                if len(read) >= decoder.most:
+                    read.clear()
+                read[part] = found
+        words.update(found[0])
+        odd += found[1]
     return words, odd
 
 
+def _read(part: str, decoder: Decoder) -> tuple[tuple[str, ...], int]:
+    """The words of one part of a text, and whether it was obfuscated."""
+    if part.isalpha():
+        if REPEATED.search(part):
+            return (part, *separate_words(decoder.decode(part))), int(STRETCHED.search(part) is not None)
+        return (part,), 0
+    words, odd = WORDS.findall(part), 0
+    core = part.strip(".,;:?\"'()!")
+    for form in {core, part.strip(".,;:?\"')")}:  # "!" and "(" may be letters
+        if len(form) < 2:
+            continue
+        leet = LEETED.search(form) and WORDS.search(form)
+        separated = SEPARATED.search(form)
+        if leet or separated or REPEATED.search(form) or LEET_ONLY.fullmatch(form):
+            words += separate_words(decoder.decode(form))
+            odd += form is core and bool(leet or separated or STRETCHED.search(form))
+    return tuple(words), int(odd)
+
+
 def features(word: str) -> tuple[str, ...]:
     """A word, its beginnings, and its inner part, which other words may share."""
     return (word, *(word[:k] + "-" for k in (4, 5, 6) if len(word) > k))
@@ -224,17 +245,21 @@ class Scorer:
         return math.log((toxic + 0.3) / (t + 1)) - math.log((clean + 0.3 + 0.002 * c) / (c + 1))
 
     def _of_word(self, word: str) -> tuple[str, ...]:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            found = self.known[word] = tuple(f for f in features(word) if f in self.counts)
+        if len(self.known) > 100_000:
+            self.known.clear()
+        found = self.known[word] = tuple(f for f in features(word) if f in self.counts)
         return found
 
     def summary(self, text: str, label: int | None = None) -> np.ndarray:
         """What the regression sees; with a label, the document's own share of the counts is left out."""
         words, odd = restored(text, self.decoder)
-        hits = {f for w in words for f in self._of_word(w)}
+        known, hits = self.known, set()
+        for w in words:
+            found = known.get(w)
+            if found is None:
+                found = self._of_word(w)
+            if found:
+                hits.update(found)
         odds = sorted((self.odds(self.counts[f][0] - (label == 1), self.counts[f][1] - (label == 0)) for f in hits), reverse=True)
         odds = [max(x, 0.0) for x in odds[:10]] + [0.0] * 10
         n = math.log1p(len(words))
