@@ -77,7 +77,7 @@ def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 class Decoder:
     """Viterbi decoding of one obfuscated part over a lattice of runs of equal characters."""
 
-    def __init__(self, model: np.ndarray, cache: int = 100_000):
+    def __init__(self, model: np.ndarray, cache: int = 250_000):
         self.model, self.most, self.known, self.read, self._flat, self._letters = model, cache, {}, {}, [], {}
 
     @staticmethod
@@ -146,15 +146,30 @@ class Decoder:
             self._flat = self.model.ravel().tolist()
         flat, letters, pairs = self._flat, self._letters, SIZE * SIZE
         states: dict[int, tuple[float, tuple]] = {0: (0.0, ())}  # by the two codes before
+        new: dict[int, tuple[float, tuple]]
         chosen: list[tuple[int, ...]] = []
         for at, (char, run) in enumerate(runs, 1):
+            if run == 1 and char in CODE:  # a letter that stands for itself
+                code, choice = CODE[char], (CODE[char],)
+                new = {}
+                for key, (score, path) in states.items():
+                    key = key * SIZE + code  # noqa: PLW2901
+                    total = score + flat[key]
+                    key %= pairs  # noqa: PLW2901
+                    if key not in new or new[key][0] < total:
+                        new[key] = total, (path, choice)
+                states = new
+                if at % PIECE == 0:
+                    states, fixed = self._settled(states, LAG)
+                    chosen += fixed
+                continue
             if char in marks or char in LEET:
                 beside = "".join(c for c, _ in (*runs[max(at - 2, 0) : at - 1], *runs[at : at + 1]))
                 choices = self._choices(char, run, marks, width, beside)
             else:
                 own = (char, min(run, 3))
                 choices = letters.get(own) or letters.setdefault(own, self._choices(*own, marks, width))
-            new: dict[int, tuple[float, tuple]] = {}
+            new = {}
             for choice, cost in choices:
                 for key, (score, path) in states.items():
                     total = score + cost
@@ -216,9 +231,11 @@ def _read(part: str, decoder: Decoder) -> tuple[tuple[str, ...], int]:
         if REPEATED.search(part):
             return (part, *separate_words(decoder.decode(part))), int(STRETCHED.search(part) is not None)
         return (part,), 0
+    core, open_core = part.strip(".,;:?\"'()!"), part.strip(".,;:?\"')")  # "!" and "(" may be letters
+    if core == open_core and core.isalpha():  # a word with marks around it reads as the word
+        return decoder.read.get(core) or _read(core, decoder)
     words, odd = WORDS.findall(part), 0
-    core = part.strip(".,;:?\"'()!")
-    for form in {core, part.strip(".,;:?\"')")}:  # "!" and "(" may be letters
+    for form in {core, open_core}:
         if len(form) < 2:
             continue
         leet = LEETED.search(form) and WORDS.search(form)
@@ -245,7 +262,7 @@ class Scorer:
         return math.log((toxic + 0.3) / (t + 1)) - math.log((clean + 0.3 + 0.002 * c) / (c + 1))
 
     def _of_word(self, word: str) -> tuple[str, ...]:
-        if len(self.known) > 100_000:
+        if len(self.known) > self.decoder.most:
             self.known.clear()
         found = self.known[word] = tuple(f for f in features(word) if f in self.counts)
         return found
