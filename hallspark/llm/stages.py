@@ -37,7 +37,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go; the scorer is fitted on these documents and the table of labels. Null and empty texts have no toxic words and stay, as do rows with null ids that aren't toxic; equal rows share a verdict. Long texts are scored whole. An empty table stays empty. All columns come back, whatever their names."""
     with small_batches(spark):  # it fits its models at once
-        return _matched(docs, _keys(toxicity.toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1")), "left_anti")
+        return _matched(docs, _keys(toxicity.toxicity(docs, table(spark, sf_dir, "labels"), remembered=100_000).where("predicted = 1")), "left_anti")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

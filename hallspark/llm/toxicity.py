@@ -254,8 +254,8 @@ def features(word: str) -> tuple[str, ...]:
 class Scorer:
     """Log odds of the features in toxic and other documents, summed up by a logistic regression."""
 
-    def __init__(self, model: np.ndarray, counts: dict[str, tuple[int, int]], totals: tuple[int, int], weights: np.ndarray | None):
-        self.decoder, self.counts, self.totals, self.weights, self.known = Decoder(model), counts, totals, weights, {}
+    def __init__(self, model: np.ndarray, counts: dict[str, tuple[int, int]], totals: tuple[int, int], weights: np.ndarray | None, remembered: int = 250_000):
+        self.decoder, self.counts, self.totals, self.weights, self.known = Decoder(model, remembered), counts, totals, weights, {}
 
     def odds(self, toxic: int, clean: int) -> float:
         t, c = self.totals
@@ -299,10 +299,11 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_labels: int = 20_000, least_toxic: int = 4) -> Scorer:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_labels: int = 20_000, least_toxic: int = 4, remembered: int = 250_000) -> Scorer:
     """Fit the scorer: the language model on all texts, the classifier on at most ``most_labels`` labelled documents that are not held out (those whose ids hash lowest).
 
     A feature is kept if ``least_toxic`` toxic documents of that sample have it, and a share of them four times that of the others.
+    A worker remembers the readings of at most ``remembered`` parts and words; fewer take less memory and more time, with equal scores.
     Without labelled documents the scorer knows no features and gives everything the score of its bias.
     """
     spark = docs.sparkSession
@@ -314,7 +315,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     totals = totals[1], totals[0]
 
     def count(batches):
-        decoder, seen = Decoder(model), ({}, {})
+        decoder, seen = Decoder(model, remembered), ({}, {})
 
         def flush():
             both = list(seen[0].keys() | seen[1].keys())
@@ -335,7 +336,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     rate = F.col("toxic") / F.lit(max(1, totals[0])) / (F.col("clean") / F.lit(max(1, totals[1])) + F.lit(1e-9))
     counted = sample.select("toxic", "text").mapInArrow(alone(count), "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     kept = counted.where((F.col("toxic") >= least_toxic) & (rate > 4))
-    scorer = Scorer(model, {r.feature: (r.toxic, r.clean) for r in kept.collect()}, totals, None)
+    scorer = Scorer(model, {r.feature: (r.toxic, r.clean) for r in kept.collect()}, totals, None, remembered)
     shared = spark.sparkContext.broadcast(scorer)
 
     def summarise(batches):
@@ -346,7 +347,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     seen = sample.select("toxic", "text").mapInArrow(alone(summarise), "toxic int, x array<double>").collect()
     y = np.array([float(r.toxic == 1) for r in seen])
     weights = _fit(np.array([r.x for r in seen]), y) if len(seen) and 0 < y.sum() < len(y) else np.array([-3.0, 0, 0, 0, 0, 0])
-    return Scorer(model, scorer.counts, totals, weights)
+    return Scorer(model, scorer.counts, totals, weights, remembered)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
