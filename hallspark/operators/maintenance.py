@@ -268,10 +268,32 @@ def upsert_halls(resolved: DataFrame, halls: DataFrame) -> DataFrame:
     return merge_upsert(halls, resolved.dropDuplicates(["id"]), ["id"])
 
 
+# Last path parts of shared directory pages, and of complexes that are no numbered unit, as in the source data.
+DIRECTORY_PATHS = r"^(residence-halls|explore-housing-options|housing|undergraduate|graduate|apartments)$"
+NAMED_COMPLEXES = r"foothill|stern|clark-kerr|theme-programs"
+
+
 def mismatched_links(links: DataFrame) -> DataFrame:
-    """Links (name, slug, url) whose URL names another unit than the hall's, except directory pages."""
-    own, other = F.regexp_extract("slug", r"unit-?(\d+)", 1), F.regexp_extract(F.lower("url"), r"unit-?(\d+)", 1)
-    return links.where((own != "") & (other != "") & (own != other) & ~c("url").rlike("(?i)residence-halls|housing-options|directory"))
+    """Links (name, slug, url) whose URL ends in the page of another unit or, for a numbered unit, of a named complex. Directory pages, and ends that hold the hall's slug or are held by it, are right."""
+    end = F.lower(F.regexp_extract(F.regexp_replace("url", r"[?#].*$", ""), r"^\w+://[^/]+/(?:.*/)?([^/]+)/*$", 1))
+    own = F.lower("slug")
+    same = (end == own) | (end == F.regexp_replace(F.lower("name"), r"\s+", "-")) | end.contains(own) | own.contains(end)
+    complexes = end.rlike(NAMED_COMPLEXES) & own.rlike(r"^unit-\d") & ~own.contains(F.split_part(end, F.lit("-"), F.lit(1)))
+    return links.where((end != "") & ~end.rlike(DIRECTORY_PATHS) & ~same & (end.rlike(r"unit-\d") | complexes))
+
+
+def with_audit(rows: DataFrame, changes: DataFrame, action: str) -> DataFrame:
+    """Changes (id and columns of rows) that alter something, each with the action and the values before and after."""
+    fields = [k for k in changes.columns if k != "id" and k in rows.columns]
+    old = rows.select("id", F.struct(*fields).alias("before"))
+    audited = changes.join(old, "id").withColumn("after", F.struct(*fields)).where(~c("before").eqNullSafe(c("after")))
+    return audited.select("id", F.lit(action).alias("action"), "before", "after", *fields)
+
+
+def latest_flags(events: DataFrame, key: str, value: str) -> DataFrame:
+    """The last decision of each key (id, value) out of events (key, ts, id, value); equal times go by the greater event id. For :func:`set_field`: approvals of sources, verifications of halls."""
+    last = events.groupBy(c(key).alias("id")).agg(F.max(F.struct("ts", c("id").alias("event"), c(value).alias("value"))).alias("last"))
+    return last.select("id", "last.value")
 
 
 def repair_titles(sources: DataFrame) -> DataFrame:

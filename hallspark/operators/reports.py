@@ -134,17 +134,30 @@ def quality_report(halls: DataFrame, colleges: DataFrame, stale_days: int = 180)
     return rows.groupingSets([["college_id"], ["state"]], "college_id", "state").agg(*aggregates)
 
 
-def junk_report(candidates: DataFrame, samples: int = 3, top: int = 20) -> DataFrame:
-    """Junk by reason with the first names of each; the names come by rank, so no group is gathered whole."""
+def junk_report(candidates: DataFrame, samples: int = 3, top: int = 20, by: str = "reason") -> DataFrame:
+    """Junk by reason, or by another column such as the institution, with the first names of each; the names come by rank, so no group is gathered whole."""
     from pyspark.sql import Window
 
-    ranked = candidates.select("reason", "name").distinct().withColumn("k", F.row_number().over(Window.partitionBy("reason").orderBy("name"))).where(c("k") <= samples)
-    names = ranked.groupBy("reason").agg(F.array_join(F.array_sort(F.collect_list("name")), "; ").alias("samples"))
-    return candidates.groupBy("reason").agg(F.count("*").alias("n")).join(names, "reason").orderBy(F.desc("n"), "reason").limit(top)
+    ranked = candidates.select(by, "name").distinct().withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy("name"))).where(c("k") <= samples)
+    names = ranked.groupBy(by).agg(F.array_join(F.array_sort(F.collect_list("name")), "; ").alias("samples"))
+    return candidates.groupBy(by).agg(F.count("*").alias("n")).join(names, by).orderBy(F.desc("n"), by).limit(top)
 
 
-def pipeline_metrics(scored: DataFrame) -> DataFrame:
-    return scored.agg(F.count("*").alias("n_halls"), count_where("is_active").alias("n_active"), count_where("status = 'QUARANTINED'").alias("n_quarantined"), count_where("scoreable").alias("n_scoreable"))
+def pipeline_metrics(scored: DataFrame, colleges: DataFrame | None = None) -> DataFrame:
+    """Counts of halls and, given institutions, of these by coverage."""
+    halls = scored.agg(F.count("*").alias("n_halls"), count_where("is_active").alias("n_active"), count_where("status = 'QUARANTINED'").alias("n_quarantined"), count_where("scoreable").alias("n_scoreable"))
+    if colleges is None:
+        return halls
+    covered = colleges.agg(*[count_where(c("coverage_status") == k).alias(f"n_{k.lower()}") for k in ("COMPLETE", "PARTIAL", "BLOCKED")])
+    return halls.join(covered, F.lit(True))
+
+
+def blocked_colleges(colleges: DataFrame) -> DataFrame:
+    return colleges.where("coverage_status = 'BLOCKED'").select("id", "name", "state").orderBy("name", "id")
+
+
+def checkpoint_counts(checkpoints: DataFrame) -> DataFrame:
+    return checkpoints.groupBy("status").agg(F.count("*").alias("n"))
 
 
 def score_summary(scored: DataFrame) -> DataFrame:

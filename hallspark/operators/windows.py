@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ def provenance_best(provenance: DataFrame) -> DataFrame:
 
 def recent_jobs(jobs: DataFrame, logs: DataFrame, n_jobs: int = 30, n_logs: int = 5) -> DataFrame:
     top = jobs.orderBy(F.desc("created_at"), "id").limit(n_jobs)
-    own = latest(logs, "job_id", [F.desc("ts"), F.asc("id")], n_logs).select(c("job_id").alias("id"), c("id").alias("log_id"), "level", "rn")
+    own = latest(logs, "job_id", [F.desc("ts"), F.asc("id"), F.asc("level")], n_logs).select(c("job_id").alias("id"), c("id").alias("log_id"), "level", "rn")
     return top.join(own, "id", "left")
 
 
@@ -72,11 +74,19 @@ def merge_sources(legacy: DataFrame, linked: DataFrame) -> DataFrame:
     return out.withColumn("position", F.row_number().over(Window.partitionBy("dorm_id").orderBy(role_rank(c("role")), "age_days", "key")))
 
 
+def any_of(names: list[str], columns: list[str], holds: Callable[[Column], Column]) -> Column:
+    """Whether a text among the columns named that exist, or an element of an array column ``aliases``, fulfils ``holds``, in lower case; unknown texts don't."""
+    texts = F.array(*[F.lower(c(k)) for k in names if k in columns])
+    if "aliases" in columns:
+        texts = F.concat(texts, F.coalesce(F.transform("aliases", lambda a: F.lower(a)), F.array().cast("array<string>")))
+    return F.exists(texts, lambda t: F.coalesce(holds(t), F.lit(False)))
+
+
 def search_halls(halls: DataFrame, q: str | None = None, state: str | None = None, has_ac: bool | None = None, freshman: bool | None = None, honors: bool | None = None, least_cost: float | None = None, most_cost: float | None = None, least_score: float | None = None, bathroom: str | None = None, dorm_type: str | None = None) -> DataFrame:
+    """Halls that fulfil all conditions given; ``q`` is part of the hall's or institution's name or of one of its ``aliases``."""
     out = halls
     if q:
-        low = F.lit(q.lower())
-        out = out.where(F.lower("name").contains(low) | F.lower("college_name").contains(low))
+        out = out.where(any_of(["name", "college_name"], halls.columns, lambda t: t.contains(q.lower())))
     for column, value in (("state", state), ("has_ac", has_ac), ("freshman", freshman), ("honors", honors), ("bathroom_style", bathroom), ("dorm_type", dorm_type)):
         if value is not None:
             out = out.where(c(column) == value)
@@ -94,12 +104,13 @@ def sort_halls(halls: DataFrame, nulls: str = "first") -> DataFrame:
 
 
 def search_colleges(colleges: DataFrame, query: str) -> DataFrame:
-    """Short queries match a name's beginning, a short name or an alias; longer ones any part."""
+    """Short queries match the beginning of a name, a short name or an alias; longer ones any part of these or of the city. Official names (``official_name``) and all ``aliases`` count where the table has them."""
     q = query.lower().strip()
-    text = lambda name: F.coalesce(F.lower(c(name)), F.lit(""))
+    called, short = ["name", "official_name"], ["short_name", "alias"]
     if len(q) <= 3:
-        return colleges.where(text("name").startswith(q) | (text("short_name") == q) | (text("alias") == q))
-    return colleges.where(text("name").contains(q) | text("short_name").contains(q) | text("city").contains(q) | text("alias").contains(q))
+        named = any_of(called, [k for k in colleges.columns if k != "aliases"], lambda t: t.startswith(q))
+        return colleges.where(named | any_of(short, colleges.columns, lambda t: t == q))
+    return colleges.where(any_of([*called, *short, "city"], colleges.columns, lambda t: t.contains(q)))
 
 
 def rank_colleges(colleges: DataFrame, query: str) -> DataFrame:

@@ -71,3 +71,23 @@ def merged_amenities(v):
 @query("SELECT id, CASE WHEN confidence >= 0.55e0 AND (is_verified OR confidence >= 0.7e0) THEN 'ACTIVE' ELSE 'REVIEW' END AS status FROM {v_dorm}")
 def activation(v):
     return x.activate(v("v_dorm").select("id", c("confidence").alias("score_confidence"), c("is_verified").alias("official"))).select("id", "status")
+
+
+def _housing(name: str) -> str:
+    matches = lambda p: f"regexp_matches({name}, '{p.replace(chr(39), chr(39) * 2)}')"
+    return f"{matches(x.STRONG_NAME)} AND NOT {matches(x.NEGATIVE_EXACT)} AND NOT {matches(x.NEGATIVE_NAME)} AND length({name}) BETWEEN 3 AND 80"
+
+
+@query(f"SELECT id, concat_ws(';', CASE WHEN {_housing('name')} THEN name END, CASE WHEN {_housing('category_label')} AND category_label <> name THEN category_label END) AS names FROM {{v_dorm}}")
+def embedded_names(v):
+    """Names in the data that a page's script embeds: the hall's, twice, its category's and one that is no hall."""
+    entry = lambda k: F.concat(F.lit('{"name": "'), k, F.lit('"},'))
+    data = F.concat(F.lit('<html><script id="__NEXT_DATA__" type="application/json">['), entry(c("name")), entry(c("name")), entry(F.lit("Housing Application")), entry(F.coalesce("category_label", F.lit("Dean"))), F.lit("{}]</script></html>"))
+    return v("v_dorm").select("id", F.array_join(x.embedded_names(data), ";").alias("names"))
+
+
+@query("SELECT d.id, coalesce(d.yearly_cost, f.cost) AS yearly_cost, coalesce(d.has_ac, f.ac) AS has_ac, f.n AS n_reviews FROM {v_dorm} d LEFT JOIN (SELECT dorm_id, max(price) AS cost, bool_or(flag = 'R') AS ac, count(*) AS n FROM {v_review} WHERE status = 'APPROVED' GROUP BY dorm_id) f ON f.dorm_id = d.id")
+def detail_merge(v):
+    """What cards don't know comes from the facts of their page; a fact that cards have no column for is added."""
+    facts = v("v_review").where("status = 'APPROVED'").groupBy(c("dorm_id").alias("page_id")).agg(F.max("price").alias("f_yearly_cost"), F.bool_or(c("flag") == "R").alias("f_has_ac"), F.count("*").alias("f_n_reviews"))
+    return x.merge_detail_facts(v("v_dorm").select(c("id").alias("page_id"), "yearly_cost", "has_ac"), facts).withColumnRenamed("page_id", "id")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import slugify
 from ..operators import maintenance as t
 from ..operators import reports as r
 from ..operators import resolution as o
+from ..plans.jobs import recompute_scores
 from .base import query
+from .matching import PARTS, SCORED
 from .reporting import DECIDED, counters
 from .resolving import PAIRS
 
@@ -188,3 +191,72 @@ def moderated_halls(v):
 def repaired_titles(v):
     rows = t.repair_titles(v("v_source").withColumn("had", F.coalesce("title", F.lit("")) != ""))
     return rows.select("id", F.when(c("had") | (c("title") == "Official housing directory"), c("title")).otherwise("made").alias("title"))
+
+
+@query("SELECT d.id, 'SET_PARENT' AS action, d.parent_id AS before, b.pid AS after FROM {v_dorm} d JOIN (SELECT college_id, min(id) AS pid FROM {v_dorm} WHERE kind = 'BUILDING' GROUP BY 1) b ON b.college_id = d.college_id WHERE d.kind = 'UNIT' AND d.parent_id IS DISTINCT FROM pid")
+def parent_changes(v):
+    """Units get the first building of their institution as their parent, with an audit."""
+    halls = v("v_dorm")
+    first = halls.where("kind = 'BUILDING'").groupBy("college_id").agg(F.min("id").alias("value"))
+    wanted = halls.where("kind = 'UNIT'").select("id", "college_id").join(first, "college_id").select("id", "value")
+    audited = t.with_audit(halls, t.set_field(halls, wanted, "parent_id"), "SET_PARENT")
+    return audited.select("id", "action", c("before.parent_id").alias("before"), c("after.parent_id").alias("after"))
+
+
+@query("SELECT id, 'RESTORED' AS action, status AS before, is_active AS was_active, 'ACTIVE' AS after FROM {v_dorm} WHERE status = 'QUARANTINED' AND lower(name) LIKE '%apartment%'")
+def restored_audit(v):
+    audited = t.with_audit(v("v_dorm"), t.restore_false_positives(v("v_dorm")), "RESTORED")
+    return audited.select("id", "action", c("before.status").alias("before"), c("before.is_active").alias("was_active"), c("after.status").alias("after"))
+
+
+@query("SELECT s.id, l.ok AS is_approved FROM {v_source} s JOIN (SELECT job_id, value > 50 AS ok, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, id DESC) AS k FROM {v_log}) l ON l.job_id = s.id AND k = 1 WHERE s.is_approved IS DISTINCT FROM l.ok")
+def approved_sources(v):
+    """The last event about a source approves it or not."""
+    wanted = t.latest_flags(v("v_log").withColumn("ok", c("value") > 50), "job_id", "ok")
+    return t.set_field(v("v_source"), wanted, "is_approved")
+
+
+FACTS = "SELECT dorm_id AS id, max(CASE WHEN flag = 'A' THEN price END) AS yearly_cost, bool_or(CASE WHEN flag <> 'A' THEN flag = 'R' END) AS has_ac FROM {v_review} GROUP BY dorm_id"
+
+
+@query(f"SELECT coalesce(s.id, f.id) AS id, coalesce(f.yearly_cost, s.yearly_cost) AS yearly_cost, coalesce(f.has_ac, s.has_ac) AS has_ac, s.name FROM (SELECT * FROM {{v_dorm}} WHERE kind <> 'HOUSE') s FULL JOIN ({FACTS}) f ON s.id = f.id")
+def upserted_halls(v):
+    """Facts of reviews meet stored halls; houses are not stored yet."""
+    flag = c("flag")
+    facts = v("v_review").groupBy(c("dorm_id").alias("id")).agg(F.max(F.when(flag == "A", c("price"))).alias("yearly_cost"), F.bool_or(F.when(flag != "A", flag == "R")).alias("has_ac"))
+    return t.upsert_halls(facts, v("v_dorm").where("kind <> 'HOUSE'").select("id", "yearly_cost", "has_ac", "name"))
+
+
+@query("SELECT l.dorm_id, l.source_id, CASE WHEN s.page_role = 'detail' THEN 'detail' ELSE 'directory' END AS role FROM {v_dorm_source} l JOIN {v_source} s ON s.id = l.source_id WHERE NOT EXISTS (SELECT 1 FROM {v_review} r WHERE r.flag = 'R' AND r.dorm_id = l.dorm_id AND r.s = l.source_id)")
+def linked_sources(v):
+    roles = v("v_source").select(c("id").alias("source_id"), F.when(c("page_role") == "detail", "detail").otherwise("directory").alias("role"))
+    stored = v("v_review").where("flag = 'R'").select("dorm_id", c("s").alias("source_id"))
+    return t.link_sources(v("v_dorm_source").join(roles, "source_id"), stored)
+
+
+COSTS = "SELECT dorm_id, flag AS label, status AS period, price AS amount FROM {v_review}"
+
+
+@query(f"SELECT * FROM ({COSTS}) a EXCEPT SELECT * FROM ({COSTS} WHERE disc > 0.05) b")
+def appended_costs(v):
+    costs = v("v_review").select("dorm_id", c("flag").alias("label"), c("status").alias("period"), c("price").alias("amount"), "disc")
+    return t.append_costs(costs.drop("disc"), costs.where("disc > 0.05D").drop("disc"))
+
+
+END = "concat('unit-', CAST(source_id % 5 AS VARCHAR(9)))"
+
+
+@query(f"SELECT l.dorm_id, l.source_id FROM {{v_dorm_source}} l JOIN {{v_dorm}} d ON d.id = l.dorm_id WHERE source_id % 3 <> 0 AND NOT contains(replace(lower(d.name), ' ', '-'), {END})")
+def mismatched_links(v):
+    """Links to directories, and to pages of units that halls are or aren't."""
+    k = c("source_id")
+    url = F.concat(F.lit("https://housing.example.edu/halls/"), F.when(k % 3 == 0, "Residence-Halls/?page=1").otherwise(F.concat(F.lit("Unit-"), (k % 5).cast("string"), F.lit("/#top"))))
+    halls = v("v_dorm").select(c("id").alias("dorm_id"), "name", slugify(c("name")).alias("slug"))
+    return t.mismatched_links(v("v_dorm_source").join(halls, "dorm_id").withColumn("url", url)).select("dorm_id", "source_id")
+
+
+@query(f"SELECT id, overall_score, scoreable, score_completeness, data_confidence, {', '.join(f'{k}_score' for k in PARTS)} FROM ({SCORED}) x")
+def recomputed_scores(v):
+    """All scores from the bridges: amenities are counted and the institution's average taken anew."""
+    scored = recompute_scores(v("v_dorm"), v("v_room"), v("v_amenity"))
+    return scored.select("id", "overall_score", "scoreable", "score_completeness", "data_confidence", *[f"{k}_score" for k in PARTS])

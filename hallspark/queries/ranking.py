@@ -63,6 +63,37 @@ def institution_search(v):
     return w.search_colleges(v("v_college"), "College").select("id", "name")
 
 
+#: Names that an institution also bears: its alias, its city's and its slug's; every third has an official name.
+NAMED = "SELECT id, name, short_name, city, list_value(alias, concat(city, ' ', alias), slug) AS aliases, CASE WHEN id % 3 = 0 THEN concat('Board of ', city) END AS official_name FROM {v_college}"
+
+
+def named(v):
+    aliases = F.array("alias", F.concat("city", F.lit(" "), "alias"), "slug")
+    return v("v_college").select("id", "name", "short_name", "city", aliases.alias("aliases"), F.when(c("id") % 3 == 0, F.concat(F.lit("Board of "), "city")).alias("official_name"))
+
+
+@query(f"SELECT id, name FROM ({NAMED}) k WHERE lower(name) LIKE '%ge-1%' OR lower(coalesce(short_name, '')) LIKE '%ge-1%' OR lower(city) LIKE '%ge-1%' OR lower(coalesce(official_name, '')) LIKE '%ge-1%' OR len(list_filter(aliases, lambda a: lower(a) LIKE '%ge-1%')) > 0")
+def institution_search_aliases(v):
+    return w.search_colleges(named(v), "Ge-1").select("id", "name")
+
+
+@query(f"SELECT id, name FROM ({NAMED}) k WHERE lower(name) LIKE 'boa%' OR lower(coalesce(official_name, '')) LIKE 'boa%' OR lower(coalesce(short_name, '')) = 'boa' OR list_contains(list_transform(aliases, lambda a: lower(a)), 'boa')")
+def institution_search_official(v):
+    return w.search_colleges(named(v), "Boa").select("id", "name")
+
+
+@query(f"SELECT d.id, d.name FROM {{v_dorm}} d JOIN ({NAMED}) k ON d.college_id = k.id WHERE (lower(d.name) LIKE '%ge-1%' OR lower(k.name) LIKE '%ge-1%' OR len(list_filter(aliases, lambda a: lower(a) LIKE '%ge-1%')) > 0) AND freshman")
+def hall_search_aliases(v):
+    own = named(v).select(c("id").alias("college_id"), c("name").alias("college_name"), "aliases")
+    return w.search_halls(v("v_dorm").join(own, "college_id"), q="ge-1", freshman=True).select("id", "name")
+
+
+@query("SELECT j.id, j.status, CAST(rn AS INTEGER) AS rn, n AS log_id, flag AS level FROM (SELECT * FROM {v_job} ORDER BY created_at DESC, id LIMIT 30) j LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, n, flag) AS rn FROM {v_review}) l ON l.user_id = j.id AND rn <= 5")
+def recent_jobs(v):
+    logs = v("v_review").select(c("user_id").alias("job_id"), c("n").alias("id"), c("flag").alias("level"), c("created_at").alias("ts"))
+    return w.recent_jobs(v("v_job"), logs).select("id", "status", "rn", "log_id", "level")
+
+
 @query("SELECT id, name FROM {v_college} WHERE lower(name) LIKE 'a1%' OR lower(coalesce(short_name, '')) = 'a1' OR lower(alias) = 'a1'")
 def institution_search_short(v):
     return w.search_colleges(v("v_college"), "A1").select("id", "name")

@@ -91,9 +91,19 @@ def quality_report_rollup(v):
     return r.quality_report(v("v_hall"), v("v_college"))
 
 
-@query(f"SELECT count(*) AS n_halls, count(*) FILTER (WHERE is_active) AS n_active, count(*) FILTER (WHERE status = 'QUARANTINED') AS n_quarantined, count(*) FILTER (WHERE scoreable) AS n_scoreable FROM ({SCORED}) s")
+@query(f"SELECT count(*) AS n_halls, count(*) FILTER (WHERE is_active) AS n_active, count(*) FILTER (WHERE status = 'QUARANTINED') AS n_quarantined, count(*) FILTER (WHERE scoreable) AS n_scoreable, " + ", ".join(f"(SELECT count(*) FROM {{v_college}} WHERE coverage_status = '{k}') AS n_{k.lower()}" for k in ("COMPLETE", "PARTIAL", "BLOCKED")) + f" FROM ({SCORED}) s")
 def pipeline_metrics(v):
-    return r.pipeline_metrics(scored(v))
+    return r.pipeline_metrics(scored(v), v("v_college"))
+
+
+@query("SELECT id, name, state FROM {v_college} WHERE coverage_status = 'BLOCKED'")
+def blocked_institutions(v):
+    return r.blocked_colleges(v("v_college"))
+
+
+@query("SELECT status, count(*) AS n FROM {v_checkpoint} GROUP BY status")
+def checkpoint_counts(v):
+    return r.checkpoint_counts(v("v_checkpoint"))
 
 
 @query(f"SELECT k.id, k.name, latitude, longitude, count(d.id) AS n_halls, {cents('avg(CASE WHEN is_active THEN yearly_cost END)')} AS avg_cost FROM {{v_college}} k LEFT JOIN {{v_dorm}} d ON d.college_id = k.id WHERE latitude IS NOT NULL AND longitude IS NOT NULL GROUP BY k.id, k.name, latitude, longitude ORDER BY k.name, k.id LIMIT 2000")
