@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scores
+from ..functions import preferences, scores
 from ..functions.preferences import dimensions
 from ..operators import matching as m
 from .base import clamped, query, rnd
@@ -199,3 +199,54 @@ def compare_neighbours(v):
     halls = scored(v)
     pairs = halls.select(c("id").alias("a_id"), (c("id") + 1).alias("b_id"))
     return m.compare_pair(pairs, halls)
+
+
+def _flag(x: str, yes: float, no: float) -> str:
+    return f"CASE WHEN {x} THEN {yes}e0 WHEN NOT {x} THEN {no}e0 END"
+
+
+def _near(x: str) -> str:
+    return f"CASE WHEN {x} >= 0 THEN {clamped(f'(1e0 - {x} / 1200e0) * 100e0')} END"
+
+
+def _mean(*parts: str) -> str:
+    return "(" + " + ".join(f"coalesce({p}, 0e0)" for p in parts) + ") / nullif(" + " + ".join(f"CAST(({p}) IS NOT NULL AS INTEGER)" for p in parts) + ", 0)"
+
+
+_LARGE = clamped("(coalesce(building_capacity, resident_count) - 50) / 750e0 * 100e0")
+_HALL = "CASE WHEN dorm_type IN ('RESIDENCE_HALL', 'MIXED', 'FRESHMAN_ONLY') THEN 100e0 ELSE 0e0 END"
+_APARTMENT = "(dorm_type LIKE '%APARTMENT%' OR dorm_type LIKE '%TOWNHOUSE%')"
+_QUALITY = f"coalesce({RATING('overall_satisfaction')}, {RATING('(CASE WHEN overall_rating > 10 THEN overall_rating / 10e0 ELSE overall_rating END)')})"
+#: Dimensions that profiles seldom weigh.
+RARE = {
+    "roomSpaciousness": f"coalesce({RATING('spaciousness')}, {RATING('room_spaciousness')})",
+    "storage": f"coalesce({RATING('storage_rating')}, {_flag('has_storage', 75, 25)})",
+    "renovatedNewer": f"coalesce({_flag('is_renovated', 90, 35)}, CASE WHEN 2026 - renovation_year <= 5 THEN 95e0 WHEN 2026 - renovation_year <= 10 THEN 80e0 WHEN 2026 - renovation_year <= 20 THEN 55e0 WHEN renovation_year IS NOT NULL THEN 30e0 END, CASE WHEN building_age <= 10 THEN 85e0 WHEN building_age <= 25 THEN 55e0 WHEN building_age IS NOT NULL THEN 30e0 END)",
+    "studyEnvironment": _mean(_flag("study_lounges", 100, 20), RATING("quiet")),
+    "communityAtmosphere": f"coalesce({RATING('community')}, {RATING('social')})",
+    "suiteStyle": "CASE WHEN dorm_type LIKE '%SUITE%' THEN 100e0 ELSE 0e0 END",
+    "apartmentStyle": _flag(_APARTMENT, 100, 0),
+    "corridorStyle": _HALL,
+    "traditionalDormExperience": f"CASE WHEN {BATH} = 'COMMUNAL' THEN {clamped(f'({_HALL}) + 15e0')} ELSE {_HALL} END",
+    "apartmentIndependence": _mean(_flag(_APARTMENT, 100, 20), _flag("kitchen", 100, 30)),
+    "proximityGym": _near("gym_m"),
+    "location": _mean(_near("dining_m"), _near("class_m"), _near("gym_m")),
+    "buildingSizeLarge": _LARGE,
+    "buildingSizeSmall": f"100e0 - ({_LARGE})",
+    "overallSatisfaction": f"coalesce({RATING('overall_satisfaction')}, CASE WHEN overall_rating <= 10 THEN {RATING('overall_rating')} ELSE overall_rating END)",
+    "value": f"CASE WHEN ({DIMS['affordability']}) IS NULL THEN {_QUALITY} WHEN {_QUALITY} IS NULL THEN {DIMS['affordability']} ELSE {clamped(f'({DIMS["affordability"]}) * 0.55e0 + ({_QUALITY}) * 0.45e0')} END",
+    "genderInclusive": _flag("gender_inclusive", 100, 0),
+    "substanceFree": _flag("substance_free", 100, 0),
+    "upperclassFriendly": _flag("upperclass", 100, 0),
+    "elevator": _flag("elevator", 100, 0),
+    "kitchens": _flag("kitchen", 100, 0),
+}
+
+
+@query("SELECT id, " + ", ".join(f'floor(({x}) * 1e6 + 0.5e0) / 1e6 AS "{k}"' for k, x in RARE.items()) + " FROM {v_evidence}")
+def hall_dimensions(v):
+    """Every hall by dimensions that profiles seldom weigh."""
+    halls = v("v_evidence")
+    halls = halls.withColumns({k: F.lit(None).cast(t) for k, t in preferences.EVIDENCE.items() if k not in halls.columns})
+    of = {d.id: d.score(preferences.Options()) for d in preferences.dimensions()}
+    return halls.select("id", *[(F.floor(of[k] * 1e6 + 0.5) / 1e6).alias(k) for k in RARE])

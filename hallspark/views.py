@@ -67,6 +67,11 @@ VIEWS: dict[str, str] = {
     "v_cost_avg": "SELECT college_id, floor(avg(yearly_cost) * 100 + 0.5e0) / 100e0 AS avg_cost FROM {v_dorm} GROUP BY college_id",
     "v_hall": """
         SELECT d.*, amenity_count, avg_cost FROM {v_dorm} d LEFT JOIN {v_amenity_count} a ON d.id = a.dorm_id LEFT JOIN {v_cost_avg} c ON d.college_id = c.college_id""",
+    "v_evidence": """
+        SELECT h.*, CASE WHEN id % 3 <> 0 THEN 2026 - age_days % 40 END AS renovation_year, CASE WHEN id % 4 <> 0 THEN age_days % 60 END AS building_age, CASE age_days % 5 WHEN 0 THEN true WHEN 1 THEN false END AS is_renovated,
+            CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN confidence * 100e0 ELSE confidence * 10e0 END AS overall_rating, CASE WHEN id % 7 > 3 THEN cleanliness END AS overall_satisfaction, CASE WHEN id % 2 = 0 THEN cleanliness END AS spaciousness, privacy AS room_spaciousness,
+            CASE WHEN id % 3 = 1 THEN social END AS storage_rating, elevator AS has_storage, lounge AS study_lounges, CASE WHEN id % 2 = 1 THEN quiet END AS community, CASE WHEN id % 3 = 0 THEN age_days END AS building_capacity, CASE WHEN id % 4 <> 0 THEN age_days * 2 END AS resident_count
+        FROM {v_hall} h""",
     "v_review": """
         SELECT l_partkey AS dorm_id, l_orderkey AS user_id, l_linenumber AS n, CAST(l_quantity AS INTEGER) % 5 + 1 AS rating, l_shipdate AS created_at,
             CASE l_linestatus WHEN 'O' THEN 'APPROVED' ELSE 'PENDING' END AS status, l_extendedprice AS price, l_tax AS tax, l_suppkey AS s, l_discount AS disc, l_returnflag AS flag
