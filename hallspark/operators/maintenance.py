@@ -211,6 +211,19 @@ def checkpoint_after_crawl(decided: DataFrame) -> DataFrame:
     return decided.select("college_id", "coverage", F.when(done, "complete").when(c("coverage") == "PARTIAL", "inventory").otherwise("discovery").alias("stage"), F.when(done, "COMPLETED").when(c("coverage") == "BLOCKED", "BLOCKED").when(c("coverage") == "RETRYABLE", "RETRYABLE").otherwise("PARTIAL").alias("status"))
 
 
+def crawl_outcomes(decided: DataFrame) -> DataFrame:
+    """What a crawl leaves in checkpoint and institution: decided rows have college_id, coverage, blocked, n_unique, site_found and directory_sources.
+
+    Halls found make an inventory success, a site or directory found a discovery success; each renews its time where
+    ``renews_`` says so. The failure class is ``access_restricted`` of a blocked crawl, else ``empty_extraction`` of one without halls."""
+    inventory, discovery = c("n_unique") > 0, c("site_found") | (c("directory_sources") > 0)
+    complete = c("coverage") == "COMPLETE"
+    stage = F.when(complete, "complete").when(inventory, "enrich").when(discovery, "directory").otherwise("discover")
+    status = F.when(c("coverage").isin("BLOCKED", "RETRYABLE"), c("coverage")).when(complete, "COMPLETED").when(inventory, "PARTIAL").otherwise("RETRYABLE")
+    failure = F.when(c("blocked"), "access_restricted").when(~inventory, "empty_extraction")
+    return decided.select("college_id", "coverage", stage.alias("stage"), status.alias("status"), failure.alias("failure_class"), inventory.alias("renews_inventory"), discovery.alias("renews_discovery"), F.when(inventory, True).otherwise(c("has_housing")).alias("has_housing"), complete.alias("directory_exhausted"))
+
+
 def match_institutions(incoming: DataFrame, colleges: DataFrame) -> DataFrame:
     """The stored institution of each incoming one (ipeds_id, name, slug): by ipeds id, else by slug unless that belongs to another ipeds id."""
     by_id = colleges.where("ipeds_id IS NOT NULL").select("ipeds_id", c("id").alias("id_by_ipeds"))

@@ -11,7 +11,7 @@ from ..operators import resolution as o
 from ..plans.jobs import recompute_scores
 from .base import query
 from .matching import PARTS, SCORED
-from .reporting import DECIDED, counters
+from .reporting import DECIDED, RUN_COVERAGE, counters, run_counters, run_counts
 from .resolving import PAIRS
 
 c = F.col
@@ -260,3 +260,12 @@ def recomputed_scores(v):
     """All scores from the bridges: amenities are counted and the institution's average taken anew."""
     scored = recompute_scores(v("v_dorm"), v("v_room"), v("v_amenity"))
     return scored.select("id", "overall_score", "scoreable", "score_completeness", "data_confidence", *[f"{k}_score" for k in PARTS])
+
+
+@query(f"""SELECT college_id, coverage, CASE WHEN coverage = 'COMPLETE' THEN 'complete' WHEN found THEN 'enrich' WHEN seen THEN 'directory' ELSE 'discover' END AS stage, CASE WHEN coverage IN ('BLOCKED', 'RETRYABLE') THEN coverage WHEN coverage = 'COMPLETE' THEN 'COMPLETED' WHEN found THEN 'PARTIAL' ELSE 'RETRYABLE' END AS status,
+        CASE WHEN blocked THEN 'access_restricted' WHEN NOT found THEN 'empty_extraction' END AS failure_class, found AS renews_inventory, seen AS renews_discovery, found OR has_housing AS has_housing, coverage = 'COMPLETE' AS directory_exhausted
+    FROM (SELECT g.id AS college_id, d.coverage, coalesce(n_unique, 0) > 0 AS found, coalesce(housing_url <> '', false) OR coalesce(n_housing, 0) > 0 OR coalesce(n_directory, 0) > 0 AS seen, coalesce(blocked, false) AS blocked, has_housing
+        FROM {{v_college}} g JOIN ({RUN_COVERAGE}) d ON d.college_id = g.id LEFT JOIN ({run_counts("college_id")}) t ON t.college_id = g.id) x""")
+def crawl_outcomes(v):
+    colleges = v("v_college").select("id", "has_housing", "housing_url", (c("population") % 40).alias("published"))
+    return t.crawl_outcomes(r.decide_run_coverage(colleges, run_counters(v)))

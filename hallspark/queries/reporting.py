@@ -189,8 +189,11 @@ def crawl_run_summary(v):
     return run_counters(v).where("is_total").drop("is_total", "college_id", "blocked", "hit_budget")
 
 
-@query(f"""SELECT g.id AS college_id, CASE WHEN NOT has_housing THEN 'NO_HOUSING' WHEN coalesce(blocked, false) THEN 'BLOCKED' WHEN coalesce(n_unique, 0) = 0 AND coalesce(n_created + n_updated, 0) = 0 THEN CASE WHEN coalesce(housing_url <> '', false) OR coalesce(n_housing, 0) > 0 OR coalesce(n_directory, 0) > 0 THEN 'SITE_FOUND' ELSE 'RETRYABLE' END
-    WHEN coalesce(n_directory, 0) > 0 AND n_unresolved = 0 AND NOT hit_budget AND n_unique >= 1 AND (population IS NULL OR (population % 40 > 0 AND abs(n_unique - population % 40) / CAST(population % 40 AS DOUBLE) <= 0.2e0)) THEN 'COMPLETE' ELSE 'PARTIAL' END AS coverage FROM {{v_college}} g LEFT JOIN ({run_counts("college_id")}) t ON t.college_id = g.id""")
+RUN_COVERAGE = f"""SELECT g.id AS college_id, CASE WHEN NOT has_housing THEN 'NO_HOUSING' WHEN coalesce(blocked, false) THEN 'BLOCKED' WHEN coalesce(n_unique, 0) = 0 AND coalesce(n_created + n_updated, 0) = 0 THEN CASE WHEN coalesce(housing_url <> '', false) OR coalesce(n_housing, 0) > 0 OR coalesce(n_directory, 0) > 0 THEN 'SITE_FOUND' ELSE 'RETRYABLE' END
+    WHEN coalesce(n_directory, 0) > 0 AND n_unresolved = 0 AND NOT hit_budget AND n_unique >= 1 AND (population IS NULL OR (population % 40 > 0 AND abs(n_unique - population % 40) / CAST(population % 40 AS DOUBLE) <= 0.2e0)) THEN 'COMPLETE' ELSE 'PARTIAL' END AS coverage FROM {{v_college}} g LEFT JOIN ({run_counts("college_id")}) t ON t.college_id = g.id"""
+
+
+@query(RUN_COVERAGE)
 def coverage_of_runs(v):
     colleges = v("v_college").select("id", "has_housing", "housing_url", (c("population") % 40).alias("published"))
     return r.decide_run_coverage(colleges, run_counters(v)).select("college_id", "coverage")
