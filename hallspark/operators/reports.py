@@ -134,13 +134,22 @@ def quality_report(halls: DataFrame, colleges: DataFrame, stale_days: int = 180)
     return rows.groupingSets([["college_id"], ["state"]], "college_id", "state").agg(*aggregates)
 
 
-def junk_report(candidates: DataFrame, samples: int = 3, top: int = 20, by: str = "reason") -> DataFrame:
-    """Junk by reason, or by another column such as the institution, with the first names of each; the names come by rank, so no group is gathered whole."""
+#: Parts of a group of names, each ranked by itself: a group as large as the table is sorted by as many tasks.
+NAME_PARTS = 256
+
+
+def junk_report(candidates: DataFrame, samples: int = 3, top: int = 20, by: str = "reason", times: str | None = None) -> DataFrame:
+    """Junk by reason, or by another column such as the institution, with the first names of each. ``times`` is a column that says for how many rows a row stands.
+
+    One pass: rows are counted by name, names are ranked in parts of their group, and each part hands on its count and its first names only, so no group is gathered or sorted whole."""
     from pyspark.sql import Window
 
-    ranked = candidates.select(by, "name").distinct().withColumn("k", F.row_number().over(Window.partitionBy(by).orderBy("name"))).where(c("k") <= samples)
-    names = ranked.groupBy(by).agg(F.array_join(F.array_sort(F.collect_list("name")), "; ").alias("samples"))
-    return candidates.groupBy(by).agg(F.count("*").alias("n")).join(names, by).orderBy(F.desc("n"), by).limit(top)
+    one = F.sum(times) if times else F.count("*")
+    part = F.pmod(F.hash("name"), F.lit(NAME_PARTS)).alias("part")
+    ranked = candidates.groupBy(by, part, "name").agg(one.alias("n")).withColumn("k", F.row_number().over(Window.partitionBy(by, "part").orderBy(c("name").asc_nulls_last())))
+    first = F.collect_list(F.when(c("k") <= samples, c("name")))
+    out = ranked.groupBy(by).agg(F.sum("n").alias("n"), F.array_join(F.slice(F.array_sort(first), 1, samples), "; ").alias("samples"))
+    return out.where(c(by).isNotNull()).orderBy(F.desc("n"), by).limit(top)
 
 
 def pipeline_metrics(scored: DataFrame, colleges: DataFrame | None = None) -> DataFrame:

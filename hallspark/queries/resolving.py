@@ -211,21 +211,23 @@ def _sampled(by: str, rows: str, samples: int, top: int) -> str:
         JOIN (SELECT {by}, string_agg(name, '; ' ORDER BY name) AS samples FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY name) AS k FROM (SELECT DISTINCT {by}, name FROM ({rows}) b WHERE reason IS NOT NULL) d) e WHERE k <= {samples} GROUP BY {by}) s ON s.{by} = n.{by} ORDER BY n DESC, n.{by} LIMIT {top}"""
 
 
-def junk_lines(v):
-    return named_lines(v).withColumn("reason", names.assess_name(c("name"))).where("reason IS NOT NULL")
+def junk_lines(lines, *keys):
+    """Junk among lines with the number of times that each occurs: lines are counted first, so a rule reads a line once, in the tasks of the shuffle."""
+    counted = lines.groupBy(*keys, "name").agg(F.count("*").alias("times"))
+    return counted.withColumn("reason", F.explode(F.array(names.assess_name(c("name"))))).where("reason IS NOT NULL")
 
 
 @query(_sampled("reason", NAMED_JUNK, 3, 20))
 def junk_report(v):
-    return r.junk_report(junk_lines(v))
+    return r.junk_report(junk_lines(named_lines(v)), times="times")
 
 
 @query(_sampled("college_id", f"SELECT *, id % (SELECT count(*) FROM {{supplier}}) AS college_id FROM ({NAMED_JUNK}) j", 8, 50))
 def junk_report_by_institution(v):
     """As pages do, texts belong to institutions by their number."""
     ns = v("supplier").agg(F.count("*").alias("ns"))
-    rows = junk_lines(v).crossJoin(F.broadcast(ns)).withColumn("college_id", c("id") % c("ns"))
-    return r.junk_report(rows, 8, 50, "college_id")
+    lines = named_lines(v).crossJoin(F.broadcast(ns)).withColumn("college_id", c("id") % c("ns"))
+    return r.junk_report(junk_lines(lines, "college_id"), 8, 50, "college_id", times="times")
 
 
 @query("SELECT id, 'nav_or_policy_label' AS reason FROM {v_dorm} WHERE NOT is_verified AND status NOT IN ('QUARANTINED', 'RETIRED', 'DUPLICATE') AND id % 9 = 0")

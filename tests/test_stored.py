@@ -56,3 +56,27 @@ def test_embedded_names(spark):
     script = '<script id="__NEXT_DATA__" type="application/json">[{"name": "Oak Hall"},{"name":"Oak Hall"},{"name":"Dining Hall"},{"name":"Dean"},{"name":"Elm House"}]</script>'
     pages = spark.createDataFrame([(1, script), (2, "<p>none</p>"), (3, None)], "id long, html string")
     assert {k.id: k.names for k in pages.select("id", x.embedded_names(pages.html).alias("names")).collect()} == {1: ["Oak Hall", "Elm House"], 2: [], 3: None}
+
+
+def test_junk_rules_read_a_line_once(spark):
+    from hallspark.queries import QUERIES
+
+    for name in ("junk_report", "junk_report_by_institution"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("long_non_housing_name") == 1, name  # the rules, once for distinct lines
+    rows = spark.createDataFrame([("r", f"n{k:03}", 2) for k in range(600)] + [("r", None, 1), (None, "x", 9), ("s", "z", 3)], "reason string, name string, times long")
+    assert [tuple(k) for k in r.junk_report(rows, times="times").collect()] == [("r", 1201, "n000; n001; n002"), ("s", 3, "z")]
+
+
+def test_shared_first_letters_match_the_same(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from hallspark.functions import names
+
+    for pattern in names.WORDS:
+        parts, pick = [p.strip("^$()\\b") for p in pattern.split("|")], random.Random(7)
+        rows = spark.createDataFrame([(" ".join(pick.choice(parts) + pick.choice(["", "s", " 2 ", "("]) for _ in range(2))[pick.randint(0, 1) :],) for _ in range(300)], "t string")
+        both = rows.select(F.col("t").rlike("(?i)" + pattern).alias("a"), F.col("t").rlike("(?i)" + names.by_first_letter(pattern)).alias("b")).collect()
+        assert all(k.a == k.b for k in both) and {k.a for k in both} == {True, False}
