@@ -80,3 +80,16 @@ def test_shared_first_letters_match_the_same(spark):
         rows = spark.createDataFrame([(" ".join(pick.choice(parts) + pick.choice(["", "s", " 2 ", "("]) for _ in range(2))[pick.randint(0, 1) :],) for _ in range(300)], "t string")
         both = rows.select(F.col("t").rlike("(?i)" + pattern).alias("a"), F.col("t").rlike("(?i)" + names.by_first_letter(pattern)).alias("b")).collect()
         assert all(k.a == k.b for k in both) and {k.a for k in both} == {True, False}
+
+
+def test_pages_are_handed_on_in_small_batches():
+    import pyarrow as pa
+
+    page = "<main><h2>Oak Hall</h2><a href='/floor-plan'>Floor plan</a><a href='/housing/oak'>Oak</a><p>" + "x" * 50_000 + "</p></main>"
+    batch = pa.record_batch([pa.array([*range(99), None], pa.int64()), pa.array([*["https://h.example.edu/"] * 99, None]), pa.array([*[page] * 99, None])], names=["page_id", "url", "html"])
+    out = list(x._parse(tuple(x.PARTS))(iter([batch])))
+    assert len(out) > 4 and max(b.nbytes for b in out) < 4 * x.HANDED_ON
+    rows = [row for b in out for row in b.to_pylist()]
+    assert [k["page_id"] for k in rows] == [*range(99), None] and rows[0]["candidates"][0]["name"] == "Oak Hall"
+    some = [row for b in x._parse(("image", "links"))(iter([batch])) for row in b.to_pylist()]
+    assert some == [{k: row[k] for k in ("page_id", "url", "image", "links")} for row in rows]
