@@ -33,20 +33,27 @@ def _token_blocks(named: DataFrame, every: DataFrame, threshold: float) -> DataF
     return by_rarity.select("college_id", "name", F.explode(F.slice("by_rarity", F.lit(1), prefix)).alias("t")).select("college_id", "name", F.concat(F.lit("t:"), c("t.token")).alias("key"))
 
 
-def _grams(x: Column) -> Column:
-    """All substrings of one to three characters, and the empty one."""
+def _grams(x: Column, *sizes: int) -> Column:
+    """All substrings of so many characters; the empty one is of none."""
     of = lambda q: F.when(F.length(x) >= q, F.transform(F.sequence(F.lit(1), F.length(x) - (q - 1)), lambda k: F.substring(x, k, F.lit(q)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(F.array(F.lit("")), of(1), of(2), of(3)))
+    return F.array_distinct(F.concat(*[of(q) if q else F.array(F.lit("")) for q in sizes]))
 
 
 def _containment_pairs(names: DataFrame) -> DataFrame:
-    """(college_id, inner, outer) of names (college_id, name, x), the one's x a part of the other's. A name asks for the rarest of its own three-character parts (a shorter one for itself), so only names that hold it are compared."""
-    held = names.select("college_id", c("name").alias("outer"), c("x").alias("outer_x"), F.explode(_grams(c("x"))).alias("gram"))
-    often = held.groupBy("college_id", "gram").agg(F.count("*").alias("often"))
-    asked = names.select("college_id", c("name").alias("inner"), c("x").alias("inner_x"), F.explode(F.filter(_grams(c("x")), lambda g: F.length(g) == F.least(F.length("x"), F.lit(3)))).alias("gram"))
-    rarest = asked.join(often, ["college_id", "gram"]).groupBy("college_id", "inner", "inner_x").agg(F.min(F.struct("often", "gram")).alias("r"))
-    met = rarest.select("college_id", "inner", "inner_x", c("r.gram").alias("gram")).join(held, ["college_id", "gram"])
-    return met.where((c("inner") != c("outer")) & c("outer_x").contains(c("inner_x"))).select("college_id", "inner", "outer")
+    """(college_id, inner, outer) of names (college_id, name, x), the one's x a part of the other's. A name asks for the rarest of its own three-character parts (a shorter one for itself, which only names of an institution with one are cut up for), so only names that hold it are compared.
+
+    Parts are many, so they are shuffled as two hashes, of institution and part and of institution and name. Equal hashes only make names meet; they are compared by their texts."""
+    own = names.where("college_id IS NOT NULL").select("college_id", "name", "x", F.xxhash64("college_id", "name").alias("name_hash"))
+    cut = lambda rows, *sizes: rows.select("college_id", "name_hash", F.explode(_grams(c("x"), *sizes)).alias("gram")).select(F.xxhash64("college_id", "gram").alias("part_hash"), "name_hash")
+    held, short = cut(own, 3), own.where(F.length("x") < 3)
+    often = held.groupBy("part_hash").agg(F.count("*").alias("often"))
+    rarest = held.join(often, "part_hash").groupBy("name_hash").agg(F.min(F.struct("often", "part_hash")).alias("r")).select("name_hash", c("r.part_hash").alias("part_hash"))
+    asked = rarest.unionByName(short.select("name_hash", F.xxhash64("college_id", "x").alias("part_hash")))
+    inner = asked.join(own.select("name_hash", "college_id", c("name").alias("inner"), c("x").alias("inner_x")), "name_hash").drop("name_hash")
+    beside_short = own.join(short.select("college_id").distinct(), "college_id", "left_semi")
+    met = inner.join(held, "part_hash").unionByName(inner.where(F.length("inner_x") < 3).join(cut(beside_short, 0, 1, 2), "part_hash")).drop("part_hash")
+    both = met.join(own.select("name_hash", c("college_id").alias("outer_college"), c("name").alias("outer"), c("x").alias("outer_x")), "name_hash")
+    return both.where((c("college_id") == c("outer_college")) & (c("inner") != c("outer")) & c("outer_x").contains(c("inner_x"))).select("college_id", "inner", "outer")
 
 
 def _close_names(names: DataFrame, threshold: float) -> DataFrame:

@@ -100,3 +100,14 @@ def test_hierarchy_change_set(spark):
     assert {(r.dorm_id, r.value, r.confidence, r.verified) for r in changes["provenance"].collect()} == {(2, "1", 0.75, False), (4, "3", 0.85, False)}
     assert {(r.id, r.parent_id, r.assignable) for r in resolution.with_hierarchy(halls, changes).collect()} == {(1, None, False), (2, 1, True), (3, None, True), (4, 3, True)}
     assert {r.id for r in resolution.hierarchy_change_set(halls, resolution.suggest_hierarchy(halls))["links"].collect()} == {4}
+
+
+def test_parts_of_names_are_shuffled_as_hashes(spark):
+    texts = ["", "a", "ab", "abc", "abcd", "xabc", "ba", "Ã©a", "oak", "oak tower", "the oak tower", "tower", "elm"]
+    names = spark.createDataFrame([(k, f"{t}!", t) for k in (1, 2) for t in texts if k == 1 or len(t) > 2] + [(None, "abc!", "abc")], "college_id long, name string, x string")
+    found = resolution._containment_pairs(names)
+    want = [(k, f"{a}!", f"{b}!") for k in (1, 2) for a in texts for b in texts if a != b and a in b and (k == 1 or min(len(a), len(b)) > 2)]
+    assert sorted(set(map(tuple, found.collect()))) == sorted(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    cuts = [plan[k - 1] for k, line in enumerate(plan) if "Generate explode" in line]
+    assert cuts and all("part_hash" in line and "x#" not in line.split("part_hash")[1] for line in cuts)  # no texts beside the parts
