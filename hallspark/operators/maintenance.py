@@ -127,10 +127,11 @@ def merge_counters(rows: DataFrame, merge_map: DataFrame, column: str = "dorm_id
 
 
 def merged_counters(merge_map: DataFrame, **tables: DataFrame) -> DataFrame:
-    """Rows of each table that move, by target: table, to_id, n_migrated, in one pass over the stacked tables."""
+    """Rows of each table that move, by target: table, to_id, n_migrated, in one pass over the stacked tables. Rows are counted by hall before they meet the merges, so a task sorts halls, not rows."""
     stacked = [rows.select(F.lit(name).alias("table"), "dorm_id") for name, rows in tables.items()]
-    moved = reduce(DataFrame.unionByName, stacked).join(merge_map.select(c("from_id").alias("dorm_id"), "to_id"), "dorm_id")
-    return moved.groupBy("table", "to_id").agg(F.count("*").alias("n_migrated"))
+    counted = reduce(DataFrame.unionByName, stacked).groupBy("table", "dorm_id").agg(F.count("*").alias("n"))
+    moved = counted.join(merge_map.select(c("from_id").alias("dorm_id"), "to_id"), "dorm_id")
+    return moved.groupBy("table", "to_id").agg(F.sum("n").alias("n_migrated"))
 
 
 def merge_halls(merge_map: DataFrame, halls: DataFrame, reviews: DataFrame, links: DataFrame, provenance: DataFrame, favorites: DataFrame | None = None, corrections: DataFrame | None = None) -> dict[str, DataFrame]:

@@ -111,3 +111,12 @@ def test_parts_of_names_are_shuffled_as_hashes(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     cuts = [plan[k - 1] for k, line in enumerate(plan) if "Generate explode" in line]
     assert cuts and all("part_hash" in line and "x#" not in line.split("part_hash")[1] for line in cuts)  # no texts beside the parts
+
+
+def test_rows_are_counted_before_they_meet_the_merges(spark):
+    merge_map = spark.createDataFrame([(4, 1), (3, 1), (6, 5)], "from_id long, to_id long")
+    rows = spark.createDataFrame([(4,), (4,), (3,), (6,), (1,), (None,)], "dorm_id long")
+    out = maintenance.merged_counters(merge_map, reviews=rows, links=rows.where("dorm_id = 4"))
+    assert {tuple(k) for k in out.collect()} == {("reviews", 1, 3), ("reviews", 5, 1), ("links", 1, 2)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")
+    assert len(plan) == 2 and "Aggregate [table" in plan[1]
