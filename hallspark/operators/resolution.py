@@ -10,27 +10,27 @@ from pyspark.sql import functions as F
 
 from ..functions.names import assess_name, fuzzy_name, name_form, same_form, stripped_name
 from ..functions.text import slugify
+from .maintenance import _cut
 
 c = F.col
 PARENT_KINDS = ("COMPLEX", "VILLAGE", "RESIDENTIAL_COLLEGE", "UNIT", "APARTMENT_COMMUNITY")
 CHILD_KINDS = ("BUILDING", "HOUSE", "RESIDENCE", "OTHER", "UNKNOWN")
 
 
-def _token_blocks(named: DataFrame, every: DataFrame, threshold: float) -> DataFrame:
-    """Prefix filter of the overlap bound: (college_id, name, key) for names (college_id, name, tokens); ``every`` holds the names of all sides.
+def _token_blocks(named: DataFrame, threshold: float, *own: str) -> DataFrame:
+    """Prefix filter of the overlap bound: the columns ``own`` and a ``key`` for names (``own``, tokens) of all sides; ``own`` tells names apart and holds the college_id.
 
     An institution's tokens are ordered by the number of its names that have them. Of two names whose overlap reaches
     ``threshold`` the rarest shared token lies in the prefix of both: behind it too few tokens are left to reach the
     share of the name's own. A token that a name repeats counts as often, so the institution's greatest number of
-    repeats widens its prefixes."""
-    held = every.select("college_id", F.explode(F.array_distinct("tokens")).alias("token"))
-    often = held.groupBy("college_id", "token").agg(F.count("*").alias("often"))
-    repeats = every.groupBy("college_id").agg(F.max(F.size("tokens") - F.size(F.array_distinct("tokens")) + 1).alias("repeats"))
-    own = named.select("college_id", "name", F.explode(F.array_distinct("tokens")).alias("token")).join(often, ["college_id", "token"])
-    by_rarity = own.groupBy("college_id", "name").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("by_rarity")).join(repeats, "college_id")
+    repeats widens its prefixes. Tokens are shuffled as hashes of institution and token; equal ones only make names meet."""
+    held = named.select(*own, F.explode(F.array_distinct("tokens")).alias("token")).select(*own, F.xxhash64("college_id", "token").alias("key"))
+    often = held.groupBy("key").agg(F.count("*").alias("often"))
+    repeats = named.groupBy("college_id").agg(F.max(F.size("tokens") - F.size(F.array_distinct("tokens")) + 1).alias("repeats")).where("repeats > 1")
+    by_rarity = held.join(often, "key").groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("often", "key"))).alias("by_rarity")).join(repeats, "college_id", "left")
     n = F.size("by_rarity")
-    prefix = F.least(n, (F.floor(n - F.lit(threshold) * n / c("repeats") + F.lit(1e-9)) + 1).cast("int"))
-    return by_rarity.select("college_id", "name", F.explode(F.slice("by_rarity", F.lit(1), prefix)).alias("t")).select("college_id", "name", F.concat(F.lit("t:"), c("t.token")).alias("key"))
+    prefix = F.least(n, (F.floor(n - F.lit(threshold) * n / F.coalesce("repeats", F.lit(1)) + F.lit(1e-9)) + 1).cast("int"))
+    return by_rarity.select(*own, F.explode(F.slice("by_rarity", F.lit(1), prefix)).alias("t")).select(*own, c("t.key").alias("key"))
 
 
 def _grams(x: Column, *sizes: int) -> Column:
@@ -59,7 +59,7 @@ def _containment_pairs(names: DataFrame) -> DataFrame:
 def _close_names(names: DataFrame, threshold: float) -> DataFrame:
     """Pairs (college_id, name_a <= name_b) of an institution's distinct names that may reach ``threshold``: equal forms, a name within the other (a similarity of 0.85) or enough shared tokens."""
     formed = names.withColumn("x", stripped_name(c("name"))).withColumn("tokens", F.split("x", r"\s+"))
-    keys = formed.select("college_id", "name", F.concat(F.lit("x:"), c("x")).alias("key")).unionByName(_token_blocks(formed, formed, threshold))
+    keys = formed.select("college_id", "name", F.xxhash64("college_id", F.lit("x:"), "x").alias("key")).unionByName(_token_blocks(formed.select("college_id", "name", "tokens"), threshold, "college_id", "name"))
     met = keys.select("college_id", "key", c("name").alias("name_a")).join(keys.select("college_id", "key", c("name").alias("name_b")), ["college_id", "key"]).where("name_a < name_b").select("college_id", "name_a", "name_b")
     if threshold <= 0.85:
         parts = _containment_pairs(formed)
@@ -102,21 +102,26 @@ def top_duplicates(pairs: DataFrame, n: int = 30) -> DataFrame:
 def same_names(asked: DataFrame, known: DataFrame, or_equal: bool = False) -> DataFrame:
     """(college_id, name, hall_name): names of ``asked`` (college_id, name) and names of ``known`` (college_id, hall_name) that surely mean one entity; with ``or_equal`` also those equal but for case.
 
-    Names meet by equal normal forms, equal bases with equal numbers and directions, equal stripped names, or a shared
-    token of their prefixes at the overlap that the rule asks for; what meets is verified."""
-    # grouped with their forms, so that a form is computed once a name and shuffled, never inlined into what uses it
-    left = asked.withColumn("form", name_form(c("name"))).distinct()
-    right = known.select("college_id", c("hall_name").alias("name")).withColumn("form", name_form(c("name"))).distinct()
-
-    def keys(side: DataFrame, every: DataFrame) -> DataFrame:
-        equal = [F.concat(F.lit("n:"), c("form.norm")), F.concat(F.lit("s:"), c("form.stripped")), F.concat(F.lit("l:"), F.lower("name")), F.concat_ws("|", F.lit("b:"), c("form.numbers"), c("form.turned").cast("string"), c("form.base"))]
-        return side.select("college_id", "name", F.explode(F.array(*equal)).alias("key")).unionByName(_token_blocks(side.select("college_id", "name", c("form.tokens").alias("tokens")), every, 0.92))
-
-    every = left.unionByName(right).select("college_id", c("form.tokens").alias("tokens"))
-    met = keys(left, every).join(keys(right, every).withColumnRenamed("name", "hall_name"), ["college_id", "key"]).select("college_id", "name", "hall_name").distinct()
-    formed = met.join(left, ["college_id", "name"]).join(right.select("college_id", c("name").alias("hall_name"), c("form").alias("hall_form")), ["college_id", "hall_name"])
+    Names meet by equal normal forms, equal bases with equal numbers and directions, or a shared token of their prefixes
+    at the overlap that the rule asks for; what meets is verified. The distinct names of both sides are formed once, after
+    they are grouped, and written with an id; the keys by which they meet are hashes and ids, written too, so neither
+    side is computed again for what uses it."""
+    sides = asked.select("college_id", "name", F.lit(True).alias("asks"), F.lit(False).alias("known")).unionByName(known.select("college_id", c("hall_name").alias("name"), F.lit(False).alias("asks"), F.lit(True).alias("known")))
+    names = sides.where("college_id IS NOT NULL AND name IS NOT NULL").groupBy("college_id", "name").agg(F.bool_or("asks").alias("asks"), F.bool_or("known").alias("known"))
+    formed = _cut(names.withColumn("form", name_form(c("name"))).withColumn("name_id", F.monotonically_increasing_id()))
+    # names without a normal form mean no entity, and names equal but for case have one normal form
+    told, own = c("form.norm") != "", ("college_id", "name_id", "asks", "known", "alike")
+    key = lambda kind, *of: F.xxhash64("college_id", F.lit(kind), *of)
+    numbered = (c("form.numbers") != "") & (c("form.base") != "")
+    equal = [F.when(told, key("n:", "form.norm")), F.when(told & numbered, key("b:", "form.numbers", "form.turned", "form.base")), F.when(~told & F.lit(or_equal), key("l:", F.lower("name")))]
+    ids = formed.select("name_id", "asks", "known", F.explode(F.array_compact(F.array(*equal))).alias("key"))
+    tokens = _token_blocks(formed.where(told).select(*own[:4], F.xxhash64("form.numbers", "form.turned").alias("alike"), c("form.tokens").alias("tokens")), 0.92, *own)
+    keys = _cut(ids.unionByName(tokens.select("name_id", "asks", "known", F.xxhash64("key", "alike").alias("key"))))
+    met = keys.where("asks").select("key", "name_id").join(keys.where("known").select("key", c("name_id").alias("hall_name_id")), "key").select("name_id", "hall_name_id").distinct()
+    halls = formed.where("known").select(c("name_id").alias("hall_name_id"), c("college_id").alias("hall_college"), c("name").alias("hall_name"), c("form").alias("hall_form"))
+    both = met.join(formed.where("asks").select("name_id", "college_id", "name", "form"), "name_id").join(halls, "hall_name_id").where("college_id = hall_college")
     same = same_form(c("form"), c("hall_form"))
-    return formed.where(same | (F.lit(or_equal) & (F.lower("name") == F.lower("hall_name")))).select("college_id", "name", "hall_name")
+    return both.where(same | (F.lit(or_equal) & (F.lower("name") == F.lower("hall_name")))).select("college_id", "name", "hall_name")
 
 
 def _usable(name: str) -> Column:
@@ -161,11 +166,13 @@ def resolve_parents(candidates: DataFrame, halls: DataFrame) -> DataFrame:
     a child the first candidate's that is resolved counts. Children that have a parent keep it. Columns: hall_id or
     created_id, the candidate_id whose hint it was, parent_id (stored) or parent_created_id."""
     kinds = dict(candidates.dtypes)["candidate_id"], dict(halls.dtypes)["id"]
-    made = candidates.where(c("hall_id").isNull() & _usable("candidate_name")).withColumn("slug", slugify(F.trim("candidate_name")))
+    # written once with their slugs, as children, owners and those made first all start from them
+    rows = _cut(candidates.select("candidate_id", "college_id", "candidate_name", "parent_hint", "hall_id", F.when(c("hall_id").isNull() & _usable("candidate_name"), slugify(F.trim("candidate_name"))).alias("slug")))
+    made = rows.where("slug IS NOT NULL")
     first_made = made.groupBy("college_id", "slug").agg(F.min("candidate_id").alias("created_id"))
     fresh = made.join(first_made, ["college_id", "slug"]).drop("slug")
     parentless = halls.where("parent_id IS NULL").select(c("id").alias("hall_id"))
-    stored = candidates.where("hall_id IS NOT NULL").join(parentless, "hall_id", "left_semi").withColumn("created_id", F.lit(None).cast(kinds[0]))
+    stored = rows.where("hall_id IS NOT NULL").drop("slug").join(parentless, "hall_id", "left_semi").withColumn("created_id", F.lit(None).cast(kinds[0]))
     children = stored.unionByName(fresh).withColumn("name", F.trim("parent_hint")).where(F.coalesce(c("name") != "", F.lit(False)))
     owners = halls.where("name IS NOT NULL").select("college_id", c("name").alias("hall_name"), c("id").alias("known_id"), F.lit(None).cast(kinds[0]).alias("known_created"))
     owners = owners.unionByName(fresh.select("college_id", F.trim("candidate_name").alias("hall_name"), F.lit(None).cast(kinds[1]).alias("known_id"), c("created_id").alias("known_created")).distinct())
