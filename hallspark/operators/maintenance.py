@@ -111,13 +111,20 @@ def merge_closure(merge_map: DataFrame) -> DataFrame:
     return current.join(current.select(c("from_id").alias("to_id")), "to_id", "left_anti").select("from_id", "to_id")
 
 
+#: Rows that are ranked are shuffled into at least so many parts, as a task sorts the whole of one.
+RANKED_PARTS = 192
+
+
 def remap(rows: DataFrame, merge_map: DataFrame, column: str = "dorm_id", unique: list[str] | None = None) -> DataFrame:
-    """Rows moved to the hall that theirs merges into; of rows that then have equal ``unique`` columns the target's own stays, else that of the least hall."""
-    m = merge_map.select(c("from_id").alias("__from"), c("to_id").alias("__to"))
+    """Rows moved to the hall that theirs merges into; of rows that then have equal ``unique`` columns the target's own stays, else that of the least hall.
+
+    A task holds its part of the merges, which are fewer than the rows, and rows stream past it unsorted; only ranking sorts them, once, after their shuffle."""
+    m = merge_map.select(c("from_id").alias("__from"), c("to_id").alias("__to")).hint("shuffle_hash")
     moved = rows.join(m, c(column) == c("__from"), "left").withColumn(column, F.coalesce("__to", column))
     if unique:
+        parts = max(RANKED_PARTS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         nth = F.row_number().over(Window.partitionBy(*unique).orderBy(c("__from").asc_nulls_first()))
-        moved = moved.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
+        moved = moved.drop("__to").repartition(parts, *unique).withColumn("__nth", nth).where("__nth = 1").drop("__nth")
     return moved.drop("__from", "__to")
 
 

@@ -66,7 +66,8 @@ def chains(v):
 
 
 def chained(v):
-    favorites = v("v_review").select("user_id", "dorm_id", F.concat(F.lit("note "), c("dorm_id").cast("string")).alias("notes")).distinct()
+    # a user's favorites of one hall are equal rows, of which merging keeps one
+    favorites = v("v_review").select("user_id", "dorm_id", F.concat(F.lit("note "), c("dorm_id").cast("string")).alias("notes"))
     corrections = v("v_review").where("flag = 'R'").select("dorm_id", "user_id", "n")
     return t.merge_halls(chains(v), v("v_dorm"), v("v_review"), v("v_dorm_source"), v("v_provenance"), favorites, corrections)
 

@@ -135,3 +135,20 @@ def test_names_are_formed_once(halls, or_equal):
     parents = resolution.resolve_parents(candidates, halls.withColumn("parent_id", F.lit(None).cast("long")))
     for out in (found, parents):  # what uses the names and candidates reads them as written
         assert "[^a-z0-9]+" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_are_sorted_only_in_the_parts_in_which_they_are_ranked(spark):
+    merge_map = spark.createDataFrame([(4, 1), (3, 1), (6, 5)], "from_id long, to_id long")
+    rows = spark.createDataFrame([(4, 1, "four"), (4, 1, "four"), (3, 1, "three"), (3, 2, "three"), (4, 2, "four"), (1, 2, "own"), (6, None, "six"), (None, 1, "none"), (8, 1, "else")], "dorm_id long, user_id long, notes string")
+    out = maintenance.remap(rows, merge_map, unique=["user_id", "dorm_id"])
+    plan = out._jdf.queryExecution().executedPlan().toString()  # as planned, before it runs
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("WindowGroupLimit") <= 1
+    assert plan.count(" Sort [") == 1 and "hashpartitioning(user_id#" in plan and f", {maintenance.RANKED_PARTS})" in plan
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, [(1, 1, "three"), (1, 2, "own"), (5, None, "six"), (None, 1, "none"), (8, 1, "else")]))
+
+
+def test_favorites_meet_the_merges_as_read(spark):
+    from hallspark.queries import QUERIES
+
+    plan = QUERIES["merged_chain_favorites"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("l_partkey") >= 1
