@@ -139,12 +139,10 @@ def frontier_plan(urls: DataFrame, max_pages: int = 18, max_depth: int = 3, leas
     return planned.withColumn("rank", rank).withColumns({"visited": c("rank") <= max_pages, "unresolved": (c("rank") > max_pages) & (c("priority") >= least_unresolved)})
 
 
-def accept_once(candidates: DataFrame, max_ok: int = 120, max_rejected: int = 80) -> DataFrame:
-    """A name is accepted once a page, whatever its case; all later candidates of an accepted name are skipped, rejected ones before it count. Candidates: page_id, position, name, accepted."""
+def accept_once(candidates: DataFrame) -> DataFrame:
+    """A name is accepted once a page, whatever its case; all later candidates of an accepted name are skipped, rejected ones before it count. All others stay, however many a page has. Candidates: page_id, position, name, accepted."""
     accepted_at = F.min(F.when(c("accepted"), c("position"))).over(Window.partitionBy("page_id", F.lower("name")))
-    fresh = candidates.withColumn("accepted_at", accepted_at).where(c("accepted_at").isNull() | (c("position") <= c("accepted_at")))
-    nth = F.row_number().over(Window.partitionBy("page_id", "accepted").orderBy("position"))
-    return fresh.withColumn("nth", nth).where(c("nth") <= F.when(c("accepted"), max_ok).otherwise(max_rejected)).drop("accepted_at", "nth")
+    return candidates.withColumn("accepted_at", accepted_at).where(c("accepted_at").isNull() | (c("position") <= c("accepted_at"))).drop("accepted_at")
 
 
 def prefer_enrollment(targets: DataFrame, least: int) -> DataFrame:

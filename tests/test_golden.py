@@ -274,6 +274,15 @@ def test_accepted_names_block_later_ones(spark):
     assert sorted(r.position for r in out.collect()) == [0, 1, 4]
 
 
+def test_pages_keep_all_their_candidates(spark):
+    """125 accepted and 85 rejected names on one page, with copies of the accepted ones behind them."""
+    cards = [f'<div class="card"><h3>{name}</h3><p>Double rooms.</p></div>' for name in [*(f"Oak {k} Hall" for k in range(125)), *(f"Oak {k} Dining Hall" for k in range(85)), *(f"OAK {k} HALL" for k in range(125))]]
+    pages = spark.createDataFrame([(1, "https://www.example.edu/housing/residence-halls/", f"<main>{''.join(cards)}</main>"), (2, "https://www.example.edu/housing/", f"<main>{''.join(cards[:3])}</main>")], "page_id long, url string, html string")
+    cards_of = {(r.page_id, r.position): (r.name, r.accepted) for r in windows.accept_once(extraction.extract(pages).where("structural_role = 'card_title'")).collect()}
+    want = {(1, k): (f"Oak {k} Hall", True) for k in range(125)} | {(1, 125 + k): (f"Oak {k} Dining Hall", False) for k in range(85)}
+    assert cards_of == want | {(2, k): (f"Oak {k} Hall", True) for k in range(3)}
+
+
 def test_topk_keeps_k_rows_before_the_shuffle(spark):
     from hallspark.queries import QUERIES
 
