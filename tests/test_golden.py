@@ -283,6 +283,40 @@ def test_pages_keep_all_their_candidates(spark):
     assert cards_of == want | {(2, k): (f"Oak {k} Hall", True) for k in range(3)}
 
 
+def test_long_texts_are_judged_whole(spark):
+    """What speaks for a candidate, or against it, may stand far behind its name; a name, behind many blanks; a link's word, at its end."""
+    cards = [f'<div class="card"><h3>{name}</h3><p>{"Nothing. " * 3000}{end}</p></div>' for name, end in (("Casa Italiana", "Double rooms"), ("Maison Rouge", "Doubled rooms"), ("Haus Mitte", "Laundry; how to apply"))]
+    blanks = f'<div class="card"><h3>{" " * 200_000}<b>Oak Hall</b></h3></div>'
+    link = f'<p><a href="/x">{"Nothing. " * 3000} dorm</a></p>'
+    pages = spark.createDataFrame([(1, "https://www.example.edu/housing/", f"<main>{''.join(cards)}{blanks}{link}</main>")], "page_id long, url string, html string")
+    rows = windows.accept_once(extraction.extract(pages)).collect()
+    assert {r.name: r.accepted for r in rows if r.structural_role == "card_title"} == {"Casa Italiana": True, "Maison Rouge": False, "Haus Mitte": True, "Oak Hall": True}
+    assert {r.name: round(r.score_confidence, 2) for r in rows if r.accepted and r.name in ("Casa Italiana", "Haus Mitte")} == {"Casa Italiana": 0.9, "Haus Mitte": 0.75}
+    assert len([r for r in rows if r.structural_role == "link"]) == 1
+
+
+def test_texts_of_elements_say_what_they_say_alone(monkeypatch):
+    """Against a search of each element's own text, on random markup, with words that touch its ends."""
+    import random
+
+    monkeypatch.setattr(extraction, "LONGEST_TEXT", 3)
+    monkeypatch.setattr(extraction, "LONGEST_PHRASE", 24)
+    rng, said = random.Random(5), 0
+    words = ("double", "Suites", "s", "x", "hall", "residence hall", "residence", "how to apply", "deadlines", "dead", "mini-suites", "on campus housing option", "housing option", "terms and", "conditions", "  ", "\n", "é", "first", "-year")
+    tags = ("div", "article", "h2", "p", "li", "ul", "table", "tr", "td", "script")
+    for _ in range(1500):
+        page = extraction._Page()
+        page.feed("".join(rng.choice((f"<{rng.choice(tags)}>", f"</{rng.choice(tags)}>", rng.choice(words), rng.choice(words) + " ")) for _ in range(rng.randint(1, 40))))
+        page.close()
+        for element in page.elements:
+            own = " ".join("".join(page.texts[element.first_text : element.last_text]).split())
+            assert (page.text(element, 7), page.text(element, 10_000)) == (own[:7], own)
+            for key, pattern in extraction.SPEAKS.items():
+                assert page.says(element, key) is (bool(pattern.search(own)) if len(own) > 3 else None), (own, key)
+                said += bool(pattern.search(own))
+    assert said > 1000
+
+
 def test_topk_keeps_k_rows_before_the_shuffle(spark):
     from hallspark.queries import QUERIES
 
