@@ -295,6 +295,13 @@ def test_long_texts_are_judged_whole(spark):
     assert len([r for r in rows if r.structural_role == "link"]) == 1
 
 
+@pytest.mark.parametrize("head", ["<title>{}</title>", "<h1>{}</h1>", "<div class=breadcrumbs><ol class=breadcrumb>{}</ol></div>"])
+def test_roles_are_read_from_whole_heads(spark, head):
+    pages = spark.createDataFrame([(1, "https://www.example.edu/x", head.format("Nothing. " * 3000 + "Residence Halls"))], "page_id long, url string, html string")
+    row = extraction.page_roles(extraction.page_signals(pages, *extraction.SAYS)).first()
+    assert row.roles == ["housing_directory"] and row.breadcrumbs.count("Residence Halls") == ("breadcrumbs" in head)
+
+
 def test_texts_of_elements_say_what_they_say_alone(monkeypatch):
     """Against a search of each element's own text, on random markup, with words that touch its ends."""
     import random
